@@ -9,7 +9,11 @@ from importlib import import_module
 
 #: Modules that each give QUERIES (name -> callable) and ORACLES (name -> SQL).
 MODULES = (
+    "hostgraph",
+    "pathratio",
     "byte_bpe",
+    "interpolation",
+    "bitcodes",
 )
 
 
