@@ -12,6 +12,7 @@ MODULES = (
     "hostgraph",
     "jaccard",
     "pathratio",
+    "repeats",
     "byte_bpe",
     "interpolation",
     "bitcodes",
