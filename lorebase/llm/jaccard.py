@@ -303,7 +303,7 @@ def across(percent: int):  # noqa: ANN201
         ids, n, comp, sketch = ids[order], n[order], comp[order], sketch[order]
         begins = np.flatnonzero(np.r_[True, comp[1:] != comp[:-1]])
         xs, ys = [], []
-        for at, end in zip(begins[1:], np.r_[begins[2:], len(ids)], strict=True):
+        for at, end in zip(begins[1:], np.r_[begins[1:], len(ids)][1:], strict=True):
             for i in range(at, end):  # with all members of the components before
                 j = np.flatnonzero(enough(n[:at], n[i], percent))
                 apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)
