@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of stored input in a block, about; and how many blocks at least.
 BLOCK_BYTES, LEAST_BLOCKS = 5 << 20, 8
-LOW = 5  # bytes of a hash that an entry carries besides its bucket
+#: Bits of a hash that an entry carries.  A bucket's hashes agree in the first few, so
+#: about as many are left whatever the number of buckets.
+HASH_BITS = 48
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -42,32 +44,39 @@ def bucket_bounds(ordered: np.ndarray, buckets: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(ordered, edges), len(ordered)].astype(np.int64)
 
 
-def low_bytes(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW]).tobytes()
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 as planes of their bytes, as many as the largest needs: shuffles compress them well."""
+    wide = numbers.astype("<u8")
+    width = (int(wide.max()).bit_length() + 7) // 8 if len(wide) else 0
+    return bytes([width]) + np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes() + (len(wide).to_bytes(8, "little") if not width else b"")
 
 
-def from_low(data: bytes | memoryview) -> np.ndarray:
-    wide = np.zeros((len(data) // LOW, 8), np.uint8)
-    wide[:, :LOW] = np.frombuffer(data, np.uint8).reshape(-1, LOW)
-    return wide.view("<u8").ravel()
+def unpacked(data: memoryview) -> np.ndarray:
+    width = data[0]
+    if not width:
+        return np.zeros(int.from_bytes(data[1:9], "little"), np.int64)
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :width] = planes.T
+    return wide.view("<i8").ravel()
 
 
-def buffers(column: pa.ChunkedArray | pa.Array) -> list[memoryview]:
-    """The values of a binary column without copies."""
-    return [memoryview(x.as_buffer()) for x in column]
+def low_bytes(ordered: np.ndarray) -> bytes:
+    """Ascending hashes, as far as an entry carries them: the steps between their first HASH_BITS bits."""
+    short = ordered >> np.uint64(64 - HASH_BITS)
+    return short[:1].astype("<u8").tobytes() + packed(np.diff(short)) if len(short) else b""
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """Counts as 32-bit numbers; where one is larger, as 64-bit numbers and a mark."""
-    if len(counts) and counts.max() >= 1 << 32:
-        return counts.astype(np.uint64).tobytes() + b"\1"
-    return counts.astype(np.uint32).tobytes()
+def from_low(data: memoryview) -> np.ndarray:
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    first = np.frombuffer(data[:8], "<u8")
+    return np.cumsum(np.concatenate([first, unpacked(data[8:]).view(np.uint64)]), dtype=np.uint64)
 
 
-def unpacked(data: memoryview) -> np.ndarray:
-    if len(data) % 4 == 1:
-        return np.frombuffer(data[:-1], np.uint64)
-    return np.frombuffer(data, np.uint32)
+def buffers(column: pa.ChunkedArray | pa.Array) -> list[memoryview]:
+    """The values of a binary column without copies."""
+    return [memoryview(x.as_buffer()) for x in column]
 
 
 def scattered(total: np.ndarray, cuts: np.ndarray) -> list[bytes]:

@@ -35,8 +35,9 @@ from lorebase.llm.tables import settle, table
 #: Cells of the table of common shingles, and bits of the table of candidate ids: fixed sizes.
 CELLS, ID_BITS = 1 << 20, 1 << 24
 #: Members of a posting list up to which all its pairs are made at once.
-SHORT = 24
-SKETCH = 256
+SHORT = 6
+#: Parity bits of a set that are compared before the set itself.
+SKETCH = 2048
 SALTS = (np.uint64(0), np.uint64(0xA5A5F00D12345677), np.uint64(0x5DEECE66D1234567))
 
 
@@ -90,13 +91,14 @@ def enough(nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
 
 
 def profile(k: int):  # noqa: ANN201
-    """Per row: id, set size and digest; per part of the input: its shingles that several texts share."""
+    """Per row: id, set size, digest and parity sketch; per part of the input: its shingles that several texts share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                _, h, n = shingle_sets(part.column(1), k)
+                o, h, n = shingle_sets(part.column(1), k)
                 a, b = digests(h, n)
+                sketch = parity(h, o, part.num_rows)
                 many, times = np.unique(h, return_counts=True)
                 common = times > 2
                 rows = part.num_rows
@@ -107,10 +109,11 @@ def profile(k: int):  # noqa: ANN201
                         pa.concat_arrays([pa.array(n, pa.int64()), blank]),
                         pa.concat_arrays([pa.array(a), blank]),
                         pa.concat_arrays([pa.array(b), blank]),
+                        pa.array([*(x.tobytes() for x in sketch), None], pa.binary()),
                         pa.array([None] * rows + [(many[common] & np.uint64(CELLS - 1)).astype(np.int32).tobytes()], pa.binary()),
                         pa.array([None] * rows + [times[common].astype(np.int32).tobytes()], pa.binary()),
                     ],
-                    names=["id", "n", "a", "b", "cells", "times"],
+                    names=["id", "n", "a", "b", "sketch", "cells", "times"],
                 )
 
     return run
@@ -226,7 +229,7 @@ def parity(h: np.ndarray, o: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sets_of(k: int, bits_ref):  # noqa: ANN001, ANN201
-    """Id, size, sorted set and parity sketch of rows whose id may be a candidate."""
+    """Id and set of rows whose id may be a candidate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bits_ref.value, np.uint8)
@@ -237,10 +240,9 @@ def sets_of(k: int, bits_ref):  # noqa: ANN001, ANN201
                 part = known.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
                 if not part.num_rows:
                     continue
-                o, h, n = shingle_sets(part.column(1), k)
-                sketch = parity(h, o, part.num_rows)
-                sets = [x.tobytes() for x in np.split(h, np.cumsum(n)[:-1])]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["id", "n", "shingles", "sketch"])
+                _, h, n = shingle_sets(part.column(1), k)
+                sets = [low_bytes(x) for x in np.split(h, np.cumsum(n)[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     return run
 
@@ -279,17 +281,39 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def apart(x: np.ndarray, y: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    """Do the sketches show that sets of ``both`` shingles together are not similar?"""
+    return np.bitwise_count(x ^ y).sum(1) > both - 2 * -(-percent * both // (100 + percent))
+
+
+def near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and sketches allow: as many parity bits differ at most as the sets do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(buffers(batch.column(c))), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
+                both = batch.column(4).to_numpy()
+                yield batch.select(["x", "y"]).filter(pa.array(~apart(x, y, both, percent)))
+
+    left, right = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "xy")
+    fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
+    return pairs.join(left, "x").join(right, "y").where(fits).select("x", "y", "sx", "sy", (F.col("nx") + F.col("ny")).alias("both")).mapInArrow(run, "x bigint, y bigint")
+
+
+def verify(pairs: DataFrame, base: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(buffers(batch.column(2)), buffers(batch.column(3)), strict=True)]
+            keep = [similar(from_low(p), from_low(q), percent) for p, q in zip(buffers(batch.column(2)), buffers(batch.column(3)), strict=True)]
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("id").alias("x"), F.col("shingles").alias("p"), F.col("n").alias("nx"))
-    right = sets.select(F.col("id").alias("y"), F.col("shingles").alias("q"), F.col("n").alias("ny"))
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "p", "q").mapInArrow(run, "x bigint, y bigint")
+    left = settle(near(pairs, sketches, percent).distinct())
+    bits = base.sparkSession.sparkContext.broadcast(candidate_bits(left.select("x").union(left.select("y"))))
+    sets = base.mapInArrow(sets_of(k, bits), "id bigint, shingles binary")
+    p, q = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "xy")
+    return left.join(p, "x").join(q, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x bigint, y bigint")
 
 
 def across(percent: int):  # noqa: ANN201
@@ -306,9 +330,7 @@ def across(percent: int):  # noqa: ANN201
         for at, end in zip(begins[1:], np.r_[begins[1:], len(ids)][1:], strict=True):
             for i in range(at, end):  # with all members of the components before
                 j = np.flatnonzero(enough(n[:at], n[i], percent))
-                apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)
-                both = n[j] + n[i]
-                j = j[apart <= both - 2 * -(-percent * both // (100 + percent))]
+                j = j[~apart(sketch[j], sketch[i], n[j] + n[i], percent)]
                 xs.append(np.minimum(ids[j], ids[i])), ys.append(np.maximum(ids[j], ids[i]))
         x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
         return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
@@ -320,23 +342,22 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     """id, n_shingles and component of every row."""
     sc = docs.sparkSession.sparkContext
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profiles = settle(base.mapInArrow(profile(k), "id bigint, n bigint, a bigint, b bigint, cells binary, times binary"))
+    profiles = settle(base.mapInArrow(profile(k), "id bigint, n bigint, a bigint, b bigint, sketch binary, cells binary, times binary"))
     cells = sc.broadcast(common_cells(profiles).tobytes())
     rows = profiles.where("cells IS NULL").select("id", "n", "a", "b")
+    sketches = profiles.where("cells IS NULL AND id IS NOT NULL").select("id", "n", "sketch")
     buckets = block_count(docs)
     entries = base.mapInArrow(postings(k, percent, buckets, cells), "bucket int, shingles binary, ids binary, sizes binary, digests binary")
     found = settle(entries.groupBy("bucket").applyInArrow(candidates(percent), "x bigint, y bigint, n bigint, bucket int, shingle bigint"))
-    bits = sc.broadcast(candidate_bits(found.select("x").union(found.where("y IS NOT NULL").select("y"))))
-    sets = settle(base.mapInArrow(sets_of(k, bits), "id bigint, n bigint, shingles binary, sketch binary").dropDuplicates(["id", "n", "sketch"]))
-    pairs = found.where("y IS NOT NULL").select("x", "y").distinct()
-    links = settle(verify(pairs, sets, percent))
+    links = settle(verify(found.where("y IS NOT NULL").select("x", "y").distinct(), base, sketches, k, percent))
     members = found.where("y IS NULL").select("bucket", "shingle", "x", "n")
     if not members.isEmpty():
         known = components(links)
         labelled = members.join(known, members.x == known.id, "left").select("bucket", "shingle", "x", "n", F.coalesce("component", "x").alias("component"))
-        sketches = sets.select(F.col("id").alias("x"), "n", "sketch").dropDuplicates(["x", "n"])
-        more = labelled.join(sketches, ["x", "n"]).groupBy("bucket", "shingle").applyInArrow(across(percent), "x bigint, y bigint").distinct()
-        links = settle(links.union(verify(more, sets, percent)))
+        mixed = labelled.groupBy("bucket", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "shingle")
+        labelled = labelled.join(mixed, ["bucket", "shingle"], "left_semi").join(sketches.withColumnRenamed("id", "x"), ["x", "n"])
+        more = labelled.groupBy("bucket", "shingle").applyInArrow(across(percent), "x bigint, y bigint").distinct()
+        links = settle(links.union(verify(more, base, sketches, k, percent)))
     classes = settle(rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("id").alias("first")))
     # rows of one id with different texts are one node
     tied = rows.where("n > 0 AND id IS NOT NULL").join(classes, ["n", "a", "b"]).select("id", "first")
