@@ -10,6 +10,7 @@ from importlib import import_module
 #: Modules that each give QUERIES (name -> callable) and ORACLES (name -> SQL).
 MODULES = (
     "decontaminate",
+    "toxicity",
     "hostgraph",
     "jaccard",
     "pathratio",
