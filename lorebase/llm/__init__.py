@@ -16,6 +16,7 @@ MODULES = (
     "pathratio",
     "repeats",
     "byte_bpe",
+    "licences",
     "interpolation",
     "bitcodes",
 )

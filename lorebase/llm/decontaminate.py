@@ -189,20 +189,25 @@ def worth(index: Index, words) -> np.ndarray:  # noqa: ANN001
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", k: int = SHINGLE, similarity: float = SIMILARITY, slice_items: int = SLICE_ITEMS) -> DataFrame:
-    """All similar (document, item) pairs with the most similar, then first window of each."""
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def indexes(benchmark: DataFrame, item_col: str = "item_id", k: int = SHINGLE, similarity: float = SIMILARITY, slice_items: int = SLICE_ITEMS) -> Iterator[Index]:
+    """The benchmark in slices of about ``slice_items`` items, one at a time on the driver."""
     items = benchmark.where(F.col("text").isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), "text")
     slices = max(1, -(-items.count() // slice_items))
-    found = []
     for s in range(slices):
         part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).toLocalIterator()]
         index = Index(sorted(part), k, similarity)
         if index.ids:
-            found.append(base.mapInArrow(finder(spark.sparkContext.broadcast(pickle.dumps(index))), "id bigint, item_id bigint, start_word bigint, n_words bigint, similarity double"))
+            yield index
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:  # noqa: ANN003
+    """All similar (document, item) pairs with the most similar, then first window of each."""
+    sc = docs.sparkSession.sparkContext
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    schema = "id bigint, item_id bigint, start_word bigint, n_words bigint, similarity double"
+    found = [base.mapInArrow(finder(sc.broadcast(pickle.dumps(index))), schema) for index in indexes(benchmark, **how)]
     if not found:
-        return base.limit(0).selectExpr("id", "id AS item_id", "id AS start_word", "id AS n_words", "1D AS similarity").withColumnRenamed("id", id_col)
+        return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
     best = Window.partitionBy("id", "item_id").orderBy(F.desc("similarity"), "start_word")
     return reduce(DataFrame.union, found).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r").withColumnRenamed("id", id_col)
 
@@ -211,9 +216,25 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item."""
-    return docs.join(matches(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without those that hold a benchmark item; a row is decided where it is read."""
+
+    def keeper(index_ref):  # noqa: ANN001, ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index: Index = pickle.loads(index_ref.value)
+            for batch in batches:
+                for part in pieces(batch, text_col):
+                    words = words_of(part.column(text_col), separators=NON_WORD)
+                    keep = ~worth(index, words)
+                    for i in np.flatnonzero(~keep):
+                        keep[i] = not index.search(words.hashes[words.offsets[i] : words.offsets[i + 1]])
+                    yield part.filter(pa.array(keep))
+
+        return run
+
+    for index in indexes(benchmark):
+        docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(pickle.dumps(index))), docs.schema)
+    return docs
 
 
 QUERIES = {"op1_decontaminate": op1_decontaminate}

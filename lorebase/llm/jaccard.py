@@ -374,8 +374,8 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without all but the first document of each group of near copies."""
-    keep = groups(docs, k, percent).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    others = groups(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 QUERIES = {"op4_jaccard": op4_jaccard}

@@ -184,13 +184,13 @@ def later_windows(part: pa.Table) -> pa.Table:
     return _replies(part, (ids > ids[lead]) | (start > start[lead]), sizes)
 
 
-def cleaned(window: int, buckets: int, cut: bool):  # noqa: ANN201
+def cleaned(window: int, buckets: int, cut: bool, keep: tuple[str, ...] = ()):  # noqa: ANN201
     """Step 3: the texts without repeats, with word counts and spans of removed words."""
 
     def run(part: pa.Table, replies: pa.Table) -> pa.Table:
-        names = ["id", "text", "n_words", "n_removed", "spans"]
+        names = ["id", "text", "n_words", "n_removed", "spans", *(f"keep_{c}" for c in keep)]
         if not part.num_rows:
-            return pa.table([part.column("id"), part.column("text"), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32()))))], names=names)
+            return pa.table([part.column("id"), part.column("text"), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())))), *(part.column(c) for c in names[5:])], names=names)
         block = Block(part, window)
         words = block.words
         gone = np.zeros(len(words.hashes) + 1, np.int32)
@@ -222,27 +222,28 @@ def cleaned(window: int, buckets: int, cut: bool):  # noqa: ANN201
             runs = [data[words.starts[s] : words.ends[e - 1]] for s, e in kept.tolist()]
             texts.append(b"\n".join(runs) if cut else b" ".join(w for r in runs for w in r.split()))
         return pa.table(
-            [block.part.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words.counts(), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32())))],
+            [block.part.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words.counts(), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), *(block.part.column(c) for c in names[5:])],
             names=names,
         )
 
     return run
 
 
-def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", cut: bool = False) -> DataFrame:
-    """Per row: id, kept text, n_words, n_removed, and ``spans`` of removed words [first, after last].
+def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", cut: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, kept text, n_words, n_removed, ``spans`` of removed words [first, after last], and the columns in ``keep``.
 
     ``cut``: leave the text as it is but for the removed spans; else join words by one space.
     """
     buckets = block_count(docs)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     texts = base.withColumn("block", block_of(buckets, "id", "text"))
     by_block = texts.groupBy("block")
     known = by_block.applyInArrow(seeds(window, buckets), ROWS_SQL).groupBy("bucket").applyInArrow(shared_seeds, REPLY_SQL)
     sent = by_block.cogroup(known.groupBy("block")).applyInArrow(extensions(window, buckets), ROWS_SQL)
     replies = known.union(sent.groupBy("bucket").applyInArrow(later_windows, REPLY_SQL))
-    out = by_block.cogroup(replies.groupBy("block")).applyInArrow(cleaned(window, buckets, cut), "id bigint, text string, n_words bigint, n_removed bigint, spans array<array<int>>")
-    return out.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+    kinds = "".join(f", `keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    out = by_block.cogroup(replies.groupBy("block")).applyInArrow(cleaned(window, buckets, cut, keep), f"id bigint, text string, n_words bigint, n_removed bigint, spans array<array<int>>{kinds}")
+    return out.withColumnsRenamed({"id": id_col, "text": text_col, **{f"keep_{c}": c for c in keep}})
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,9 @@ class Model:
             e += self.weights[k][p]
         return e
 
+    def score(self, summaries: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(summaries @ self.logistic, -LIMIT, LIMIT)))
+
 
 def summary(p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Per document: 1, logarithm of the expected number of offending tokens, largest marginal."""
@@ -230,7 +233,7 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
                 if m is not None:
                     words, places = features(part.column(1))
                     _, _, p = marginals(m.emissions(places), words.offsets, m.move)
-                    score = 1 / (1 + np.exp(-np.clip(summary(p, words.offsets) @ m.logistic, -LIMIT, LIMIT)))
+                    score = m.score(summary(p, words.offsets))
                     data, bounds = text_bytes(part.column(1))
                     hot = np.flatnonzero(p >= 0.5)
                     owner = np.searchsorted(words.offsets, hot, "right") - 1
@@ -263,10 +266,21 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``docs`` without those predicted toxic."""
-    bad = judged(docs.select("doc_id", "text"), labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    ref = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(docs, labels.where(~held_out()), text_col=text_col)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model | None = pickle.loads(ref.value)
+        for batch in batches:
+            for part in pieces(batch, text_col):
+                if m is not None:
+                    words, places = features(part.column(text_col))
+                    score = m.score(summary(marginals(m.emissions(places), words.offsets, m.move)[2], words.offsets))
+                    part = part.filter(pa.array(score < threshold))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 QUERIES = {"op2_toxicity": op2_toxicity}
