@@ -1,11 +1,598 @@
-"""Every registered query of the engine itself, and its SQL."""
+"""Every registered query of the engine itself, each with the SQL that it must agree with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lorebase.functions import text, urls, vectors
+from lorebase.operators import corpus, evaluation, evidence, layout, public, ranking
+from lorebase.plans import fixtures as fx
+from lorebase.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f: Callable[[SparkSession, str], DataFrame]):  # noqa: ANN202
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return ORACLES
+
+
+_FOLD = r"trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_TOKENS = "list_filter(string_split({0}, ' '), lambda t: length(t) > 1)"
+
+
+def _expansion_sql(q: str) -> str:
+    plain = _FOLD.format(q)
+    cases = ", ".join(f"CASE WHEN contains({plain}, '{p}') THEN '{' '.join(v)}' END" for p, v in fx.EXPANSIONS.items())
+    return f"{q} || ' ' || concat_ws(' ', {cases})"
+
+
+def _ascii(df: DataFrame) -> DataFrame:
+    return df.where("lang = 'en'")
+
+
+# --- views and projections -----------------------------------------------------
+
+
+def _current(s: SparkSession, d: str) -> DataFrame:
+    return corpus.current_chunks(fx.books(s, d), fx.book_chunks(s, d), F.lit(fx.AS_OF).cast("date"))
+
+
+@query(fx.CURRENT_SQL + "SELECT rulebook_id, line, part, supp, quantity, rulebook FROM cur")
+def current_corpus_view(s, d):
+    return _current(s, d).select("rulebook_id", "line", "part", "supp", "quantity", "rulebook")
+
+
+@query(fx.CURRENT_SQL + "SELECT id, title FROM b WHERE id IN (SELECT rulebook_id FROM cur)")
+def books_with_current_chunks(s, d):
+    return corpus.books_with_chunks(fx.books(s, d), _current(s, d)).select("id", "title")
+
+
+_LINES = r"list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+
+
+@query(f"SELECT doc_id AS id, len({_LINES}) AS n_blocks FROM documents WHERE len({_LINES}) > 1")
+def eligible_chunks(s, d):
+    return fx.blocks(fx.sections(s, d)).where(corpus.eligible(F.col("blocks"))).select("id", F.size("blocks").cast("bigint").alias("n_blocks"))
+
+
+@query("SELECT doc_id AS id, source || ' > ' || lang || ' > ' || split_part(text, chr(10), 1) || chr(10) || text AS embedding_text FROM documents")
+def embedding_text(s, d):
+    return fx.sections(s, d).select("id", corpus.embedding_text(F.col("heading_path"), F.col("body")).alias("embedding_text"))
+
+
+@query(f"""
+WITH x AS (SELECT doc_id AS id, doc_id % 200 + 1 AS p, doc_id % 7 <> 0 AS has, len({_LINES}) AS n FROM documents),
+y AS (SELECT id, CASE WHEN has AND n >= 1 THEN p END AS a, CASE WHEN has AND n >= 2 THEN p + 1 END AS b FROM x)
+SELECT id, coalesce(a, b) AS page_start, coalesce(b, a) AS page_end, CAST((a IS NOT NULL)::INT + (b IS NOT NULL)::INT AS BIGINT) AS n_pages FROM y
+""")
+def chunk_pages(s, d):
+    p = corpus.pages_of(F.col("blocks"))
+    return fx.blocks(fx.sections(s, d)).select("id", F.array_min(p).cast("bigint").alias("page_start"), F.array_max(p).cast("bigint").alias("page_end"), F.size(p).cast("bigint").alias("n_pages"))
+
+
+@query(f"SELECT doc_id AS id, CASE WHEN len({_LINES}) > 0 THEN array_to_string({_LINES}, chr(10)) ELSE split_part(text, chr(10), 1) END AS body FROM documents")
+def chunk_bodies(s, d):
+    return fx.blocks(fx.sections(s, d)).select("id", corpus.body_of(F.col("blocks"), F.col("section_title")).alias("body"))
+
+
+@query("SELECT doc_id AS id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+def slug_titles(s, d):
+    return fx.sections(s, d).select("id", text.slug(F.col("section_title")).alias("slug"))
+
+
+@query(f"SELECT doc_id AS id, {_FOLD.format('split_part(text, chr(10), 1)')} AS normal FROM documents WHERE lang = 'en'")
+def normalize_titles(s, d):
+    return _ascii(fx.sections(s, d)).select("id", text.normalize(F.col("section_title")).alias("normal"))
+
+
+@query()
+def normalize_unicode_titles(s, d):
+    return fx.sections(s, d).select("id", text.normalize_unicode(F.col("section_title")).alias("normal"))
+
+
+@query(f"SELECT doc_id AS id, array_to_string({_TOKENS.format(_FOLD.format('split_part(text, chr(10), 1)'))}, '|') AS tokens FROM documents WHERE lang = 'en'")
+def tokenize_titles(s, d):
+    return _ascii(fx.sections(s, d)).select("id", F.array_join(text.tokens(F.col("section_title")), "|").alias("tokens"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM conversations WHERE role = 'user'),
+u AS (SELECT conv_id, turn, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM t),
+f AS (SELECT conv_id, turn, term, min(i) AS i FROM u GROUP BY ALL)
+SELECT t.conv_id, t.turn, coalesce(string_agg(f.term, ' OR ' ORDER BY f.i), '') AS terms FROM t LEFT JOIN f ON t.conv_id = f.conv_id AND t.turn = f.turn GROUP BY t.conv_id, t.turn
+""")
+def query_terms(s, d):
+    return fx.user_turns(s, d).select("conv_id", "turn", F.array_join(text.query_terms(F.col("question")), " OR ").alias("terms"))
+
+
+@query(f"SELECT conv_id, turn, {_expansion_sql('text')} AS expanded FROM conversations WHERE role = 'user'")
+def expand_questions(s, d):
+    return fx.user_turns(s, d).select("conv_id", "turn", text.expand(F.col("question"), fx.EXPANSIONS).alias("expanded"))
+
+
+_TOPIC = f"(list_has_any({_TOKENS.format(_FOLD.format('(' + _expansion_sql('text') + ')'))}, {_LIST(fx.WORDS)}) OR " + " OR ".join(f"contains({_FOLD.format('text')}, '{p}')" for p in fx.EXPANSIONS) + ")"
+
+
+@query(f"SELECT conv_id, turn, {_TOPIC} AS on_topic FROM conversations WHERE role = 'user'")
+def topic_gate(s, d):
+    return fx.user_turns(s, d).select("conv_id", "turn", text.on_topic(F.col("question"), fx.WORDS, fx.EXPANSIONS).alias("on_topic"))
+
+
+# --- search --------------------------------------------------------------------
+
+
+def _search(s: SparkSession, d: str) -> DataFrame:
+    chunks = _ascii(fx.sections(s, d)).select("section_key", "position", "page_start", "kind", F.col("section_title").alias("title"), F.col("section_title").alias("section"), "body")
+    return public.keyword_search(fx.questions(s), chunks, stop_words=fx.STOP, expansions=fx.EXPANSIONS)
+
+
+_QUESTIONS_SQL = "(VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{q}')" for i, q in fx.QUESTIONS) + ") AS v(question_id, question)"
+_ASKED = f"""
+q0 AS (SELECT question_id, question, {_expansion_sql('question')} AS expanded FROM {_QUESTIONS_SQL}),
+q AS (SELECT question_id, list_filter({_TOKENS.format(_FOLD.format('expanded'))}, lambda t: NOT list_contains({_LIST(fx.STOP)}, t)) AS words0,
+  list_filter({_TOKENS.format(_FOLD.format('question'))}, lambda t: length(t) > 2 AND NOT list_contains({_LIST(fx.STOP)}, t)) AS terms, {_FOLD.format('expanded')} AS phrase FROM q0),
+qq AS (SELECT question_id, list_distinct(words0) AS words, terms, phrase FROM q),
+c AS (SELECT *, {_FOLD.format('section_title')} AS t, {_FOLD.format('body')} AS b FROM sec WHERE lang = 'en'),
+sc AS (SELECT question_id, words, c.*,
+  coalesce(list_sum(list_transform(words, lambda w: 12.0 * contains(t, w)::INT + 2.0 * contains(b, w)::INT)), 0)
+  + CASE WHEN len(terms) > 0 AND len(list_filter(terms, lambda w: NOT contains(t || ' ' || b, w))) = 0 THEN 14.0 ELSE 0 END
+  + CASE WHEN length(phrase) > 4 AND contains(b, phrase) THEN 20.0 ELSE 0 END + CASE WHEN kind = 'definition' THEN 0.25 ELSE 0 END AS score FROM qq, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, coalesce(page_start, 9999), position) AS rank FROM sc WHERE score > 2 QUALIFY rank <= 6)"""
+_BEST = """
+l0 AS (SELECT question_id, rank, section_key, score, words, body, unnest(ls) AS line, generate_subscripts(ls, 1) AS i
+       FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(body, '\\n+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS ls FROM r)),
+l1 AS (SELECT *, list_sum(list_transform(words, lambda w: contains(trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')), w)::INT)) AS hits FROM l0),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY question_id, section_key ORDER BY (length(line) > 20) DESC, CASE WHEN length(line) > 20 THEN coalesce(hits, 0) END DESC, i) AS n FROM l1)"""
+
+
+@query(f"""
+WITH sec AS ({fx.SECTIONS_SQL}), {_ASKED}, {_BEST}
+SELECT question_id, CAST(rank AS INTEGER) AS rank, section_key, CAST(score AS DOUBLE) AS score,
+  CASE WHEN length(line) > 420 THEN rtrim(substr(line, 1, 417)) || '…' ELSE line END AS excerpt FROM b1 WHERE n = 1
+""")
+def keyword_search_topk(s, d):
+    return _search(s, d)
+
+
+@query(f"""
+WITH r AS (SELECT 1 AS question_id, 1 AS rank, 's/' || doc_id AS section_key, 0 AS score, ['the', 'of', 'thin'] AS words, text AS body FROM documents WHERE lang = 'en'), {_BEST}
+SELECT section_key, CASE WHEN length(line) > 420 THEN rtrim(substr(line, 1, 417)) || '…' ELSE line END AS excerpt FROM b1 WHERE n = 1
+""")
+def excerpt_best_line(s, d):
+    words = F.array(*map(F.lit, ["the", "of", "thin"]))
+    return _ascii(fx.sections(s, d)).select("section_key", text.excerpt(F.col("body"), words).alias("excerpt"))
+
+
+_VECTORS = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
+_NEAR = f"""{_VECTORS}, vt AS (SELECT q.id AS query_id, c.id, round(1 - list_cosine_similarity(q.v, c.v), 6) + 0.0 AS distance FROM v q, v c WHERE q.id < 20),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM vt QUALIFY rank <= 30)"""
+
+
+@query(f"WITH {_NEAR} SELECT query_id, id, distance, CAST(rank AS INTEGER) AS rank FROM vr")
+def vector_topk(s, d):
+    return ranking.vector_top(fx.vector_queries(s, d), fx.vectors(s, d)).select("query_id", "id", "distance", "rank")
+
+
+@query("SELECT count(embedding) AS n_vectors, CAST(min(len(embedding)) AS INTEGER) AS min_dim, CAST(max(len(embedding)) AS INTEGER) AS max_dim, count(*) FILTER (len(embedding) <> 384) AS n_wrong FROM embeddings")
+def vector_guard_dims(s, d):
+    return corpus.wrong_dimensions(fx.table(s, d, "embeddings"), 384)
+
+
+@query(f"WITH {_VECTORS}, n AS (SELECT id, v, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-12) AS size FROM v) SELECT id, round(list_sum(list_transform(v, lambda x: x / size)), 6) + 0.0 AS total, round(v[1] / size, 6) + 0.0 AS first FROM n")
+def l2_normalize(s, d):
+    unit = vectors.l2_normalize(F.col("v"))
+    return fx.vectors(s, d).select("id", (F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x), 6) + 0.0).alias("total"), (F.round(unit[0], 6) + 0.0).alias("first"))
+
+
+@query(f"""
+WITH {_VECTORS}, e AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM v), m AS (SELECT label, place, avg(x) AS x FROM e GROUP BY ALL),
+n AS (SELECT label, greatest(sqrt(sum(x * x)), 1e-12) AS size FROM m GROUP BY label)
+SELECT m.label, CAST(place - 1 AS INTEGER) AS place, round(x / size, 6) + 0.0 AS x FROM m JOIN n ON m.label = n.label
+""")
+def mean_pool_by_owner(s, d):
+    pooled = vectors.mean_pool(fx.vectors(s, d), "label", "v")
+    return pooled.select("label", F.posexplode("pooled").alias("place", "x")).select("label", "place", (F.round("x", 6) + 0.0).alias("x"))
+
+
+_WORD = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+_LEX = f"""
+ix AS (SELECT doc_id AS id, unnest({_WORD.format('split_part(text, chr(10), 1)')}) AS term, 1.0 AS w FROM documents
+       UNION ALL SELECT doc_id, unnest({_WORD.format('text')}), 0.4 FROM documents),
+lq AS (SELECT DISTINCT question_id, unnest({_WORD.format('question')}) AS term FROM {_QUESTIONS_SQL}),
+ls AS (SELECT question_id AS query_id, id, round(sum(w), 6) AS score FROM ix JOIN lq ON ix.term = lq.term GROUP BY ALL),
+lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ls QUALIFY rank <= 30)"""
+
+
+def _lexical(s: SparkSession, d: str) -> DataFrame:
+    docs = fx.sections(s, d)
+    every = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), F.lit(1))
+    index = ranking.postings(docs, every("section_title"), ranking.TITLE_WEIGHT).unionByName(ranking.postings(docs, every("body"), ranking.BODY_WEIGHT))
+    terms = fx.questions(s).select(F.col("question_id").alias("query_id"), F.explode(text.query_terms(F.col("question"))).alias("term"))
+    return ranking.lexical_top(terms, index)
+
+
+@query(f"WITH {_LEX} SELECT query_id, id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM lr")
+def lexical_weighted_tf(s, d):
+    return _lexical(s, d).select("query_id", "id", "score", "rank")
+
+
+_RRF = """ra AS (SELECT CAST(1 AS BIGINT) AS query_id, 'a' AS ranking, doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 30),
+rb AS (SELECT CAST(1 AS BIGINT) AS query_id, 'b' AS ranking, doc_id AS id, row_number() OVER (ORDER BY lang, n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 30)"""
+
+
+def _fused_sql(rows: str) -> str:
+    return f"""fu AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS s FROM ({rows}) GROUP BY ALL),
+fr AS (SELECT query_id, id, round(s, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, CAST(id AS VARCHAR)) AS rank FROM fu QUALIFY rank <= 30)"""
+
+
+@query(f"WITH {_RRF}, {_fused_sql('SELECT * FROM ra UNION ALL SELECT * FROM rb')} SELECT query_id, id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM fr")
+def rrf_fusion(s, d):
+    docs = fx.table(s, d, "documents").select(F.lit(1).cast("bigint").alias("query_id"), F.col("doc_id").alias("id"), "n_chars", "lang")
+    a = ranking.top(docs, "query_id", [F.desc("n_chars"), F.col("id")], 30).withColumn("ranking", F.lit("a"))
+    b = ranking.top(docs, "query_id", [F.col("lang"), F.desc("n_chars"), F.col("id")], 30).withColumn("ranking", F.lit("b"))
+    both = a.unionByName(b).select("query_id", "ranking", "id", "rank")
+    return ranking.fuse(both).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+
+
+_HYBRID = f"""WITH {_NEAR}, {_LEX},
+both_r AS (SELECT query_id, 'v' AS ranking, id, rank FROM vr WHERE query_id BETWEEN 1 AND 4 UNION ALL SELECT query_id, 'l', id, rank FROM lr),
+{_fused_sql('SELECT * FROM both_r')}"""
+
+
+def _hybrid(s: SparkSession, d: str) -> DataFrame:
+    near = ranking.vector_top(fx.vector_queries(s, d).where("query_id BETWEEN 1 AND 4"), fx.vectors(s, d)).select("query_id", F.lit("v").alias("ranking"), "id", "rank")
+    return ranking.fuse(near.unionByName(_lexical(s, d).select("query_id", F.lit("l").alias("ranking"), "id", "rank")))
+
+
+@query(_HYBRID + "SELECT query_id, id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM fr")
+def hybrid_topk(s, d):
+    return _hybrid(s, d).select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+
+
+_SPACED = "string_split({0}, ' ')"
+_WINDOWS = f"""w0 AS (SELECT doc_id AS id, {_SPACED.format('text')} AS ws FROM documents),
+w AS (SELECT id, unnest(list_filter(range(0, greatest(len(ws) - 1, 0) + 1, 222), lambda x: x = 0 OR x + 32 < len(ws))) AS start, ws FROM w0)"""
+
+
+@query(f"WITH {_WINDOWS} SELECT id, CAST(start AS INTEGER) AS start, CAST(len(ws[start + 1 : start + 254]) AS INTEGER) AS n_words, sha256(array_to_string(ws[start + 1 : start + 254], ' ')) AS digest FROM w")
+def token_windows(s, d):
+    made = fx.sections(s, d).select("id", F.explode(text.windows(F.split("body", " "), 254)).alias("w"))
+    return made.select("id", F.col("w.start").cast("int").alias("start"), F.size("w.words").alias("n_words"), F.sha2(F.array_join("w.words", " "), 256).alias("digest"))
+
+
+@query(f"""{_HYBRID}, {_WINDOWS}, q1 AS (SELECT question_id, list_distinct(string_split(question, ' ')) AS qw FROM {_QUESTIONS_SQL}),
+ws1 AS (SELECT fr.query_id, fr.id, fr.rank AS fused_rank, len(list_intersect(qw, list_transform(ws[start + 1 : start + 254], lambda x: lower(x)))) * 1.0 / len(qw) AS score
+  FROM fr JOIN q1 ON q1.question_id = fr.query_id JOIN w ON w.id = fr.id),
+best AS (SELECT query_id, id, fused_rank, max(score) AS score FROM ws1 GROUP BY ALL)
+SELECT query_id, id, round(score, 6) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank) AS INTEGER) AS rank FROM best QUALIFY rank <= 5
+""")
+def rerank_window_max(s, d):
+    fused = _hybrid(s, d)
+    pieces = fx.sections(s, d).join(fused.select("id").distinct(), "id", "left_semi").select("id", F.explode(text.windows(F.split("body", " "), 254)).alias("w"))
+    asked = fx.questions(s).select(F.col("question_id").alias("query_id"), F.array_distinct(F.split("question", " ")).alias("qw"))
+    low = F.transform("w.words", lambda x: F.lower(x))
+    scores = fused.select("query_id", "id").join(pieces, "id").join(F.broadcast(asked), "query_id").select("query_id", "id", (F.size(F.array_intersect("qw", low)) / F.size("qw")).alias("score"))
+    return ranking.rerank(fused, scores).select("query_id", "id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
+@query(f"""WITH {_LEX}, p AS (SELECT 1 AS question_id, query_id AS part, id, rank, row_number() OVER (ORDER BY rank, query_id) AS place FROM lr WHERE rank <= 5)
+SELECT CAST(question_id AS INTEGER) AS question_id, id, CAST(min(place) AS INTEGER) AS place FROM p GROUP BY ALL""")
+def interleave_results(s, d):
+    parts = _lexical(s, d).where("rank <= 5").select(F.lit(1).alias("question_id"), F.col("query_id").alias("part"), "id", "rank")
+    return ranking.interleave(parts, "question_id", "part").select("question_id", "id", "place")
+
+
+# --- relations and evidence ------------------------------------------------------
+
+
+def _defined(s: SparkSession, d: str) -> DataFrame:
+    """Sections whose title is its first word, so that definitions have terms that occur elsewhere."""
+    return fx.sections(s, d).withColumn("section_title", F.regexp_extract("section_title", "^([A-Za-z]+)", 1))
+
+
+_LINKS = rf"""sec AS ({fx.SECTIONS_SQL}),
+terms AS (SELECT section_key AS from_key, lower(regexp_extract(section_title, '^([A-Za-z]+)', 1)) AS term FROM sec WHERE kind = 'definition' AND parent_section_key IS NOT NULL),
+said AS (SELECT section_key, list_distinct(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+')) AS words FROM sec WHERE kind <> 'definition'),
+links AS (SELECT from_key, section_key AS to_key, 'defines' AS relation FROM terms JOIN (SELECT section_key, unnest(words) AS word FROM said) ON word = term WHERE length(term) >= 4)"""
+
+
+@query(f"WITH {_LINKS} SELECT from_key, to_key, relation FROM links")
+def definition_links(s, d):
+    return corpus.definition_links(_defined(s, d))
+
+
+@query(f"WITH {_LINKS} SELECT DISTINCT from_key AS id FROM links WHERE CAST(substr(to_key, 3) AS BIGINT) % 50 = 1")
+def related_definitions(s, d):
+    chunks = _defined(s, d).withColumn("id", F.col("section_key"))
+    links = corpus.definition_links(chunks).select(F.col("from_key").alias("from_chunk_id"), F.col("to_key").alias("to_chunk_id"))
+    return corpus.related_definitions(links, chunks, chunks.where("position % 50 = 1")).select("id")
+
+
+_UP = """u AS (SELECT doc_id % 3 AS question_id, doc_id AS id, doc_id AS row_id, 0 AS level FROM documents WHERE doc_id % 97 = 5),
+a1 AS (SELECT DISTINCT question_id, id // 4 AS id FROM u WHERE id > 0), a2 AS (SELECT DISTINCT question_id, id // 4 AS id FROM a1 WHERE id > 0), a3 AS (SELECT DISTINCT question_id, id // 4 AS id FROM a2 WHERE id > 0),
+a4 AS (SELECT DISTINCT question_id, id // 4 AS id FROM a3 WHERE id > 0), a5 AS (SELECT DISTINCT question_id, id // 4 AS id FROM a4 WHERE id > 0)"""
+
+
+def _rows(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Questions' results (every 97th section), and the sections; all of one book so that parents are found."""
+    chunks = fx.sections(s, d).withColumn("rulebook_id", F.lit("book"))
+    return chunks.where("position % 97 = 5").withColumn("question_id", F.col("id") % 3), chunks
+
+
+@query(f"""WITH {_UP}, every_a AS (SELECT * FROM a1 UNION SELECT * FROM a2 UNION SELECT * FROM a3 UNION SELECT * FROM a4 UNION SELECT * FROM a5)
+SELECT e.question_id, 's/' || e.id AS section_key FROM every_a e JOIN documents d ON d.doc_id = e.id WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.question_id = e.question_id AND u.id = e.id)""")
+def expand_ancestors(s, d):
+    rows, chunks = _rows(s, d)
+    return corpus.ancestors(rows, chunks, ["question_id"]).select("question_id", "section_key")
+
+
+@query()
+def pack_evidence(s, d):
+    rows, chunks = _rows(s, d)
+    rows = rows.where("id < 1024")
+    more = corpus.ancestors(rows, chunks, ["question_id"])
+    both = rows.withColumn("level", F.lit(0)).unionByName(more.select(*rows.columns, "level"))
+    placed = both.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("level", "position")))
+    return evidence.pack(placed)
+
+
+_QUOTES = "qo AS (SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS start, strpos(d.text, b.text) - 1 + length(b.text) AS end_at, b.text AS quote FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+def _quotes(s: SparkSession, d: str) -> DataFrame:
+    """Benchmark passages as quotations, documents as evidence."""
+    quotes = fx.table(s, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    bodies = fx.table(s, d, "documents").select("doc_id", F.col("text").alias("body"))
+    return evidence.quoted_anywhere(quotes, bodies, "item_id")
+
+
+@query(f"WITH {_QUOTES} SELECT item_id, doc_id, start, end_at AS \"end\" FROM qo")
+def quote_offsets(s, d):
+    return _quotes(s, d).select("item_id", "doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+
+
+@query(r"SELECT conv_id, turn, regexp_matches(text, '[\[\]<>`\n\r]|https?://|\]\(|^\s*#') AS rejected FROM conversations")
+def claim_format_reject(s, d):
+    return fx.table(s, d, "conversations").select("conv_id", "turn", text.untrusted_format(F.col("text")).alias("rejected"))
+
+
+@query(f"""WITH {_QUOTES}, u AS (SELECT 1 AS question_id, 'E' || doc_id AS evidence_id, start, end_at, item_id * 100000000 + doc_id AS position FROM qo),
+f AS (SELECT evidence_id, start, end_at, min(position) AS first FROM u GROUP BY ALL)
+SELECT evidence_id, start, CAST(dense_rank() OVER (ORDER BY first) AS INTEGER) AS number FROM f""")
+def citation_numbering(s, d):
+    uses = _quotes(s, d).select(F.lit(1).alias("question_id"), F.concat(F.lit("E"), F.col("doc_id")).alias("evidence_id"), F.col("start").cast("bigint").alias("start"), "end", (F.col("item_id") * 100000000 + F.col("doc_id")).alias("position"))
+    return evidence.numbered(uses, F.col("position")).select("evidence_id", "start", "number").distinct()
+
+
+@query("""WITH c AS (SELECT source AS question_id, list_sort(list(DISTINCT doc_id)) AS want FROM documents WHERE doc_id % 5 = 0 GROUP BY ALL),
+a AS (SELECT d.source AS question_id, list_sort(list(l.doc_id)) AS got, bool_and(l.quality = 1) AS ok FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.doc_id % 5 = 0 GROUP BY ALL)
+SELECT coalesce(c.question_id, a.question_id) AS question_id, coalesce(got = want, false) AND coalesce(ok, false) AS agrees FROM c FULL JOIN a ON c.question_id = a.question_id""")
+def audit_set_equality(s, d):
+    docs = fx.table(s, d, "documents").where("doc_id % 5 = 0").select("doc_id", F.col("source").alias("question_id"))
+    audits = fx.table(s, d, "labels").join(docs, "doc_id").select("question_id", F.col("doc_id").alias("claim_id"), (F.col("quality") == 1).alias("supported"))
+    return evidence.audit_agrees(audits, docs.withColumnRenamed("doc_id", "claim_id"))
+
+
+# --- telemetry, evaluation, versions ------------------------------------------------
+
+
+@query(f"WITH r AS ({fx.RUNS_SQL}) SELECT user_id, CASE WHEN count(tokens) < count(*) THEN NULL ELSE CAST(sum(tokens) AS BIGINT) END AS tokens, count(*) AS runs FROM r GROUP BY user_id")
+def usage_totals(s, d):
+    return fx.runs(s, d).groupBy("user_id").agg(evaluation.poisoned_sum(F.col("tokens")).cast("bigint").alias("tokens"), F.count(F.lit(1)).alias("runs"))
+
+
+@query(f"WITH r AS ({fx.RUNS_SQL}) SELECT outcome, count(*) AS runs, round(quantile_cont(latency_ms, 0.5), 6) AS median_ms, CASE WHEN count(tokens) < count(*) THEN NULL ELSE CAST(sum(tokens) AS BIGINT) END AS tokens FROM r GROUP BY outcome")
+def run_log_summary(s, d):
+    return evaluation.run_summary(fx.runs(s, d), "outcome").select("outcome", "runs", "median_ms", F.col("tokens").cast("bigint").alias("tokens"))
+
+
+@query(f"""WITH {_LEX}, f AS (SELECT query_id, min(CASE WHEN l.quality = 1 THEN rank END) AS first_rank FROM lr LEFT JOIN labels l ON l.doc_id = lr.id WHERE rank <= 5 GROUP BY query_id)
+SELECT count(first_rank) AS hits, count(*) AS cases, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr FROM f""")
+def retrieval_metrics(s, d):
+    results = _lexical(s, d)
+    good = fx.table(s, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    relevant = results.select("query_id", "id").join(good, "id", "left_semi")
+    return evaluation.summary(evaluation.first_relevant(results, relevant))
+
+
+_PRINTS = "fp AS (SELECT source, sha256(string_agg(sha256(doc_id || chr(31) || split_part(text, chr(10), 1) || chr(31) || text), '|' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source)"
+
+
+def _prints(s: SparkSession, d: str) -> DataFrame:
+    return corpus.content_fingerprint(fx.sections(s, d), "rulebook_id", "id")
+
+
+@query(f"WITH {_PRINTS} SELECT source AS rulebook_id, fingerprint FROM fp")
+def content_fingerprint(s, d):
+    return _prints(s, d)
+
+
+@query(f"WITH {_PRINTS} SELECT sha256(string_agg(fingerprint, '|' ORDER BY fingerprint)) AS corpus_fingerprint FROM fp")
+def corpus_fingerprint(s, d):
+    return corpus.corpus_fingerprint(_prints(s, d))
+
+
+@query(f"WITH {_PRINTS} SELECT sha256(string_agg(fingerprint, '|' ORDER BY fingerprint)) = 'unknown' AND count(*) < 0 AS is_current, (SELECT count(DISTINCT doc_id) FROM labels WHERE doc_id % 9 = 0) - (SELECT count(DISTINCT l.doc_id) FROM labels l JOIN documents x ON x.doc_id = l.doc_id WHERE l.doc_id % 9 = 0 AND x.lang = 'en') AS missing FROM fp")
+def corpus_is_current(s, d):
+    ids = fx.table(s, d, "labels").where("doc_id % 9 = 0").select(F.col("doc_id").alias("id"))
+    return corpus.is_current(_prints(s, d), "unknown", _ascii(fx.sections(s, d)), ids)
+
+
+# --- integrity and sources -------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def integrity_unique(s, d):
+    return corpus.duplicates(fx.table(s, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3)")
+def integrity_orphan(s, d):
+    return corpus.orphans(fx.table(s, d, "orders"), fx.table(s, d, "customer").where("c_nationkey <> 3"), {"o_custkey": "c_custkey"}).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT s_suppkey, broken FROM (SELECT s_suppkey, unnest([CASE WHEN NOT s_acctbal >= 0 THEN 'balance' END, CASE WHEN NOT s_nationkey IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10) THEN 'nation' END]) AS broken FROM supplier) WHERE broken IS NOT NULL")
+def integrity_enum(s, d):
+    rules = {"balance": F.col("s_acctbal") >= 0, "nation": F.col("s_nationkey").isin(*range(1, 11))}
+    return corpus.breaks(fx.table(s, d, "supplier"), rules).select("s_suppkey", "broken")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 11 <> 0 AND CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 + 30 AS INTEGER) <= CAST(o_orderdate AS DATE) + 200")
+def integrity_interval(s, d):
+    moved = fx.books(s, d).withColumn("effective_from", F.date_add("effective_from", 200))
+    return corpus.breaks(moved, {"interval": corpus.book_rules()["interval"]}).select("id")
+
+
+@query("SELECT s_suppkey AS from_chunk_id, broken FROM (SELECT s_suppkey, unnest([CASE WHEN s_nationkey = s_suppkey % 25 THEN 'self' END, CASE WHEN s_suppkey % 4 = 0 THEN 'evidence' END]) AS broken FROM supplier) WHERE broken IS NOT NULL")
+def integrity_link(s, d):
+    links = fx.table(s, d, "supplier").select(
+        F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 25).cast("string").alias("from_chunk_id"), F.col("s_nationkey").cast("string").alias("to_chunk_id"),
+        F.when(F.col("key") % 2 == 0, "explicit_variation").otherwise("defines").alias("relation"), F.when(F.col("key") % 4 != 0, "basis").otherwise(" ").alias("evidence"),
+    )
+    return corpus.breaks(links, corpus.link_rules()).select(F.col("key").alias("from_chunk_id"), "broken")
+
+
+@query(f"""WITH sec AS ({fx.SECTIONS_SQL}), x AS (SELECT *, 's/' || (doc_id // 2) AS key FROM (SELECT *, id AS doc_id FROM sec))
+SELECT key AS section_key, 'duplicate' AS fault FROM x GROUP BY key HAVING count(*) > 1
+UNION ALL SELECT key, 'no page' FROM x WHERE page_start IS NULL
+UNION ALL SELECT key, 'barred page' FROM x WHERE page_start BETWEEN 166 AND 193
+UNION ALL SELECT x.key, 'orphan' FROM x WHERE parent_section_key IS NOT NULL AND parent_section_key NOT IN (SELECT key FROM x)
+UNION ALL SELECT 'r/' || i, 'missing' FROM range(1, 18) AS t(i)""")
+def integrity_sections(s, d):
+    chunks = fx.sections(s, d).withColumn("section_key", F.concat(F.lit("s/"), F.expr("id div 2")))
+    required = s.range(1, 18).select(F.concat(F.lit("r/"), F.col("id")).alias("section_key"))
+    pages = F.array_compact(F.array("page_start"))
+    return corpus.section_faults(chunks, pages, (166, 193), required)
+
+
+_MANIFEST = [("a", "current", "1997-01-01", None), ("b", "current", "1999-01-01", None), ("c", "needs_review", "1997-01-01", None), ("d", "current", None, None), ("e", "current", "1997-01-01", "1998-06-01"), ("f", "current", "1998-06-01", "1998-06-02")]
+
+
+@query("""SELECT id, CASE WHEN verification <> 'current' THEN 'needs review' WHEN f IS NULL OR f > DATE '1998-06-01' THEN 'not yet effective' WHEN u <= DATE '1998-06-01' THEN 'expired' END AS reason
+FROM (VALUES """ + ", ".join(f"('{i}', '{v}', {f'DATE {a!r}' if a else 'NULL::DATE'}, {f'DATE {b!r}' if b else 'NULL::DATE'})" for i, v, a, b in _MANIFEST) + ") AS m(id, verification, f, u)")
+def manifest_current(s, d):
+    rows = s.createDataFrame(_MANIFEST, "id string, verification string, f string, u string").select("id", "verification", F.to_date("f").alias("effective_from"), F.to_date("u").alias("effective_until"))
+    return corpus.current_sources(rows, F.lit(fx.AS_OF).cast("date")).select("id", "reason")
+
+
+@query("SELECT n.c_custkey AS id, n.sha IS DISTINCT FROM o.sha OR n.edition IS DISTINCT FROM o.edition AS changed FROM (SELECT c_custkey, c_mktsegment AS sha, c_nationkey AS edition FROM customer) n LEFT JOIN (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS sha, c_nationkey AS edition FROM customer WHERE c_custkey % 3 <> 0) o ON o.c_custkey = n.c_custkey")
+def changed_receipts(s, d):
+    new = fx.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("sha256"), F.col("c_nationkey").alias("edition"))
+    old = new.where("id % 3 <> 0").withColumn("sha256", F.when(F.col("id") % 5 != 0, F.col("sha256")))
+    return corpus.changed_receipts(old, new)
+
+
+_HOSTS = ["ththnt.example.com", "therha.example.com", "therea.example.net", "thther.example.org", "blog.tionsh.example.net"]
+
+
+@query(f"SELECT page_id, starts_with(lower(url), 'https://') AND list_contains({_LIST(_HOSTS)}, lower(regexp_extract(url, '^[a-zA-Z]+://([^:/?#]*)', 1))) AND regexp_extract(url, '^[a-zA-Z]+://[^:/?#]*:(\\d+)', 1) IN ('', '443') AS allowed FROM pages")
+def url_allowlist(s, d):
+    return fx.table(s, d, "pages").select("page_id", urls.allowed(F.col("url"), _HOSTS).alias("allowed"))
+
+
+@query()
+def html_sections(s, d):
+    return files.html_sections(fx.table(s, d, "pages")).select("page_id", F.size("paragraphs").alias("n"), F.sha2(F.array_join("paragraphs", "\n"), 256).alias("digest"))
+
+
+_FIXES = [("s/3", "https://example.org/rules", "a-3", ["First new line.", "Second new line."]), ("s/8", "https://example.org/rules", "a-8", ["Only line."])]
+
+
+@query("""WITH f(section_key, url, anchor, new) AS (VALUES """ + ", ".join(f"('{k}', '{u}', '{a}', '{chr(10).join(p)}')" for k, u, a, p in _FIXES) + f"""), sec AS ({fx.SECTIONS_SQL})
+SELECT sec.section_key, coalesce(f.url, sec.source) AS source_url, coalesce(f.url || '#' || f.anchor, sec.section_key) AS section_url, coalesce(f.new, sec.body) AS body FROM sec LEFT JOIN f ON f.section_key = sec.section_key""")
+def corrections_applied(s, d):
+    chunks = fx.sections(s, d).select("section_key", "body", F.col("rulebook_id").alias("source_url"), F.col("section_key").alias("section_url"))
+    fixes = s.createDataFrame([(k, u, a, "", p) for k, u, a, p in _FIXES], "section_key string, url string, anchor string, sha256 string, paragraphs array<string>")
+    return corpus.apply_corrections(chunks, fixes).select("section_key", "source_url", "section_url", "body")
+
+
+@query("SELECT lang AS heading, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY lang")
+def browse_sections(s, d):
+    return corpus.browse(fx.sections(s, d), "position")
+
+
+@query(f"WITH sec AS ({fx.SECTIONS_SQL}) SELECT section_key, kind, source AS law_article, section_title, body, page_start, page_start AS page_end FROM sec")
+def web_export(s, d):
+    rows = fx.sections(s, d).withColumns({"law_article": F.col("rulebook_id"), "section_url": F.col("section_key")})
+    return corpus.web_export(rows, F.array_compact(F.array("page_start"))).select("section_key", "kind", "law_article", "section_title", "body", "page_start", "page_end")
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN trim(text) = '' OR length(trim(text)) > 1000 THEN 'error' WHEN conv_id % 10 = 3 THEN 'scope_unavailable' WHEN NOT {_TOPIC} THEN 'off_topic'
+WHEN conv_id % 4 = 0 THEN 'insufficient_evidence' ELSE 'answered' END AS status FROM conversations WHERE role = 'user'""")
+def api_status(s, d):
+    turns = fx.user_turns(s, d)
+    competition = F.when(F.col("conv_id") % 10 == 3, "other").otherwise("any")
+    return turns.select("conv_id", "turn", public.status(F.col("question"), competition, text.on_topic(F.col("question"), fx.WORDS, fx.EXPANSIONS), F.col("conv_id") % 4).alias("status"))
+
+
+@query("SELECT count(*) AS sections, 'e1' AS edition, '1998-06-01' AS last_checked FROM documents")
+def public_sources(s, d):
+    return public.sources(fx.sections(s, d), "e1", fx.AS_OF)
+
+
+@query(f"""WITH r AS ({fx.RUNS_SQL}) SELECT event_id, CASE WHEN latency_ms % 9 = 0 THEN 'off_topic' WHEN latency_ms % 9 = 1 THEN 'scope_unavailable' WHEN tokens IS NULL THEN 'insufficient_evidence'
+WHEN tokens = 1 THEN 'validation_failed' WHEN tokens = 2 THEN 'corpus_changed' ELSE 'answered' END AS status FROM r""")
+def answer_status(s, d):
+    t = F.col("tokens")
+    stage = F.when(F.col("latency_ms") % 9 == 0, "off_topic").when(F.col("latency_ms") % 9 == 1, "scope_unavailable").when(t.isNull(), "insufficient_evidence").when(t == 1, "validation_failed").when(t == 2, "corpus_changed")
+    return fx.runs(s, d).select("event_id", stage.otherwise("answered").alias("status"))
+
+
+# --- layout ------------------------------------------------------------------------------
+
+
+def _words(s: SparkSession, d: str) -> DataFrame:
+    """The first three lines of short documents as words on pages; first lines bold."""
+    docs = fx.table(s, d, "documents").where("doc_id < 200 AND n_chars < 2000")
+    lines = docs.select(F.col("doc_id").cast("int").alias("page"), F.posexplode(F.slice(F.split("text", "\n"), 1, 3)).alias("i", "line"))
+    words = lines.select("page", "i", F.posexplode(F.split("line", " ")).alias("j", "text")).where("text <> ''")
+    return words.select(
+        "page", "text", (F.lit(40.0) + F.col("j") * 30).alias("x0"), (F.lit(65.0) + F.col("j") * 30).alias("x1"), (F.lit(41.0) + F.col("i") * 13).alias("top"), (F.lit(50.0) + F.col("i") * 13 + (F.col("j") % 2) * 0.5).alias("bottom"),
+        F.when(F.col("i") == 0, "Face-Bold").otherwise("Face").alias("fontname"),
+    )
+
+
+@query()
+def line_clustering(s, d):
+    return layout.text_lines(_words(s, d))
+
+
+@query()
+def section_tree(s, d):
+    chapters = s.createDataFrame([(0, 99, "one", "First", "section"), (100, 199, "two", "Second", "definition")], "first_page int, last_page int, chapter string, chapter_title string, chapter_kind string")
+    return layout.sections(layout.chapter_of(layout.text_lines(_words(s, d)), chapters)).select("section_key", "parent_section_key", "kind", "section_title", F.size("blocks").alias("n_blocks"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id < 100 THEN 'one' WHEN doc_id < 600 THEN 'two' ELSE 'three' END AS chapter FROM documents WHERE doc_id < 2000")
+def chapter_range_join(s, d):
+    chapters = s.createDataFrame([(0, 99, "one"), (100, 599, "two"), (600, 1999, "three")], "first_page int, last_page int, chapter string")
+    return layout.chapter_of(fx.table(s, d, "documents").select("doc_id", F.col("doc_id").alias("page")), chapters).select("doc_id", "chapter")
+
+
+@query("""WITH w AS (SELECT CAST(c_custkey % 40 AS INTEGER) AS page, c_name AS text, c_custkey % 97 * 1.0 AS x0, c_custkey % 89 * 1.0 AS bottom FROM customer),
+c AS (SELECT CAST(p AS INTEGER) AS cell_page, CAST(r AS INTEGER) AS row_no, CAST(k AS INTEGER) AS col_no FROM range(40) AS a(p), range(2) AS b(r), range(3) AS d(k))
+SELECT cell_page, row_no, col_no, string_agg(text, ' ' ORDER BY round_even(bottom, 0), x0, text) AS cell FROM w JOIN c ON page = cell_page AND x0 >= 30 * col_no AND x0 < 30 * col_no + 30 AND bottom > 40 * row_no AND bottom <= 40 * row_no + 40 GROUP BY ALL""")
+def table_cells(s, d):
+    words = fx.table(s, d, "customer").select((F.col("c_custkey") % 40).cast("int").alias("page"), F.col("c_name").alias("text"), (F.col("c_custkey") % 97).cast("double").alias("x0"), (F.col("c_custkey") % 89).cast("double").alias("bottom"))
+    cells = s.range(240).select((F.col("id") % 40).cast("int").alias("cell_page"), F.expr("cast((id div 40) % 2 as int)").alias("row_no"), F.expr("cast(id div 80 as int)").alias("col_no"))
+    cells = cells.select("*", (F.col("col_no") * 30.0).alias("left"), (F.col("col_no") * 30.0 + 30).alias("right"), (F.col("row_no") * 40.0).alias("upper"), (F.col("row_no") * 40.0 + 40).alias("lower"))
+    return layout.table_cells(words, cells)
