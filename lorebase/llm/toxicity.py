@@ -9,8 +9,9 @@ each token's marginal.  A document's score is a logistic function of the expecte
 number of offending tokens and of the largest marginal; runs of tokens whose
 marginal is a half or more are its offending spans.
 
-Training is bounded: ``SAMPLE`` labelled documents of either label, texts of at most
-``SAMPLE_BYTES``, chosen by a hash of the id, are all that reaches the driver.
+Training is bounded: ``SAMPLE`` labelled documents of each label, texts of at most
+``SAMPLE_BYTES``, chosen by a hash of the id, are all that reaches the driver; the
+chain is trained on ``TRAIN_TOKENS`` of their tokens at most.
 Scoring covers whole texts and all rows, without a shuffle.
 
 Defined results: null and empty texts have no tokens and the score of such a
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from lorebase.llm.arrays import NON_WORD, mix, pieces, text_bytes, words_of
 from lorebase.llm.tables import table
 
-SAMPLE, SAMPLE_BYTES = 1200, 1 << 16
+#: Labelled documents that the driver reads at most (toxic, others), and bytes of each; tokens that train the chain.
+SAMPLE, SAMPLE_BYTES, TRAIN_TOKENS = (700, 2800), 1 << 13, 400_000
 PREFIXES, SUFFIXES = (4, 5), (3,)
 BITS = 18
 EVIDENCE, PRECISION = 24.0, 0.9
@@ -107,14 +109,23 @@ class Model:
             e += self.weights[k][p]
         return e
 
+    def summaries(self, places: list[np.ndarray], offsets: np.ndarray) -> np.ndarray:
+        """Summaries of the documents between the first and the last of ``offsets``."""
+        part = slice(offsets[0], offsets[-1])
+        own = offsets - offsets[0]
+        return summary(marginals(self.emissions([p[part] for p in places]), own, self.move)[2], own)
+
     def score(self, summaries: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(summaries @ self.logistic, -LIMIT, LIMIT)))
 
 
 def summary(p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per document: 1, logarithm of the expected number of offending tokens, largest marginal."""
+    """Per document: 1, logarithm of the expected number of offending tokens, largest marginal.
+
+    Tokens that are more likely clean don't add up: a long text would be toxic by length.
+    """
     n = len(offsets) - 1
-    total = np.r_[0.0, np.cumsum(p)]
+    total = np.r_[0.0, np.cumsum(np.where(p >= 0.5, p, 0.0))]
     most = np.zeros(n)
     full = np.flatnonzero(np.diff(offsets) > 0)
     if len(full):
@@ -157,7 +168,10 @@ def train(texts: pa.Array, toxic: np.ndarray, class_weight: tuple[float, float])
     y = offending(places, words.hashes, offsets, toxic)
     counts = np.r_[0, np.cumsum(y)]
     has = counts[offsets[1:]] > counts[offsets[:-1]]
-    use = np.repeat(~toxic | has, np.diff(offsets))  # toxic documents without a labelled token teach nothing here
+    taught = ~toxic | has  # toxic documents without a labelled token teach nothing here
+    turn = np.lexsort((np.arange(len(toxic)), ~toxic))  # toxic documents first, others as far as the bound allows
+    taught[turn] &= np.cumsum(np.where(taught, np.diff(offsets), 0)[turn]) <= TRAIN_TOKENS
+    use = np.repeat(taught, np.diff(offsets))
     kept = np.r_[0, np.cumsum(use)]
     at, off = [p[use] for p in places], kept[offsets]
     y1 = y[use].astype(float)
@@ -187,8 +201,7 @@ def train(texts: pa.Array, toxic: np.ndarray, class_weight: tuple[float, float])
         model.bias += RATE * total / np.sqrt(square_b)
         square_m += step**2
         model.move += RATE * step / np.sqrt(square_m)
-    _, _, p = marginals(model.emissions(places), offsets, model.move)
-    x = summary(p, offsets)
+    x = np.concatenate([model.summaries(places, offsets[i : i + 257]) for i in range(0, len(toxic), 256)])
     w = np.where(toxic, class_weight[1], class_weight[0])
     w = w / w.sum() * len(w)
     beta = np.zeros(3)
@@ -201,19 +214,19 @@ def train(texts: pa.Array, toxic: np.ndarray, class_weight: tuple[float, float])
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: tuple[int, int] = SAMPLE) -> Model | None:
     """Train on a bounded sample of the labelled documents."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max("toxic") > 0).alias("toxic"))
     counts = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
     chosen = None
-    for value in (False, True):
-        part = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(sample)
+    for value, most in zip((True, False), sample, strict=True):
+        part = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
     short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    # 2 * sample ids at most
-    rows = short.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").limit(2 * sample).toPandas()
+    # sum(sample) ids at most
+    rows = short.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").limit(sum(sample)).toPandas()
     toxic = rows.toxic.to_numpy(bool) if len(rows) else np.zeros(0, bool)
     if not toxic.any() or toxic.all():
         return None
