@@ -109,15 +109,14 @@ def ancestors(rows: DataFrame, current: DataFrame, owner: list[str]) -> DataFram
     A section that a level before has, or the rows themselves, is not added again.
     """
     key = [*owner, "rulebook_id", "section_key"]
-    seen = rows.select(*key).distinct()
-    frontier, found = rows, None
-    for level in range(1, ANCESTOR_LEVELS + 1):
-        wanted = frontier.where(F.col("parent_section_key").isNotNull()).select(*owner, "rulebook_id", F.col("parent_section_key").alias("section_key")).distinct()
-        following = current.join(wanted.join(seen, key, "left_anti"), ["rulebook_id", "section_key"]).withColumn("level", F.lit(level))
-        found = following if found is None else found.unionByName(following)
-        seen = seen.unionByName(following.select(*key))
-        frontier = following
-    return found
+    keys = current.select("rulebook_id", "section_key", F.col("parent_section_key").alias("up"))
+    step = rows.select(*owner, "rulebook_id", F.col("parent_section_key").alias("up"))
+    levels = []
+    for level in range(1, ANCESTOR_LEVELS + 1):  # keys only; whole sections are joined once, at the end
+        step = step.where(F.col("up").isNotNull()).select(*owner, "rulebook_id", F.col("up").alias("section_key")).distinct().join(keys, ["rulebook_id", "section_key"])
+        levels.append(step.select(*key, F.lit(level).alias("level")))
+    nearest = reduce(DataFrame.unionByName, levels).groupBy(*key).agg(F.min("level").alias("level"))
+    return nearest.join(rows.select(*key).distinct(), key, "left_anti").join(current, ["rulebook_id", "section_key"])
 
 
 def apply_corrections(chunks: DataFrame, receipts: DataFrame) -> DataFrame:
