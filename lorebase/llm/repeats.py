@@ -74,7 +74,8 @@ class Block:
         grams = rolled(h, k)
         anchor = leftmost_minimum(grams, window - k + 1)[self.starts]
         new = np.r_[True, anchor[1:] != anchor[:-1]]
-        self.distinct, place, self.times = np.unique(grams[anchor[new]], return_inverse=True, return_counts=True)
+        # anchors are minima, so their hashes crowd at the low end; mixed again they are even over the buckets
+        self.distinct, place, self.times = np.unique(mix(grams[anchor[new]] + np.uint64(0x51ED)), return_inverse=True, return_counts=True)
         #: each window's anchor among the distinct ones
         self.place = place[np.cumsum(new) - 1]
 
@@ -96,10 +97,8 @@ class Block:
         lead[order] = order[head][np.cumsum(head) - 1] if len(order) else 0
         later = (ids > ids[lead]) | (start > start[lead])
         sent = order[head]
-        anchor = self.distinct[self.place[use[sent]]] if len(sent) else np.zeros(0, np.uint64)
         edges = bucket_bounds(self.distinct, buckets)
         bucket = np.searchsorted(edges[1:], self.place[use[sent]], "right") if len(sent) else np.zeros(0, np.int64)
-        del anchor
         by = np.lexsort((start[sent], ids[sent], bucket))
         sent, bucket = sent[by], bucket[by]
         return at, lead, later, sent, np.searchsorted(bucket, np.arange(buckets + 1)), full, ids, start
