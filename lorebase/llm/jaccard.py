@@ -378,5 +378,21 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
+#: Shingles as text, links counted over shared ones, and what links reach.
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (SELECT doc_id, len(words) AS n, unnest(words) AS a, generate_subscripts(words, 1) AS pos FROM t),
+s AS (
+  SELECT DISTINCT doc_id, run FROM (
+    SELECT doc_id, n, pos, string_agg(a, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS run FROM w)
+  WHERE pos <= greatest(n - 2, 1)
+), size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.run = y.run AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * common >= 90 * (p.n + q.n - common)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT t.doc_id, coalesce(size.n, 0) AS n_shingles, c.component_id FROM t LEFT JOIN size ON size.doc_id = t.doc_id
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = t.doc_id
+"""
 QUERIES = {"op4_jaccard": op4_jaccard}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_jaccard": ORACLE}

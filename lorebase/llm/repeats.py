@@ -250,5 +250,17 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+#: Every window of 20 words as text; all but the first of equal ones cover what is removed.
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM t),
+g AS (SELECT doc_id, pos, word, count(*) OVER ahead AS n, string_agg(word, ' ') OVER ahead AS run
+      FROM w WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+f AS (SELECT doc_id, pos, word, n = 20 AND row_number() OVER (PARTITION BY n, run ORDER BY doc_id, pos) > 1 AS later FROM g),
+c AS (SELECT doc_id, pos, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k ON k.doc_id = t.doc_id
+"""
 QUERIES = {"op6_repeats": op6_repeats}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_repeats": ORACLE}
