@@ -164,7 +164,7 @@ def inside(words: Words, k: int, n: int | None = None) -> np.ndarray:
     return np.flatnonzero(np.arange(k, n + k) <= end)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """Cut a batch into row ranges of about ``limit`` text bytes (one row at least)."""
     at = batch.schema.get_field_index(column)
     lengths = batch.column(at).cast(pa.large_binary())

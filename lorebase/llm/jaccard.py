@@ -36,6 +36,8 @@ from lorebase.llm.tables import settle, table
 CELLS, ID_BITS = 1 << 20, 1 << 24
 #: Members of a posting list up to which all its pairs are made at once.
 SHORT = 6
+#: Members of a long list's largest component that one task holds against the others.
+PART = 512
 #: Parity bits of a set that are compared before the set itself.
 SKETCH = 2048
 SALTS = (np.uint64(0), np.uint64(0xA5A5F00D12345677), np.uint64(0x5DEECE66D1234567))
@@ -338,6 +340,19 @@ def across(percent: int):  # noqa: ANN201
     return run
 
 
+def dealt(members: DataFrame) -> DataFrame:
+    """Members of long lists that hold several components, each list in parts of bounded size.
+
+    The largest component's members are dealt out over the parts, all others go to each:
+    every pair of different components meets in some part.
+    """
+    parts = members.groupBy("bucket", "shingle", "component").agg(F.count(F.lit(1)).alias("many")).groupBy("bucket", "shingle")
+    lists = parts.agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.ceil(F.max("many") / PART).cast("int").alias("salts"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    own = F.array(F.pmod(F.xxhash64("x"), F.col("salts")).cast("int"))
+    salts = F.when(F.col("component") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    return members.join(lists, ["bucket", "shingle"]).select("bucket", "shingle", "x", "n", "component", F.explode(salts).alias("salt"))
+
+
 def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component of every row."""
     sc = docs.sparkSession.sparkContext
@@ -354,9 +369,7 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     if not members.isEmpty():
         known = components(links)
         labelled = members.join(known, members.x == known.id, "left").select("bucket", "shingle", "x", "n", F.coalesce("component", "x").alias("component"))
-        mixed = labelled.groupBy("bucket", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket", "shingle")
-        labelled = labelled.join(mixed, ["bucket", "shingle"], "left_semi").join(sketches.withColumnRenamed("id", "x"), ["x", "n"])
-        more = labelled.groupBy("bucket", "shingle").applyInArrow(across(percent), "x bigint, y bigint").distinct()
+        more = dealt(labelled).join(sketches.withColumnRenamed("id", "x"), ["x", "n"]).groupBy("bucket", "shingle", "salt").applyInArrow(across(percent), "x bigint, y bigint").distinct()
         links = settle(links.union(verify(more, base, sketches, k, percent)))
     classes = settle(rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("id").alias("first")))
     # rows of one id with different texts are one node

@@ -140,6 +140,7 @@ def jaccard_brute(rows, k, percent):
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (2, 50)])
 def test_jaccard_groups(spark, docs, monkeypatch, k, percent):
     monkeypatch.setattr(jaccard, "SHORT", 3)
+    monkeypatch.setattr(jaccard, "PART", 2)
     want = jaccard_brute([(r.doc_id, r.text) for r in docs.collect()], k, percent)
     got = jaccard.groups(docs, k, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(want)
