@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,7 +149,7 @@ def postings(k: int, percent: int, buckets: int, cells_ref):  # noqa: ANN001, AN
             for part in pieces(batch, "text"):
                 o, h, n = shingle_sets(part.column(1), k)
                 digest = digests(h, n)[0]
-                ids = part.column(0).to_numpy(zero_copy_only=False)
+                ids = pc.fill_null(part.column(0), 0).to_numpy(zero_copy_only=False)
                 known = ~np.asarray(part.column(0).is_null())
                 chosen = np.lexsort((ids, digest))
                 fresh = np.ones(len(chosen), bool)
