@@ -30,8 +30,9 @@ from lorebase.llm.arrays import pieces
 from lorebase.llm.tables import table
 
 GAP = 12
-#: A text with none of these words holds no sentence of the table.
-TRIGGER = re.compile(r"licen[cs]|copyright|spdx|permission|redistribut|warrant|public domain|liabilit|all rights reserved|creative commons|\bcc0\b|\bcc[- ]by", re.I)
+#: Every pattern of SENTENCES needs one of these; normalisation changes only what stands between words.
+TRIGGERS = ("licen", "copyright", "©", "(c)", "spdx", "permission", "redistribution", "warranty", "liable", "endorse", "advertising", "gpl", "cc0", "creative", "domain", "reserved")
+PHRASES = tuple(re.compile(p) for p in (r"free\W+software", r"hope\W+that", r"cc\W+by"))
 BREAK = re.compile(r"(?<=[.!?])(?=\s)|\n\s*\n|\n(?=\s*(?:\d+\.|[a-z]\)|[*#/-]+\s*$))")
 NOISE = re.compile(r"^[\s*#/;%<!>-]+", re.M)
 
@@ -118,6 +119,11 @@ def normalised(sentence: str) -> str:
     return " ".join(NOISE.sub(" ", sentence).translate(_QUOTES).lower().split())
 
 
+def triggered(low: str) -> bool:
+    """Can the lower-cased text, normalised or not, hold a sentence of the table?"""
+    return any(w in low for w in TRIGGERS) or any(p.search(low) for p in PHRASES)
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans of the text's sentences; one does not run across a blank line."""
     out, at = [], 0
@@ -134,10 +140,9 @@ def recognised(text: str) -> list[tuple[int, str, dict, int, int]]:
     """(number of sentence, identifier, captures, start, end) of every known licence sentence."""
     out = []
     for number, (a, b) in enumerate(sentences(text)):
-        raw = text[a:b]
-        if not TRIGGER.search(raw) and not re.search(r"free software|hope that|in compliance|source code must|endorse", raw, re.I):
+        clean = normalised(text[a:b])
+        if not triggered(clean):
             continue
-        clean = normalised(raw)
         taken: list[tuple[int, int]] = []
         for name, pattern in _COMPILED:
             for m in pattern.finditer(clean):
@@ -159,7 +164,7 @@ def _named(rule: str, captures: dict) -> str:
 
 def licences(text: str | None) -> tuple[list[Match], int]:
     """Licences by the first rules that match, and how many licence sentences were recognised."""
-    if not text or not TRIGGER.search(text):
+    if not text or not triggered(text.lower()):
         return [], 0
     seen = recognised(text)
     free = [True] * len(seen)

@@ -369,6 +369,56 @@ def test_licences(said, names):
     assert list(dict.fromkeys(m.licence for m in licences.licences(said)[0] if m.licence != "unmatched")) == names
 
 
+@pytest.mark.parametrize(
+    ("said", "names"),
+    [
+        ("Released under the GNU GPL v2.", ["gpl-2"]),
+        ("This module uses GPLv3.", ["gpl-3"]),
+        ("Licensed under CC BY-NC 4.0. Its tools use GPLv3.", ["cc-by-nc-4.0", "gpl-3"]),
+        ("It is dedicated to the public\ndomain.", ["public-domain"]),
+        ("# All rights\n# reserved.", ["all-rights-reserved"]),
+        ("Under Creative\nCommons Attribution 4.0.", ["cc-by-4.0"]),
+        ("Under CC\nBY 4.0.", ["cc-by-4.0"]),
+    ],
+)
+def test_licences_without_plain_trigger_words(said, names):
+    assert list(dict.fromkeys(m.licence for m in licences.licences(said)[0] if m.licence != "unmatched")) == names
+
+
+def matching(parsed, rng):
+    """A random text that the parsed pattern matches; look-around and anchors are left out."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "ANY":
+            out += " "
+        elif op == "IN":
+            kind, value = arg[rng.integers(len(arg))]
+            out += chr(value if str(kind) == "LITERAL" else value[0]) if str(kind) in ("LITERAL", "RANGE") else {"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": " "}[str(value)]
+        elif op == "BRANCH":
+            out += matching(arg[1][rng.integers(len(arg[1]))], rng)
+        elif op == "SUBPATTERN":
+            out += matching(arg[3], rng)
+        elif op == "MAX_REPEAT":
+            out += "".join(matching(arg[2], rng) for _ in range(rng.integers(arg[0], min(arg[1], arg[0] + 2) + 1)))
+        elif op == "ASSERT":
+            out += matching(arg[1], rng)
+    return out
+
+
+@pytest.mark.parametrize(("name", "pattern"), licences.SENTENCES)
+def test_every_licence_sentence_is_triggered(name, pattern):
+    rng = np.random.default_rng(3)
+    texts = [matching(re._parser.parse(pattern), rng) for _ in range(150)]
+    texts = [t for t in texts if re.search(pattern, t)]  # a part that may be empty can leave two words joined
+    assert len(texts) >= 10
+    for text in texts:
+        for gap in (" ", "\n", "\r\n\t", "\n# ", "\n * ", "\u00a0"):
+            assert licences.triggered(text.replace(" ", gap)), (name, text)
+
+
 def test_licence_scan_keeps_rows(spark, docs, empty):
     more = docs.union(spark.createDataFrame([(900, "a. Released under the MIT License. b", "", "", 0)] * 2, DOCS))
     got = licences.scan(more)
