@@ -5,8 +5,8 @@ length and punctuation are summed over the page and divided by the path's nodes;
 both ratios are fused, smoothed over the page's order with a Gaussian, and nodes
 whose value reaches a share of the page's deviation are content.  Parts that HTML
 itself marks (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments; by element, role, class or id) are never content.  A page
-that marks its article keeps all other text inside it: its paths score as content.
+styles, reader comments; by element, role, class or id) are never content.  The
+ratios choose on every page; all other text inside a marked article is kept besides.
 A block is a run of text between block-level tags; it is kept or dropped whole.
 
 The work of a page stays in its row: there is no shuffle, and memory is one batch.
@@ -173,20 +173,16 @@ def extract(html: str | None) -> str:
         smooth.append(sum(v * w for v, w in window) / sum(w for _, w in window))
     mean = sum(smooth) / len(smooth)
     limit = SHARE * math.sqrt(sum((v - mean) ** 2 for v in smooth) / len(smooth))
-    marked = any(b[4] for b in blocks)
-    if marked:
-        keep = [b[4] for b in blocks]
-    else:
-        keep = [v >= limit and b[3] <= 0.5 * b[1] for v, b in zip(smooth, blocks, strict=True)]
-        chosen = [b for b, k in zip(blocks, keep, strict=True) if k] or blocks
-        weight: dict[int, int] = {}
-        for b in chosen:
-            for e in b[6]:
-                weight[e] = weight.get(e, 0) + b[1]
-        whole = sum(b[1] for b in chosen)
-        home = max((e for e, w in weight.items() if w >= 0.9 * whole), default=0)
-        # what shares the innermost container of the content belongs to it, links aside
-        keep = [k or home in b[6] and b[3] <= 0.5 * b[1] for k, b in zip(keep, blocks, strict=True)]
+    keep = [v >= limit and b[3] <= 0.5 * b[1] for v, b in zip(smooth, blocks, strict=True)]
+    chosen = [b for b, k in zip(blocks, keep, strict=True) if k] or blocks
+    weight: dict[int, int] = {}
+    for b in chosen:
+        for e in b[6]:
+            weight[e] = weight.get(e, 0) + b[1]
+    whole = sum(b[1] for b in chosen)
+    home = max((e for e, w in weight.items() if w >= 0.9 * whole), default=0)
+    # what shares the innermost container of the content belongs to it, links aside; so does what the page marks
+    keep = [k or b[4] or home in b[6] and b[3] <= 0.5 * b[1] for k, b in zip(keep, blocks, strict=True)]
     lines = (" ".join(unescape("".join(b[0])).split()) for b, k in zip(blocks, keep, strict=True) if k)
     return "\n".join(x for x in lines if x)
 

@@ -338,6 +338,13 @@ def test_extraction_cases():
     assert pathratio.extract("<article><p>cut off &amp") == "cut off &" and pathratio.extract("<article><p>cut <b") == "cut"
 
 
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_extraction_of_a_body_beside_a_teaser(tag):
+    body = "This is a long sentence, with punctuation; and it goes on for a while. " * 3
+    page = f'<nav><a href="/">Home</a></nav><{tag}><p>A teaser.</p></{tag}><div><p>{body}</p><p>{body}</p></div><div><a href="/a">More</a> <a href="/b">links</a></div>'
+    assert pathratio.extract(page) == f"A teaser.\n{body.strip()}\n{body.strip()}"
+
+
 def test_extraction_of_whole_pages(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     texts = {" ".join(r.text.split()) for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()}
