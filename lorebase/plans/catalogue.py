@@ -561,9 +561,9 @@ def answer_status(s, d):
 
 
 def _words(s: SparkSession, d: str) -> DataFrame:
-    """The first three lines of short documents as words on pages; first lines bold."""
-    docs = fx.table(s, d, "documents").where("doc_id < 200 AND n_chars < 2000")
-    lines = docs.select(F.col("doc_id").cast("int").alias("page"), F.posexplode(F.slice(F.split("text", "\n"), 1, 3)).alias("i", "line"))
+    """All lines of all documents as words on pages; first lines bold."""
+    docs = fx.table(s, d, "documents")
+    lines = docs.select(F.col("doc_id").cast("int").alias("page"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
     words = lines.select("page", "i", F.posexplode(F.split("line", " ")).alias("j", "text")).where("text <> ''")
     return words.select(
         "page", "text", (F.lit(40.0) + F.col("j") * 30).alias("x0"), (F.lit(65.0) + F.col("j") * 30).alias("x1"), (F.lit(41.0) + F.col("i") * 13).alias("top"), (F.lit(50.0) + F.col("i") * 13 + (F.col("j") % 2) * 0.5).alias("bottom"),
@@ -578,8 +578,16 @@ def line_clustering(s, d):
 
 @query()
 def section_tree(s, d):
-    chapters = s.createDataFrame([(0, 99, "one", "First", "section"), (100, 199, "two", "Second", "definition")], "first_page int, last_page int, chapter string, chapter_title string, chapter_kind string")
-    return layout.sections(layout.chapter_of(layout.text_lines(_words(s, d)), chapters)).select("section_key", "parent_section_key", "kind", "section_title", F.size("blocks").alias("n_blocks"))
+    pages = fx.table(s, d, "documents").select(F.col("doc_id").cast("int").alias("page")).distinct()
+    n = F.expr("floor(page / 100)").cast("int")
+    named = lambda first, second, rest: F.when(F.col("n") == 0, first).when(F.col("n") == 1, second).otherwise(F.concat(F.lit(rest), F.col("n")))
+    chapters = pages.select(n.alias("n")).distinct().select(
+        (F.col("n") * 100).alias("first_page"), (F.col("n") * 100 + 99).alias("last_page"), named("one", "two", "chapter-").alias("chapter"), named("First", "Second", "Chapter ").alias("chapter_title"),
+        F.when(F.col("n") % 2 == 0, "section").otherwise("definition").alias("chapter_kind"),
+    )
+    # ranges meet pages, not lines: there are many more lines than pages
+    lines = layout.text_lines(_words(s, d)).join(layout.chapter_of(pages, chapters), "page")
+    return layout.sections(lines).select("section_key", "parent_section_key", "kind", "section_title", F.size("blocks").alias("n_blocks"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id < 100 THEN 'one' WHEN doc_id < 600 THEN 'two' ELSE 'three' END AS chapter FROM documents WHERE doc_id < 2000")
