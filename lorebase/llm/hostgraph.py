@@ -52,7 +52,7 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:  # noqa
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst, links) over different hosts, counted before they are shuffled."""
     links = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1)))
-    out = pages.where(F.col(html_col).contains("://") | F.col(html_col).contains('"//')).select(host_of(F.col(url_col)).alias("src"), links.alias("link"))
+    out = pages.where(F.col(html_col).contains("//")).select(host_of(F.col(url_col)).alias("src"), links.alias("link"))
     full = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), F.col("link"))).otherwise(F.col("link"))
     return out.select("src", host_of(full).alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
