@@ -151,12 +151,12 @@ def postings(k: int, percent: int, buckets: int, cells_ref):  # noqa: ANN001, AN
                 digest = digests(h, n)[0]
                 ids = pc.fill_null(part.column(0), 0).to_numpy(zero_copy_only=False)
                 known = ~np.asarray(part.column(0).is_null())
-                chosen = np.lexsort((ids, digest))
+                chosen = np.flatnonzero(known & (n > 0))
+                chosen = chosen[np.lexsort((ids[chosen], digest[chosen]))]
                 fresh = np.ones(len(chosen), bool)
                 fresh[1:] = digest[chosen][1:] != digest[chosen][:-1]
                 use = np.zeros(len(n), bool)
                 use[chosen[fresh]] = True
-                use &= known & (n > 0)
                 key = order_key(h, 0, cells)
                 order = np.lexsort((key, o))
                 rank = np.arange(len(o)) - np.repeat(np.cumsum(n) - n, n)
