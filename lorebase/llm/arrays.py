@@ -164,15 +164,15 @@ def inside(words: Words, k: int, n: int | None = None) -> np.ndarray:
     return np.flatnonzero(np.arange(k, n + k) <= end)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
-    """Cut a batch into row ranges of about ``limit`` text bytes (one row at least)."""
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20, rows: int = 1 << 16):
+    """Cut a batch into ranges of about ``limit`` text bytes (one row at least) and at most ``rows`` rows."""
     values = batch.column(batch.schema.get_field_index(column))
     wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
     sizes = np.diff(np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)) if len(values) else np.zeros(0, np.int64)
     total = np.cumsum(sizes)
     begin = 0
     while begin < batch.num_rows:
-        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + limit, "right")))
+        end = min(begin + rows, max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + limit, "right"))))
         yield batch.slice(begin, end - begin)
         begin = end
         pa.default_memory_pool().release_unused()

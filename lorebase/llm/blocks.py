@@ -14,24 +14,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of stored input in a block, about; and how many blocks at least.
-BLOCK_BYTES, LEAST_BLOCKS = 5 << 20, 8
-#: Bits of a hash that an entry carries.  A bucket's hashes agree in the first few, so
-#: about as many are left whatever the number of buckets.
-HASH_BITS = 48
+#: Bytes of text in a block, and in a bucket's share, about; and how many there are at least.
+BLOCK_TEXT, BUCKET_TEXT, LEAST_BLOCKS = 9 << 20, 32 << 20, 8
+#: Bits of a hash that an entry carries where a collision only costs time.
+SHORT_BITS = 48
 
 
-def stored_bytes(df: DataFrame) -> int:
-    """Size of the input as its files have it, else by a pass over the rows."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 46:
-        return size
-    columns = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) for c, t in df.dtypes if t == "string"]
-    return int(df.agg(F.sum(sum(columns, F.lit(0)))).first()[0] or 0) // 2
+def text_size(df: DataFrame, column: str) -> int:
+    """Bytes of text, measured by a pass over the column: no estimate of the optimiser is used."""
+    return int(df.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0)
 
 
-def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    return max(LEAST_BLOCKS, -(-stored_bytes(df) // block_bytes))
+def block_count(size: int, share: int = BLOCK_TEXT) -> int:
+    return max(LEAST_BLOCKS, -(-size // share))
+
+
+def bucket_count(size: int) -> int:
+    """Buckets are counted apart from blocks: fewer and larger, so a (block, bucket) row stays long."""
+    return block_count(size, BUCKET_TEXT)
 
 
 def block_of(blocks: int, *columns: str) -> Column:
@@ -61,9 +61,9 @@ def unpacked(data: memoryview) -> np.ndarray:
     return wide.view("<i8").ravel()
 
 
-def low_bytes(ordered: np.ndarray) -> bytes:
-    """Ascending hashes, as far as an entry carries them: the steps between their first HASH_BITS bits."""
-    short = ordered >> np.uint64(64 - HASH_BITS)
+def low_bytes(ordered: np.ndarray, bits: int = 64) -> bytes:
+    """Ascending hashes as the steps between their first ``bits`` bits."""
+    short = ordered >> np.uint64(64 - bits)
     return short[:1].astype("<u8").tobytes() + packed(np.diff(short)) if len(short) else b""
 
 

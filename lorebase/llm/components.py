@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.tables import settle
+from lorebase.llm.tables import release, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,16 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder after each.
     """
     both = settle(edges.select("x", "y").union(edges.select(F.col("y"), F.col("x"))).where("x <> y").distinct())
-    labels = both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("component"))
-    labels = settle(labels)
+    labels = settle(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
     while True:
         near = both.join(labels, both.y == labels.id).groupBy(F.col("x").alias("of")).agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.id == near.of).select("id", "component", F.least("component", "near").alias("low"))
-        step = settle(step)
+        step = settle(labels.join(near, labels.id == near.of).select("id", "component", F.least("component", "near").alias("low")))
         up = step.select(F.col("id").alias("at"), F.col("low").alias("above"))
-        jumped = step.join(up, step.low == up.at, "left").select("id", "component", F.least("low", F.coalesce("above", "low")).alias("next"))
-        jumped = settle(jumped)
+        jumped = settle(step.join(up, step.low == up.at, "left").select("id", "component", F.least("low", F.coalesce("above", "low")).alias("next")))
         moved = not jumped.where("next < component").isEmpty()
+        release(labels, step)
         labels = jumped.select("id", F.col("next").alias("component"))
+        labels.__dict__["settled_path"] = jumped.__dict__["settled_path"]
         if not moved:
+            release(both)
             return labels

@@ -27,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm.arrays import _BASE, mix, words_of
-from lorebase.llm.blocks import block_count, block_of, bucket_bounds, buffers, from_low, low_bytes, packed, scattered, unpacked
+from lorebase.llm.blocks import block_count, block_of, bucket_bounds, bucket_count, buffers, from_low, low_bytes, packed, scattered, text_size, unpacked
 from lorebase.llm.tables import settle, table
 
 START, END = np.uint64(0x1234567), np.uint64(0xFEDCBA987654321)
 #: Context buckets, and steps of the histogram (8 to a factor of 2) that EM reads.
 CONTEXTS, STEPS, PER_OCTAVE = 40, 320, 8
 WORD, PAIR = 0, 1
+#: Bits of a bigram's hash in an exchange: estimates bear a rare collision, words' counts are by whole hashes.
+PAIR_BITS = 56
 
 
 def tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +80,7 @@ def ask(buckets: int):  # noqa: ANN201
             for b in range(buckets):
                 i, j = cuts[b], cuts[b + 1]
                 if i < j:
-                    for name, value in zip(rows, (block, kind, b, low_bytes(distinct[i:j]), packed(counts[i:j])), strict=True):
+                    for name, value in zip(rows, (block, kind, b, low_bytes(distinct[i:j], 64 if kind == WORD else PAIR_BITS), packed(counts[i:j])), strict=True):
                         rows[name].append(value)
         return pa.table(rows, schema=pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
@@ -215,10 +217,11 @@ def scorer(weights: np.ndarray, total: int, types: int, docs: int, id_col: str):
 def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all texts by a model of those that are not ``held_out``."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    blocks = block_count(docs)
-    texts = base.withColumn("block", block_of(blocks, "id", "text"))
+    size = text_size(docs, text_col)
+    blocks, buckets = block_count(size), bucket_count(size)
+    texts = base.withColumn("block", block_of(blocks, "id", "text")).repartition(blocks, "block")
     kind = base.schema["id"].dataType.simpleString()
-    asked = texts.groupBy("block").applyInArrow(ask(blocks), ASKED)
+    asked = texts.groupBy("block").applyInArrow(ask(buckets), ASKED)
     answers = asked.groupBy("kind", "bucket").applyInArrow(answer, ANSWERED)
     # every answer has its types once: the sum over all blocks is the corpus's
     met = settle(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, MET.format(kind)))

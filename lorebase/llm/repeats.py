@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm.arrays import _BASE, Words, inside, mix, words_of
-from lorebase.llm.blocks import block_count, block_of, bucket_bounds, buffers, from_low, low_bytes
+from lorebase.llm.blocks import block_count, block_of, bucket_bounds, bucket_count, buffers, from_low, low_bytes, text_size
 from lorebase.llm.tables import table
 
 LAST = np.iinfo(np.int64).max
@@ -233,9 +233,10 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
 
     ``cut``: leave the text as it is but for the removed spans; else join words by one space.
     """
-    buckets = block_count(docs)
+    size = text_size(docs, text_col)
+    blocks, buckets = block_count(size), bucket_count(size)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
-    texts = base.withColumn("block", block_of(buckets, "id", "text"))
+    texts = base.withColumn("block", block_of(blocks, "id", "text")).repartition(blocks, "block")
     by_block = texts.groupBy("block")
     known = by_block.applyInArrow(seeds(window, buckets), ROWS_SQL).groupBy("bucket").applyInArrow(shared_seeds, REPLY_SQL)
     sent = by_block.cogroup(known.groupBy("block")).applyInArrow(extensions(window, buckets), ROWS_SQL)
