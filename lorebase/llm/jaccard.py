@@ -11,8 +11,8 @@ as fingerprints; only the pairs in the intersection have their sets compared.
 
 Copies are one class before they are joined.  A long posting list, as a group of
 thousands of near copies makes, is first joined as a star.  Members of a long list
-that are then in different components meet again under the second order, where lists
-of unrelated documents fall apart; what is long there too is dealt as pairs of parts
+that are then in different components meet again under another order of rare shingles first,
+where lists of unrelated documents fall apart; what is long there too is dealt as pairs of parts
 of bounded size.  So the pairs of a group are never all made, and no link between
 components is lost.
 
@@ -42,7 +42,7 @@ from lorebase.llm.tables import release, scratch, settle, table
 #: Prefix tokens of the first order that a pair must share, where it must share so many at all.
 LEAST = 4
 #: Members of a posting list up to which all its pairs are made at once.
-SHORT = 6
+SHORT = 48
 #: Members in a part of a list that is long under two orders.
 PART = 512
 #: Parity bits of a set that are compared within such parts.
@@ -133,7 +133,7 @@ def profile(k: int, percent: int, cells: int):  # noqa: ANN201
                 o, h, n = shingle_sets(part.column(1), k)
                 a, b = digests(h, n)
                 many, times = np.unique(h, return_counts=True)
-                common = times > 2
+                common = times > 1
                 at = (many[common] & np.uint64(cells - 1)).astype(np.int64)
                 order = np.argsort(at)
                 at, times = at[order], times[common][order]
@@ -240,6 +240,9 @@ def candidates(percent: int):  # noqa: ANN201
         fresh[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1]) | (n[1:] != n[:-1])
         token, ids, n = token[fresh], ids[fresh], n[fresh]
         _, start, size = np.unique(token, return_index=True, return_counts=True)
+        several = np.repeat(size > 1, size)  # a token of one class is no list
+        token, ids, n, size = token[several], ids[several], n[several], size[size > 1]
+        start = np.cumsum(size) - size
         long = np.repeat(size > SHORT, size)
         xs, ys, sure = [], [], []
         for d in range(1, min(SHORT, len(token))):
@@ -400,7 +403,7 @@ class Join:
         return self.spark.sparkContext.broadcast(candidate_bits(pairs.select("x").union(pairs.select("y")), self.bits))
 
     def candidates(self) -> DataFrame:
-        cells = self.spark.sparkContext.broadcast(common_cells(self.profiles, self.cells).tobytes())
+        self.common = cells = self.spark.sparkContext.broadcast(common_cells(self.profiles, self.cells).tobytes())
         entries = self.base.mapInArrow(postings(self.k, self.percent, self.buckets, cells), "bucket int, tokens binary, ids binary, sizes binary, digests binary")
         return settle(entries.groupBy("bucket").applyInArrow(candidates(self.percent), "x bigint, y bigint, times int, need int, token bigint"))
 
@@ -438,11 +441,13 @@ class Join:
         if apart_.isEmpty():
             return None
         bits = self.spark.sparkContext.broadcast(candidate_bits(apart_.select("x"), self.bits))
+        common = self.common
 
         def second(part: pa.RecordBatch) -> list:
+            cells = np.frombuffer(common.value, np.uint8)
             o, h, n = shingle_sets(part.column(1), k)
             sketch = parity(h, o, part.num_rows)
-            tokens = np.split(prefixes(o, h, n, prefix_length(n, percent), 1)[1].astype(np.int64), np.cumsum(prefix_length(n, percent))[:-1])
+            tokens = np.split(prefixes(o, h, n, prefix_length(n, percent), 1, cells)[1].astype(np.int64), np.cumsum(prefix_length(n, percent))[:-1])
             return [part.column(0), n, [x.tobytes() for x in sketch], tokens]
 
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.list_(pa.int64()))])
