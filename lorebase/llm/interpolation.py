@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm.arrays import _BASE, mix, words_of
+from lorebase.llm.arrays import _BASE, mix, tidied, words_of
 from lorebase.llm.blocks import block_count, block_of, bucket_bounds, bucket_count, buffers, from_low, low_bytes, packed, scattered, text_size, unpacked
 from lorebase.llm.tables import settle, table
 
@@ -221,10 +221,10 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     blocks, buckets = block_count(size), bucket_count(size)
     texts = base.withColumn("block", block_of(blocks, "id", "text")).repartition(blocks, "block")
     kind = base.schema["id"].dataType.simpleString()
-    asked = texts.groupBy("block").applyInArrow(ask(buckets), ASKED)
-    answers = asked.groupBy("kind", "bucket").applyInArrow(answer, ANSWERED)
+    asked = texts.groupBy("block").applyInArrow(tidied(ask(buckets)), ASKED)
+    answers = asked.groupBy("kind", "bucket").applyInArrow(tidied(answer), ANSWERED)
     # every answer has its types once: the sum over all blocks is the corpus's
-    met = settle(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, MET.format(kind)))
+    met = settle(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidied(meet), MET.format(kind)))
     sums = met.where("cells IS NOT NULL").agg(F.sum("types"), F.sum("tokens"), F.sum("docs")).first()
     types, total, n_docs = (int(x or 0) for x in sums)
 

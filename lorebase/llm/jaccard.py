@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm.arrays import _BASE, mix, pieces, runs, words_of
+from lorebase.llm.arrays import _BASE, mix, pieces, runs, tidied, words_of
 from lorebase.llm.blocks import bucket_count, buffers, from_low, low_bytes, packed, text_size, unpacked
 from lorebase.llm.components import components
 from lorebase.llm.tables import release, scratch, settle, table
@@ -170,7 +170,7 @@ def common_cells(profiles: DataFrame, cells: int) -> np.ndarray:
 
     sparse = profiles.where("cells IS NOT NULL").select("slice", F.pmod(F.xxhash64("cells"), F.lit(32)).cast("int").alias("part"), "cells", "times")
     schema = "slice int, part int, cells binary, times binary"
-    found = sparse.groupBy("slice", "part").applyInArrow(summed, schema).withColumn("part", F.lit(0)).groupBy("slice", "part").applyInArrow(summed, schema)
+    found = sparse.groupBy("slice", "part").applyInArrow(tidied(summed), schema).withColumn("part", F.lit(0)).groupBy("slice", "part").applyInArrow(tidied(summed), schema)
     out = np.zeros(cells, np.uint8)
     for row in found.toLocalIterator():  # cells / SLICE rows
         at, times = np.frombuffer(row.cells, np.int32), np.frombuffer(row.times, np.int32)
@@ -338,7 +338,7 @@ def candidate_bits(ids: DataFrame, bits: int) -> bytes:
         return pa.table({"slice": part.column("slice")[:1], "at": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
 
     out = np.zeros(max(bits, SLICE) // 8, np.uint8)
-    for row in ids.mapInArrow(opened, "slice int, at binary").groupBy("slice").applyInArrow(merged, "slice int, at binary").toLocalIterator():
+    for row in ids.mapInArrow(opened, "slice int, at binary").groupBy("slice").applyInArrow(tidied(merged), "slice int, at binary").toLocalIterator():
         out[row.slice * SLICE // 8 : (row.slice + 1) * SLICE // 8] = np.frombuffer(row.at, np.uint8)
     return out.tobytes()
 
@@ -405,7 +405,7 @@ class Join:
     def candidates(self) -> DataFrame:
         self.common = cells = self.spark.sparkContext.broadcast(common_cells(self.profiles, self.cells).tobytes())
         entries = self.base.mapInArrow(postings(self.k, self.percent, self.buckets, cells), "bucket int, tokens binary, ids binary, sizes binary, digests binary")
-        return settle(entries.groupBy("bucket").applyInArrow(candidates(self.percent), "x bigint, y bigint, times int, need int, token bigint"))
+        return settle(entries.groupBy("bucket").applyInArrow(tidied(candidates(self.percent)), "x bigint, y bigint, times int, need int, token bigint"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The distinct ``pairs`` that pass the other orders' filters and whose sets are similar."""
@@ -460,7 +460,7 @@ class Join:
         lists = lists.select("token", "main", F.ceil(F.col("most") / PART).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / PART).cast("int").alias("others"))
         dealt = salted(entries, lists).select("token", "x", "n", "component", F.explode(parts_of()).alias("at")).select("token", "x", "n", "component", "at.a", "at.b")
         sketches = found.select(F.col("id").alias("x"), "n", "sketch")
-        pairs = dealt.join(sketches, ["x", "n"]).groupBy("token", "a", "b").applyInArrow(apart_pairs(percent), "x bigint, y bigint").distinct()
+        pairs = dealt.join(sketches, ["x", "n"]).groupBy("token", "a", "b").applyInArrow(tidied(apart_pairs(percent)), "x bigint, y bigint").distinct()
         return self.verified(pairs)
 
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm.arrays import _BASE, Words, inside, mix, words_of
+from lorebase.llm.arrays import _BASE, Words, inside, mix, tidied, words_of
 from lorebase.llm.blocks import block_count, block_of, bucket_bounds, bucket_count, buffers, from_low, low_bytes, text_size
 from lorebase.llm.tables import table
 
@@ -238,11 +238,11 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     texts = base.withColumn("block", block_of(blocks, "id", "text")).repartition(blocks, "block")
     by_block = texts.groupBy("block")
-    known = by_block.applyInArrow(seeds(window, buckets), ROWS_SQL).groupBy("bucket").applyInArrow(shared_seeds, REPLY_SQL)
-    sent = by_block.cogroup(known.groupBy("block")).applyInArrow(extensions(window, buckets), ROWS_SQL)
-    replies = known.union(sent.groupBy("bucket").applyInArrow(later_windows, REPLY_SQL))
+    known = by_block.applyInArrow(tidied(seeds(window, buckets)), ROWS_SQL).groupBy("bucket").applyInArrow(tidied(shared_seeds), REPLY_SQL)
+    sent = by_block.cogroup(known.groupBy("block")).applyInArrow(tidied(extensions(window, buckets)), ROWS_SQL)
+    replies = known.union(sent.groupBy("bucket").applyInArrow(tidied(later_windows), REPLY_SQL))
     kinds = "".join(f", `keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = by_block.cogroup(replies.groupBy("block")).applyInArrow(cleaned(window, buckets, cut, keep), f"id bigint, text string, n_words bigint, n_removed bigint, spans array<array<int>>{kinds}")
+    out = by_block.cogroup(replies.groupBy("block")).applyInArrow(tidied(cleaned(window, buckets, cut, keep)), f"id bigint, text string, n_words bigint, n_removed bigint, spans array<array<int>>{kinds}")
     return out.withColumnsRenamed({"id": id_col, "text": text_col, **{f"keep_{c}": c for c in keep}})
 
 
