@@ -31,7 +31,7 @@ from lorebase.llm.arrays import pieces
 from lorebase.llm.tables import table
 
 #: Characters of text whose distinct pieces are merged together.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 
 
 class Merges:

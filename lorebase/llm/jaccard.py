@@ -315,7 +315,8 @@ def intersected(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFram
 
     left, right = (profiles.select(F.col("id").alias(c), F.col("prints").alias(f"p{c}"), F.col("n").alias(f"n{c}")) for c in "xy")
     fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
-    return pairs.join(left, "x").join(right, "y").where(fits).select("x", "y", "px", "py").mapInArrow(run, "x bigint, y bigint")
+    # merge joins: a broadcast would put several Python workers into one stage
+    return pairs.hint("merge").join(left, "x").hint("merge").join(right, "y").where(fits).select("x", "y", "px", "py").mapInArrow(run, "x bigint, y bigint")
 
 
 def id_bit(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -427,7 +428,7 @@ class Join:
         schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
         texts = self.base.mapInArrow(of_candidates(sets, bits, self.bits, schema), "id bigint, shingles binary")
         p, q = (texts.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "xy")
-        out = settle(left.join(p, "x").join(q, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x bigint, y bigint").distinct())
+        out = settle(left.hint("merge").join(p, "x").hint("merge").join(q, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x bigint, y bigint").distinct())
         release(left, pairs)
         return out
 
