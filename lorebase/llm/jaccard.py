@@ -44,7 +44,7 @@ LEAST = 4
 #: Members of a posting list up to which all its pairs are made at once.
 SHORT = 48
 #: Members in a part of a list that is long under two orders.
-PART = 512
+PART = 256
 #: Parity bits of a set that are compared within such parts.
 SKETCH = 2048
 #: Most cells of the table of common shingles (a byte each) and bits of the table of candidates; both grow with the input up to here.
@@ -449,10 +449,10 @@ class Join:
             o, h, n = shingle_sets(part.column(1), k)
             sketch = parity(h, o, part.num_rows)
             tokens = np.split(prefixes(o, h, n, prefix_length(n, percent), 1, cells)[1].astype(np.int64), np.cumsum(prefix_length(n, percent))[:-1])
-            return [part.column(0), n, [x.tobytes() for x in sketch], tokens]
+            return [part.column(0), n, [x.tobytes() for x in sketch], [low_bytes(x) for x in np.split(h, np.cumsum(n)[:-1])], tokens]
 
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.list_(pa.int64()))])
-        found = self.base.mapInArrow(of_candidates(second, bits, self.bits, schema), "id bigint, n bigint, sketch binary, tokens array<bigint>").where("n > 0")
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+        found = self.base.mapInArrow(of_candidates(second, bits, self.bits, schema), "id bigint, n bigint, sketch binary, shingles binary, tokens array<bigint>").where("n > 0")
         found = settle(found.join(apart_.withColumnRenamed("x", "id"), "id"))
         entries = found.select(F.explode("tokens").alias("token"), F.col("id").alias("x"), "n", "component")
         # component sizes of each list, counted before they are shuffled
@@ -460,9 +460,8 @@ class Join:
         lists = sizes.groupBy("token").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.max("many").alias("most"), F.sum("many").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
         lists = lists.select("token", "main", F.ceil(F.col("most") / PART).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / PART).cast("int").alias("others"))
         dealt = salted(entries, lists).select("token", "x", "n", "component", F.explode(parts_of()).alias("at")).select("token", "x", "n", "component", "at.a", "at.b")
-        sketches = found.select(F.col("id").alias("x"), "n", "sketch")
-        pairs = dealt.join(sketches, ["x", "n"]).groupBy("token", "a", "b").applyInArrow(tidied(apart_pairs(percent)), "x bigint, y bigint").distinct()
-        return self.verified(pairs)
+        sets = found.select(F.col("id").alias("x"), "n", "sketch", "shingles")
+        return settle(dealt.join(sets, ["x", "n"]).groupBy("token", "a", "b").applyInArrow(tidied(apart_links(percent)), "x bigint, y bigint").distinct())
 
 
 def salted(rows: DataFrame, lists: DataFrame) -> DataFrame:
@@ -482,19 +481,28 @@ def parts_of():  # noqa: ANN201
     return F.when(F.col("component") == F.col("main"), F.transform(others, lambda j: at(main, j))).otherwise(F.concat(with_main, with_others))
 
 
-def apart_pairs(percent: int):  # noqa: ANN201
-    """Pairs within two parts of a list whose components differ and whose sizes and sketches allow the similarity."""
+def apart_links(percent: int):  # noqa: ANN201
+    """Links that join the components met in two parts of a list; one for each two that become one."""
 
     def run(part: pa.Table) -> pa.Table:
-        ids, n, comp = (part.column(c).to_numpy() for c in ("x", "n", "component"))
+        ids, n, root = (part.column(c).to_numpy().copy() for c in ("x", "n", "component"))
         sketch = np.stack([np.frombuffer(x, np.uint8) for x in buffers(part.column("sketch"))]).view(np.uint64)
+        packed_sets, sets = buffers(part.column("shingles")), {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = from_low(packed_sets[i])
+            return sets[i]
+
         xs, ys = [], []
         for i in range(1, len(ids)):
-            j = np.flatnonzero((comp[:i] != comp[i]) & enough(n[:i], n[i], percent))
+            j = np.flatnonzero((root[:i] != root[i]) & enough(n[:i], n[i], percent))
             j = j[~apart(sketch[j], sketch[i], n[j] + n[i], percent)]
-            xs.append(np.minimum(ids[j], ids[i])), ys.append(np.maximum(ids[j], ids[i]))
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+            for k in j.tolist():
+                if root[k] != root[i] and similar(of(i), of(k), percent):
+                    xs.append(min(ids[k], ids[i])), ys.append(max(ids[k], ids[i]))
+                    root[root == root[k]] = root[i]
+        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
 
     return run
 
