@@ -4,11 +4,14 @@ A passage of ``window`` words or more that also starts earlier (in a document of
 smaller id, or before in the same one) is removed, word by word: a word goes if some
 window over it is a repeat.  Seeds are winnowed anchors: of the runs of ``k`` words
 in a window the one with the smallest hash, so equal windows have the same anchor at
-the same place.  Blocks first learn which of their anchors occur elsewhere; only
-round those are matches extended both ways, by comparing the windows that an anchor
-stands for, and adjoining windows merge to maximal repeats.  Of windows that a block
-holds several times only the earliest is sent, so a passage that a third of all
-documents share costs one entry per block.
+the same place.  Blocks first learn which of their anchors occur elsewhere.  Round
+those, a seed stands for the windows that hold it; each meets the first place of its
+words in the corpus, and windows that follow one another in both documents extend to
+a maximal repeat: its first word and length, and the document and word it repeats.
+A longer repeat is cut only where its words also start at a still earlier place.  Of
+windows that a block holds several times only the earliest is sent, so a passage
+that a third of all documents share costs one entry per block, and documents are
+joined with the first that holds a passage, not pairwise.
 
 The texts are dealt out once; the three steps use that exchange again.
 
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm.arrays import _BASE, Words, inside, mix, tidied, words_of
-from lorebase.llm.blocks import block_count, block_of, bucket_bounds, bucket_count, buffers, from_low, low_bytes, text_size
+from lorebase.llm.blocks import block_count, block_of, bucket_bounds, bucket_count, buffers, from_low, low_bytes, packed, text_size, unpacked
 from lorebase.llm.tables import table
 
 LAST = np.iinfo(np.int64).max
@@ -106,8 +109,12 @@ class Block:
 
 ROWS = pa.schema([("block", pa.int32()), ("step", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 ROWS_SQL = "block int, step int, bucket int, a binary, b binary, c binary"
-REPLY = pa.schema([("block", pa.int32()), ("step", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
-REPLY_SQL = "block int, step int, bucket int, bits binary"
+REPLY = pa.schema([("block", pa.int32()), ("step", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary())])
+REPLY_SQL = "block int, step int, bucket int, bits binary, ids binary, starts binary"
+
+
+REPEAT = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source_id", pa.int64()), ("source_start", pa.int32())])
+REPEAT_SQL = "array<struct<start:int,length:int,source_id:bigint,source_start:int>>"
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -137,9 +144,28 @@ def shared_seeds(part: pa.Table) -> pa.Table:
     return _replies(part, several[place], sizes)
 
 
-def _replies(part: pa.Table, bits: np.ndarray, sizes: list[int]) -> pa.Table:
-    parts = [np.packbits(x).tobytes() for x in np.split(bits, np.cumsum(sizes)[:-1])]
-    return pa.table([part.column("block"), part.column("step"), part.column("bucket"), pa.array(parts, pa.binary())], schema=REPLY)
+def _replies(part: pa.Table, bits: np.ndarray, sizes: list[int], ids: np.ndarray | None = None, starts: np.ndarray | None = None) -> pa.Table:
+    """Answers to each row's entries: a bit, and where it is set and places are given, the place."""
+    cuts = np.cumsum(sizes)[:-1]
+    each = np.split(bits, cuts)
+    parts = [np.packbits(x).tobytes() for x in each]
+    if ids is None:
+        places = [[None] * len(parts)] * 2
+    else:
+        places = [[x[b].tobytes() for x, b in zip(np.split(ids, cuts), each, strict=True)], [packed(x[b]) for x, b in zip(np.split(starts, cuts), each, strict=True)]]
+    return pa.table([part.column("block"), part.column("step"), part.column("bucket"), *(pa.array(x, pa.binary()) for x in (parts, *places))], schema=REPLY)
+
+
+def _places(replies: pa.Table, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, start) of the first equal of each sent window that has an earlier one."""
+    steps, bucket = replies.column("step").to_numpy(), replies.column("bucket").to_numpy()
+    ids, starts = buffers(replies.column("ids")), buffers(replies.column("starts"))
+    rows = [i for i in np.argsort(bucket, kind="stable") if steps[i] == 2]
+    out = np.zeros(len(earlier), np.int64), np.zeros(len(earlier), np.int64)
+    if rows:
+        out[0][earlier] = np.concatenate([np.frombuffer(ids[i], np.int64) for i in rows])
+        out[1][earlier] = np.concatenate([unpacked(starts[i]) for i in rows])
+    return out
 
 
 def _bits(replies: pa.Table, step: int, sizes: np.ndarray) -> np.ndarray:
@@ -180,27 +206,39 @@ def later_windows(part: pa.Table) -> pa.Table:
     head = np.r_[True, hashes[order][1:] != hashes[order][:-1]]
     lead = np.empty(len(order), np.int64)
     lead[order] = order[head][np.cumsum(head) - 1]
-    return _replies(part, (ids > ids[lead]) | (start > start[lead]), sizes)
+    return _replies(part, (ids > ids[lead]) | (start > start[lead]), sizes, ids[lead], start[lead])
 
 
 def cleaned(window: int, buckets: int, cut: bool, keep: tuple[str, ...] = ()):  # noqa: ANN201
-    """Step 3: the texts without repeats, with word counts and spans of removed words."""
+    """Step 3: windows extend to maximal repeats; the texts without them, with word counts."""
 
     def run(part: pa.Table, replies: pa.Table) -> pa.Table:
-        names = ["id", "text", "n_words", "n_removed", "spans", *(f"keep_{c}" for c in keep)]
+        names = ["id", "text", "n_words", "n_removed", "spans", "repeats", *(f"keep_{c}" for c in keep)]
         if not part.num_rows:
-            return pa.table([part.column("id"), part.column("text"), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())))), *(part.column(c) for c in names[5:])], names=names)
+            return pa.table([part.column("id"), part.column("text"), *(pa.array([], t) for t in (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(REPEAT))), *(part.column(c) for c in names[6:])], names=names)
         block = Block(part, window)
         words = block.words
         gone = np.zeros(len(words.hashes) + 1, np.int32)
+        found: list[list[dict]] = [[] for _ in range(block.part.num_rows)]
         if replies.num_rows and len(block.distinct):
             repeated = _bits(replies, 1, np.diff(bucket_bounds(block.distinct, buckets)))
-            at, lead, later, sent, cuts, *_ = block.chosen(repeated, window, buckets)
+            at, lead, later, sent, cuts, _, ids, start = block.chosen(repeated, window, buckets)
             earlier = np.zeros(len(at), bool)
             earlier[sent] = _bits(replies, 2, np.diff(cuts))
-            hits = at[later | earlier[lead]]
-            np.add.at(gone, hits, 1)
-            np.add.at(gone, hits + window, -1)
+            # a window's source is the first place of all, or else its block's first
+            first_id, first_start = ids.copy(), start.copy()
+            first_id[sent], first_start[sent] = (np.where(earlier[sent], x, y[sent]) for x, y in zip(_places(replies, earlier[sent]), (ids, start), strict=True))
+            hit = np.flatnonzero(later | earlier[lead])
+            hit = hit[np.argsort(at[hit], kind="stable")]
+            place, source, begin = at[hit], first_id[lead[hit]], first_start[lead[hit]]
+            owner = np.searchsorted(words.offsets, place, "right") - 1
+            # windows that follow one another here and there are one repeat
+            head = np.flatnonzero(np.r_[True, (np.diff(place) != 1) | (np.diff(owner) != 0) | (np.diff(source) != 0) | (np.diff(begin) != 1)]) if len(hit) else np.zeros(0, np.int64)
+            long = np.diff(np.r_[head, len(hit)]) + window - 1
+            np.add.at(gone, place[head], 1)
+            np.add.at(gone, place[head] + long, -1)
+            for o, p, n, d, q in zip(owner[head].tolist(), (place[head] - words.offsets[owner[head]]).tolist(), long.tolist(), source[head].tolist(), begin[head].tolist(), strict=True):
+                found[o].append({"start": p, "length": n, "source_id": None if d == LAST else d, "source_start": q})
         gone = np.cumsum(gone)[:-1] > 0
         texts, removed, spans = [], [], []
         data = words.data.tobytes()
@@ -221,7 +259,7 @@ def cleaned(window: int, buckets: int, cut: bool, keep: tuple[str, ...] = ()):
             runs = [data[words.starts[s] : words.ends[e - 1]] for s, e in kept.tolist()]
             texts.append(b"\n".join(runs) if cut else b" ".join(w for r in runs for w in r.split()))
         return pa.table(
-            [block.part.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words.counts(), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), *(block.part.column(c) for c in names[5:])],
+            [block.part.column("id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words.counts(), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(found, pa.list_(REPEAT)), *(block.part.column(c) for c in names[6:])],
             names=names,
         )
 
@@ -229,7 +267,8 @@ def cleaned(window: int, buckets: int, cut: bool, keep: tuple[str, ...] = ()):
 
 
 def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", cut: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, kept text, n_words, n_removed, ``spans`` of removed words [first, after last], and the columns in ``keep``.
+    """Per row: id, kept text, n_words, n_removed, ``spans`` of removed words [first, after last],
+    the maximal ``repeats`` they come from, and the columns in ``keep``.
 
     ``cut``: leave the text as it is but for the removed spans; else join words by one space.
     """
@@ -242,7 +281,7 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     sent = by_block.cogroup(known.groupBy("block")).applyInArrow(tidied(extensions(window, buckets)), ROWS_SQL)
     replies = known.union(sent.groupBy("bucket").applyInArrow(tidied(later_windows), REPLY_SQL))
     kinds = "".join(f", `keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = by_block.cogroup(replies.groupBy("block")).applyInArrow(tidied(cleaned(window, buckets, cut, keep)), f"id bigint, text string, n_words bigint, n_removed bigint, spans array<array<int>>{kinds}")
+    out = by_block.cogroup(replies.groupBy("block")).applyInArrow(tidied(cleaned(window, buckets, cut, keep)), f"id bigint, text string, n_words bigint, n_removed bigint, spans array<array<int>>, repeats {REPEAT_SQL}{kinds}")
     return out.withColumnsRenamed({"id": id_col, "text": text_col, **{f"keep_{c}": c for c in keep}})
 
 

@@ -9,9 +9,12 @@ each token's marginal.  A document's score is a logistic function of the expecte
 number of offending tokens and of the largest marginal; runs of tokens whose
 marginal is a half or more are its offending spans.
 
-Training is bounded: ``SAMPLE`` labelled documents of each label, texts of at most
-``SAMPLE_BYTES``, chosen by a hash of the id, are all that reaches the driver; the
-chain is trained on ``TRAIN_TOKENS`` of their tokens at most.
+Training is bounded by rows: ``SAMPLE`` labelled documents of each label, chosen by
+a hash of the id, are read whole, wherever they are long.  Executors cut them into
+passages of ``PASSAGE`` words, and ``PASSAGES`` of each label, again by hash and so
+from all over the texts, are all the text that reaches the driver; the chain is
+trained on them in batches.  The logistic function is fitted to the whole sampled
+documents, of which executors return three numbers each.
 Scoring covers whole texts and all rows, without a shuffle.
 
 Defined results: null and empty texts have no tokens and the score of such a
@@ -32,14 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm.arrays import NON_WORD, mix, pieces, text_bytes, words_of
-from lorebase.llm.tables import table
+from lorebase.llm.tables import release, settle, table
 
-#: Labelled documents that the driver reads at most (toxic, others), and bytes of each; tokens that train the chain.
-SAMPLE, SAMPLE_BYTES, TRAIN_TOKENS = (700, 2800), 1 << 13, 400_000
+#: Labelled documents that are learnt from at most (toxic, others); their passages, and words of each.
+SAMPLE, PASSAGES, PASSAGE = (700, 2800), (1500, 4000), 512
 PREFIXES, SUFFIXES = (4, 5), (3,)
 BITS = 18
 EVIDENCE, PRECISION = 24.0, 0.9
-EPOCHS, RATE, DECAY = 30, 0.6, 1e-5
+EPOCHS, RATE, DECAY, BATCH = 8, 0.4, 1e-2, 1 << 17
 CHUNK = 256
 LIMIT = 30.0
 
@@ -110,10 +113,8 @@ class Model:
         return e
 
     def summaries(self, places: list[np.ndarray], offsets: np.ndarray) -> np.ndarray:
-        """Summaries of the documents between the first and the last of ``offsets``."""
-        part = slice(offsets[0], offsets[-1])
-        own = offsets - offsets[0]
-        return summary(marginals(self.emissions([p[part] for p in places]), own, self.move)[2], own)
+        """Summaries of the documents that ``offsets`` bound."""
+        return summary(marginals(self.emissions(places), offsets, self.move)[2], offsets)
 
     def score(self, summaries: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(summaries @ self.logistic, -LIMIT, LIMIT)))
@@ -161,57 +162,82 @@ def offending(places: list[np.ndarray], words: np.ndarray, offsets: np.ndarray,
     return out & bad
 
 
-def train(texts: pa.Array, toxic: np.ndarray, class_weight: tuple[float, float]) -> Model:
-    """Fit the chain on token labels, then the logistic function on documents."""
+def train(texts: pa.Array, toxic: np.ndarray) -> Model:
+    """Fit the chain on token labels; the logistic function is still to be fitted."""
     words, places = features(texts)
     offsets = words.offsets
     y = offending(places, words.hashes, offsets, toxic)
     counts = np.r_[0, np.cumsum(y)]
-    has = counts[offsets[1:]] > counts[offsets[:-1]]
-    taught = ~toxic | has  # toxic documents without a labelled token teach nothing here
-    turn = np.lexsort((np.arange(len(toxic)), ~toxic))  # toxic documents first, others as far as the bound allows
-    taught[turn] &= np.cumsum(np.where(taught, np.diff(offsets), 0)[turn]) <= TRAIN_TOKENS
-    use = np.repeat(taught, np.diff(offsets))
-    kept = np.r_[0, np.cumsum(use)]
-    at, off = [p[use] for p in places], kept[offsets]
-    y1 = y[use].astype(float)
+    # passages of toxic documents without a labelled token teach nothing here
+    taught = np.flatnonzero(~toxic | (counts[offsets[1:]] > counts[offsets[:-1]]))
+    taught = np.random.default_rng(11).permutation(taught)
+    sizes = np.diff(offsets)[taught]
+    batches = np.split(taught, np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH)) + 1) if len(taught) else []
     model = Model(np.zeros((len(places), 1 << BITS)), -2.0, np.zeros((2, 2)), np.zeros(3))
-    square_w, square_b, square_m = np.full_like(model.weights, 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    first = np.zeros(len(y1), bool)
+    squares = [np.full_like(model.weights, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
+    for _ in range(EPOCHS):
+        for part in batches:
+            take = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in part])
+            off = np.r_[0, np.cumsum(np.diff(offsets)[part])]
+            if len(take):
+                _climb(model, squares, [p[take] for p in places], off, y[take].astype(float), DECAY / len(batches))
+    return model
+
+
+def _climb(model: Model, squares: list, at: list[np.ndarray], off: np.ndarray, y: np.ndarray, decay: float) -> None:
+    """One step on the likelihood of a batch, scaled by the gradients seen so far."""
+    e = model.emissions(at)
+    ahead, back, p = marginals(e, off, model.move)
+    first = np.zeros(len(y), bool)
     first[off[:-1][np.diff(off) > 0]] = True
     inner = np.flatnonzero(~first)
-    for _ in range(EPOCHS if len(y1) else 0):
-        ahead, back, p = marginals(model.emissions(at), off, model.move)
-        wrong = y1 - p
-        x = np.exp(np.clip(model.emissions(at), -LIMIT, LIMIT))
-        # pairs of states: forward of the one before, transition, emission and backward of this one
-        t = np.exp(model.move)
-        f, g = ahead[inner - 1], x[inner] * back[inner]
-        joint = np.stack([np.full(len(inner), t[0, 0]), t[0, 1] * g, t[1, 0] * f, t[1, 1] * f * g])
-        joint /= joint.sum(0)
-        now, before = y1[inner], y1[inner - 1]
-        seen = np.array([((1 - before) * (1 - now)).sum(), ((1 - before) * now).sum(), (before * (1 - now)).sum(), (before * now).sum()])
-        step = (seen - joint.sum(1)).reshape(2, 2)
-        for k, place in enumerate(at):
-            grad = np.bincount(place, wrong, 1 << BITS) - DECAY * len(y1) * model.weights[k] / max(1, len(y1) / 1000)
-            square_w[k] += grad**2
-            model.weights[k] += RATE * grad / np.sqrt(square_w[k])
-        total = wrong.sum()
-        square_b += total**2
-        model.bias += RATE * total / np.sqrt(square_b)
-        square_m += step**2
-        model.move += RATE * step / np.sqrt(square_m)
-    x = np.concatenate([model.summaries(places, offsets[i : i + 257]) for i in range(0, len(toxic), 256)])
+    wrong = y - p
+    # pairs of states: forward of the one before, transition, emission and backward of this one
+    t = np.exp(model.move)
+    f, g = ahead[inner - 1], np.exp(np.clip(e[inner], -LIMIT, LIMIT)) * back[inner]
+    joint = np.stack([np.full(len(inner), t[0, 0]), t[0, 1] * g, t[1, 0] * f, t[1, 1] * f * g])
+    joint /= joint.sum(0)
+    now, before = y[inner], y[inner - 1]
+    seen = np.array([((1 - before) * (1 - now)).sum(), ((1 - before) * now).sum(), (before * (1 - now)).sum(), (before * now).sum()])
+    step = (seen - joint.sum(1)).reshape(2, 2)
+    for k, place in enumerate(at):
+        grad = np.bincount(place, wrong, 1 << BITS) - decay * model.weights[k]
+        squares[0][k] += grad**2
+        model.weights[k] += RATE * grad / np.sqrt(squares[0][k])
+    total = wrong.sum()
+    squares[1] += total**2
+    model.bias += RATE * total / np.sqrt(squares[1])
+    squares[2] += step**2
+    model.move += RATE * step / np.sqrt(squares[2])
+
+
+def logistic(x: np.ndarray, toxic: np.ndarray, class_weight: tuple[float, float]) -> np.ndarray:
+    """Ridged Newton steps on the documents' summaries."""
     w = np.where(toxic, class_weight[1], class_weight[0])
     w = w / w.sum() * len(w)
     beta = np.zeros(3)
-    for _ in range(50):  # ridged Newton steps
+    for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -LIMIT, LIMIT)))
         ridge = np.diag([0.01, 0.05, 0.05])
         step = np.linalg.solve((x * (w * q * (1 - q))[:, None]).T @ x + ridge, x.T @ (w * (toxic - q)) - ridge @ beta)
         beta += np.clip(step, -2, 2)
-    model.logistic = beta
-    return model
+    return beta
+
+
+def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts in runs of PASSAGE words."""
+    for batch in batches:
+        for part in pieces(batch, "text"):
+            words = words_of(part.column(1), separators=NON_WORD, hashed=False)
+            data, bounds = text_bytes(part.column(1))
+            data = data.tobytes()
+            who, cut = [], []
+            for i in np.flatnonzero(words.counts()).tolist():
+                heads = words.starts[words.offsets[i] : words.offsets[i + 1] : PASSAGE].tolist()
+                ends = [*heads[1:], int(bounds[i + 1])]
+                who += [i] * len(heads)
+                cut += [data[s:e].decode("utf-8", "ignore") for s, e in zip(heads, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(2).take(pa.array(who, pa.int64())), pa.array(cut, pa.string())], names=["toxic", "passage"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: tuple[int, int] = SAMPLE) -> Model | None:
@@ -224,13 +250,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for value, most in zip((True, False), sample, strict=True):
         part = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    short = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # sum(sample) ids at most
-    rows = short.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "text").limit(sum(sample)).toPandas()
-    toxic = rows.toxic.to_numpy(bool) if len(rows) else np.zeros(0, bool)
+    taught = settle(texts.join(F.broadcast(chosen), "id").select("id", "text", "toxic"))
+    cut = taught.mapInArrow(passages, "toxic boolean, passage string")
+    found = [cut.where(F.col("toxic") == value).orderBy(F.xxhash64("passage"), "passage").limit(most).toPandas() for value, most in zip((True, False), PASSAGES, strict=True)]
+    toxic = np.repeat([True, False], [len(x) for x in found])
     if not toxic.any() or toxic.all():
         return None
-    return train(pa.array(rows.text.tolist(), pa.string()), toxic, (counts[False] / (~toxic).sum(), counts[True] / toxic.sum()))
+    model = train(pa.array([x for part in found for x in part.passage], pa.string()), toxic)
+    known = summarised(taught, model).orderBy(F.xxhash64("id"), "id", "most", "amount").limit(sum(sample)).toPandas()
+    release(taught)
+    marks = known.toxic.to_numpy(bool)
+    if not marks.any() or marks.all():
+        return None
+    x = np.stack([np.ones(len(known)), known.amount.to_numpy(), known.most.to_numpy()], 1)
+    model.logistic = logistic(x, marks, (counts[False] / (~marks).sum(), counts[True] / marks.sum()))
+    return model
+
+
+def summarised(taught: DataFrame, model: Model) -> DataFrame:
+    """(id, toxic, amount, most): the two summaries of each whole document."""
+    ref = taught.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = pickle.loads(ref.value)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                words, places = features(part.column(1))
+                x = m.summaries(places, words.offsets)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x[:, 1]), pa.array(x[:, 2])], names=["id", "toxic", "amount", "most"])
+
+    kind = taught.schema["id"].dataType.simpleString()
+    return taught.mapInArrow(run, f"id {kind}, toxic boolean, amount double, most double")
 
 
 def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -182,6 +182,27 @@ def test_repeats(spark, docs, window):
     assert got == want
 
 
+@pytest.mark.parametrize("window", [20, 4])
+def test_repeats_are_maximal(docs, window):
+    rows = {r.doc_id: split(r.text, False) for r in docs.collect()}
+    first = {}
+    for i in sorted(rows):
+        for j in range(len(rows[i]) - window + 1):
+            first.setdefault(tuple(rows[i][j : j + window]), (i, j))
+    got = repeats.without_repeats(docs, window).collect()
+    assert sum(len(r.repeats) for r in got) > 10
+    for r in got:
+        w, gone = rows[r.doc_id], set()
+        for x in r.repeats:
+            s, n, t = x.start, x.length, rows[x.source_id]
+            assert n >= window and w[s : s + n] == t[x.source_start : x.source_start + n] and (x.source_id, x.source_start) < (r.doc_id, s)
+            for j in (s - 1, s + n - window + 1):  # one word further is another source's, or no repeat
+                g = tuple(w[j : j + window]) if j >= 0 else ()
+                assert len(g) < window or first[g] != (x.source_id, x.source_start + j - s)
+            gone |= set(range(s, s + n))
+        assert len(gone) == r.n_removed
+
+
 def test_repeats_cut_keeps_layout(spark):
     passage = " ".join(f"p{i}" for i in range(25))
     rows = [(1, f"a  b\n{passage}\nc", "en", "s", 1), (2, f"x  y\n{passage}\n\nz", "de", "t", 1), (3, None, None, None, None), (None, passage, "fr", "u", 1)]
