@@ -159,8 +159,8 @@ def _replies(part: pa.Table, bits: np.ndarray, sizes: list[int], ids: np.ndarray
 def _places(replies: pa.Table, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(id, start) of the first equal of each sent window that has an earlier one."""
     steps, bucket = replies.column("step").to_numpy(), replies.column("bucket").to_numpy()
-    ids, starts = buffers(replies.column("ids")), buffers(replies.column("starts"))
     rows = [i for i in np.argsort(bucket, kind="stable") if steps[i] == 2]
+    ids, starts = (dict(zip(rows, buffers(replies.column(c).take(pa.array(rows, pa.int64()))), strict=True)) for c in ("ids", "starts"))
     out = np.zeros(len(earlier), np.int64), np.zeros(len(earlier), np.int64)
     if rows:
         out[0][earlier] = np.concatenate([np.frombuffer(ids[i], np.int64) for i in rows])
@@ -226,8 +226,9 @@ def cleaned(window: int, buckets: int, cut: bool, keep: tuple[str, ...] = ()):
             earlier = np.zeros(len(at), bool)
             earlier[sent] = _bits(replies, 2, np.diff(cuts))
             # a window's source is the first place of all, or else its block's first
-            first_id, first_start = ids.copy(), start.copy()
-            first_id[sent], first_start[sent] = (np.where(earlier[sent], x, y[sent]) for x, y in zip(_places(replies, earlier[sent]), (ids, start), strict=True))
+            first_id, first_start, known = ids.copy(), start.copy(), earlier[sent]
+            got_id, got_start = _places(replies, known)
+            first_id[sent], first_start[sent] = np.where(known, got_id, ids[sent]), np.where(known, got_start, start[sent])
             hit = np.flatnonzero(later | earlier[lead])
             hit = hit[np.argsort(at[hit], kind="stable")]
             place, source, begin = at[hit], first_id[lead[hit]], first_start[lead[hit]]
