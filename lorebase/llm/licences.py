@@ -1,197 +1,315 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each normalised (case, quotes, comment marks, spelling
-and white space); a table maps normalised sentences to identifiers of known licence
-sentences.  A document is then its sequence of identifiers with their places, and
-ordered rules are matched against that sequence: each rule lists the identifiers
-that follow one another (other sentences may stand between them, ``GAP`` at most);
-the first rule that matches names the licence and takes its sentences out of the
-game, so a general rule never reads what a more specific one has used.
-
-A document's work stays in its row: there is no shuffle.
+A text is cut into sentences, each normalised to its words: lower-cased runs of
+letters and digits, so case, quotes, comment marks, line breaks and punctuation do
+not matter, and licence and license are one word.  A table maps known licence
+sentences, as word sequences, to identifiers; variable parts (a licence's name and
+version, a year) stand in it written out, by rule.  A known sentence is recognised
+where its words stand side by side within one sentence of the text, the longest
+first.  A document is then its sequence of identifiers, and ordered rules are
+matched against it: a rule lists identifiers that follow one another, however many
+other sentences stand between them; the first rule that matches names the licence
+and takes its sentences out of the game, so a general rule never reads what a more
+specific one has used.
+
+Texts are hashed as whole batches; only places whose first words begin a known
+sentence are looked up.  A document's work stays in its row: there is no shuffle.
 
 Defined results: null and empty texts and texts without licence sentences have no
 licence; a recognised sentence that no rule uses is reported as ``unmatched``;
-licences are listed in order of first occurrence, each once; repeated rows each get
-their row; extra columns are ignored; an empty table gives no rows.
+licences are listed in order of first occurrence, each once; a very long text is
+read in slices, whole; repeated rows each get their row; extra columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import product
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm.arrays import pieces
+from lorebase.llm.arrays import NON_WORD, Words, mix, pieces, words_of
 from lorebase.llm.tables import table
 
-GAP = 12
-#: Every pattern of SENTENCES needs one of these; normalisation changes only what stands between words.
-TRIGGERS = ("licen", "copyright", "©", "(c)", "spdx", "permission", "redistribution", "warranty", "liable", "endorse", "advertising", "gpl", "cc0", "creative", "domain", "reserved")
-PHRASES = tuple(re.compile(p) for p in (r"free\W+software", r"hope\W+that", r"cc\W+by"))
-BREAK = re.compile(r"(?<=[.!?])(?=\s)|\n\s*\n|\n(?=\s*(?:\d+\.|[a-z]\)|[*#/-]+\s*$))")
-NOISE = re.compile(r"^[\s*#/;%<!>-]+", re.M)
-
-
-class Match(NamedTuple):
-    licence: str
-    start: int
-    end: int
-
-
-#: Identifier -> pattern of a whole or part of a normalised sentence, most specific first.
-SENTENCES: tuple[tuple[str, str], ...] = (
-    ("spdx", r"\bspdx-license-identifier ?: ?(?P<name>[a-z0-9.+-]+)"),
-    ("apache-2", r"\blicensed under (?:the )?apache (?:software )?license,? ?(?:version|v\.?)? ?2(?:\.0)?\b"),
-    ("apache-obtain", r"\byou may obtain a copy of the license at\b"),
-    ("apache-comply", r"\byou may not use this file except in compliance with the license\b"),
-    ("apache-asis", r"\bunless required by applicable law or agreed to in writing,? software distributed under the license is distributed on an \"?as is\"? basis\b"),
-    ("mit-name", r"\b(?:released|licensed|distributed|available|provided) under (?:the )?(?:terms of the )?(?:mit|expat) licen[cs]e\b"),
-    ("mit-grant", r"\bpermission is hereby granted, free of charge, to any person obtaining a copy of this software\b"),
-    ("mit-notice", r"\bthe above copyright notice and this permission notice shall be included in all copies\b"),
-    ("asis", r"\b(?:the|this) software is provided \"?as is\"?,? without warranty of any kind\b"),
-    ("no-liability", r"\bin no event shall the (?:authors|copyright holders?|copyright owner|regents)\b.*\bbe liable\b"),
-    ("isc-grant", r"\bpermission to use, copy, modify,? and/?(?:or)? distribute this software for any purpose with or without fee is hereby granted\b"),
-    ("bsd-name", r"\b(?:released|licensed|distributed|available|provided) under (?:the )?(?:terms of the )?(?P<n>[234])-clause bsd licen[cs]e\b"),
-    ("bsd-plain", r"\b(?:released|licensed|distributed|available|provided) under (?:the |a )?(?:terms of the )?bsd(?:-style)? licen[cs]e\b"),
-    ("bsd-grant", r"\bredistribution and use in source and binary forms,? with or without modification,? are permitted provided that\b"),
-    ("bsd-source", r"\bredistributions of source code must retain the above copyright notice\b"),
-    ("bsd-binary", r"\bredistributions in binary form must reproduce the above copyright notice\b"),
-    ("bsd-endorse", r"\bmay (?:not )?be used to endorse or promote products derived from this software\b"),
-    ("bsd-advert", r"\ball advertising materials mentioning features or use of this software must display\b"),
-    ("agpl", r"\b(?:gnu )?affero general public licen[cs]e,? ?(?:as published by the free software foundation[,;]? ?)?(?:either )?(?:version|v)? ?(?P<v>\d)?"),
-    ("lgpl", r"\b(?:gnu )?(?:lesser|library) general public licen[cs]e,? ?(?:as published by the free software foundation[,;]? ?)?(?:either )?(?:version|v)? ?(?P<v>\d(?:\.\d)?)?"),
-    ("gpl", r"\b(?:gnu general public licen[cs]e|gnu gpl|gplv?(?=\d))(?: as published by the free software foundation)?[,;]? ?(?:either )?(?:version|v)? ?(?P<v>\d)?"),
-    ("gpl-free", r"\bthis program is free software\b"),
-    ("gpl-hope", r"\bdistributed in the hope that it will be useful\b"),
-    ("gpl-received", r"\byou should have received a copy of the\b.*\bgeneral public licen[cs]e\b"),
-    ("mpl", r"\bmozilla public licen[cs]e,? ?(?:version|v\.?)? ?(?P<v>[12]\.[01])?"),
-    ("epl", r"\beclipse public licen[cs]e,? ?(?:-|version|v\.?)? ?(?P<v>[12]\.0)?"),
-    ("cc0", r"\bcc0(?: 1\.0)?\b|\bcreative commons zero\b"),
-    ("cc", r"\b(?:cc|creative commons)[ -](?P<kind>by(?:-(?:nc|sa|nd))*)(?:[ -](?P<v>[1-4]\.\d))?\b"),
-    ("cc-long", r"\bcreative commons attribution(?P<kind>(?:[ -](?:noncommercial|non-commercial|sharealike|share alike|noderivatives|noderivs|no derivatives))*)(?: (?P<v>[1-4]\.\d))?"),
-    ("public-domain", r"\b(?:released|placed|dedicated|are|is) (?:in(?:to)?|to) the public domain\b"),
-    ("unlicense", r"\bthis is free and unencumbered software released into the public domain\b"),
-    ("rights", r"\ball rights reserved\b"),
-    ("copyright", r"\bcopyright (?:\(c\)|©)? ?\d{4}|^\(c\) \d{4}|©\s*\d{4}"),
+#: Sentences of licence texts and notices -> identifier.
+TEXTS: tuple[tuple[str, str], ...] = (
+    ("mit-grant", "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit-grant", "permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit-notice", "the above copyright notice and this permission notice shall be included in all copies"),
+    ("as-is", "the software is provided as is, without warranty of any kind"),
+    ("as-is", "this software is provided as is, without warranty of any kind"),
+    ("as-is", "the software is provided as is and the author disclaims all warranties"),
+    ("as-is", "this software is provided by the copyright holders and contributors as is"),
+    ("as-is", "this software is provided as is, without any express or implied warranty"),
+    ("no-liability", "in no event shall the authors or copyright holders be liable"),
+    ("no-liability", "in no event shall the copyright holder or contributors be liable"),
+    ("no-liability", "in no event shall the copyright owner or contributors be liable"),
+    ("isc-grant", "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-grant", "permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd-grant", "redistribution and use in source and binary forms, with or without modification, are permitted provided that"),
+    ("bsd-source", "redistributions of source code must retain the above copyright notice"),
+    ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-endorse", "may be used to endorse or promote products derived from this software"),
+    ("bsd-endorse", "may not be used to endorse or promote products derived from this software"),
+    ("bsd-advert", "all advertising materials mentioning features or use of this software must display"),
+    ("apache-comply", "you may not use this file except in compliance with the license"),
+    ("apache-obtain", "you may obtain a copy of the license at"),
+    ("apache-asis", "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis"),
+    ("gnu-free", "this program is free software"),
+    ("gnu-free", "this library is free software"),
+    ("gnu-free", "is free software: you can redistribute it and/or modify it under the terms of the"),
+    ("gnu-later", "or (at your option) any later version"),
+    ("gnu-hope", "distributed in the hope that it will be useful"),
+    ("gnu-received", "you should have received a copy of the gnu general public license"),
+    ("gnu-received", "you should have received a copy of the gnu lesser general public license"),
+    ("gnu-received", "you should have received a copy of the gnu affero general public license"),
+    ("mpl-form", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl-form", "this source code form is subject to the terms of the mozilla public license, v. 2.0"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose, including commercial applications"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("public-domain", "released into the public domain"),
+    ("public-domain", "released to the public domain"),
+    ("public-domain", "placed in the public domain"),
+    ("public-domain", "placed into the public domain"),
+    ("public-domain", "dedicated to the public domain"),
+    ("public-domain", "is in the public domain"),
+    ("public-domain", "are in the public domain"),
+    ("rights", "all rights reserved"),
+    ("spdx", "spdx-license-identifier"),
+)
+#: Names that say a licence wherever they stand, with the versions they take; {} is the version.
+NAMES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
+    ("apache-{}", ("apache license", "apache software license"), ("1.0", "1.1", "2.0", "2")),
+    ("gpl-{}", ("gnu general public license", "gnu general public license as published by the free software foundation", "gnu general public license as published by the free software foundation either", "gnu gpl", "general public license"), ("1", "2", "3", "2.0", "3.0", "")),
+    ("lgpl-{}", ("gnu lesser general public license", "gnu library general public license", "gnu lesser general public license as published by the free software foundation", "gnu lesser general public license as published by the free software foundation either", "gnu lgpl", "lesser general public license"), ("2", "2.0", "2.1", "3", "3.0", "")),
+    ("agpl-{}", ("gnu affero general public license", "gnu affero general public license as published by the free software foundation", "gnu affero general public license as published by the free software foundation either", "gnu agpl", "affero general public license"), ("1", "3", "3.0", "")),
+    ("mpl-{}", ("mozilla public license",), ("1.0", "1.1", "2.0", "")),
+    ("epl-{}", ("eclipse public license",), ("1.0", "2.0", "")),
+    ("cc0-1.0", ("cc0", "cc0 1.0", "creative commons zero"), ("",)),
+)
+#: Names that are common words too: licences only after an opening.
+AFTER_OPENING: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("mit", ("mit license", "expat license", "mit")),
+    ("bsd-2-clause", ("2-clause bsd license", "bsd 2-clause license", "simplified bsd license")),
+    ("bsd-3-clause", ("3-clause bsd license", "bsd 3-clause license", "new bsd license", "modified bsd license", "revised bsd license")),
+    ("bsd-4-clause", ("4-clause bsd license", "bsd 4-clause license", "original bsd license")),
+    ("bsd", ("bsd license", "bsd-style license", "bsd style license")),
+    ("isc", ("isc license",)),
+    ("zlib", ("zlib license",)),
 )
-#: Ordered rules: sentence identifiers that follow one another -> licence; {name} is what a sentence captured.
+VERBS = ("licensed under", "released under", "distributed under", "available under", "provided under", "published under", "covered by", "licensed according to")
+ARTICLES = ("", "the", "a", "an", "the terms of the", "the terms of")
+#: Short forms of one word: gplv3, lgpl-2.1.
+SHORT = (("gpl-{}", "gpl", ("2", "3", "2.0", "3.0")), ("lgpl-{}", "lgpl", ("2.1", "3", "3.0")), ("agpl-{}", "agpl", ("3", "3.0")), ("mpl-{}", "mpl", ("1.1", "2.0")))
+CREATIVE = (("cc", "creative commons"), ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"), ("1.0", "2.0", "2.5", "3.0", "4.0", ""))
+CREATIVE_LONG = (("", ""), ("noncommercial", "nc"), ("sharealike", "sa"), ("noderivatives", "nd"), ("noderivs", "nd"), ("noncommercial-sharealike", "nc-sa"), ("noncommercial-noderivatives", "nc-nd"), ("noncommercial-noderivs", "nc-nd"))
+SPDX = ("mit", "isc", "zlib", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "apache-2.0", "mpl-2.0", "epl-2.0", "unlicense", "cc0-1.0", *(f"{g}-{v}{e}" for g, v, e in product(("gpl", "lgpl", "agpl"), ("2.0", "2.1", "3.0"), ("", "-only", "-or-later"))))
+YEARS = range(1950, 2100)
+#: One character each, so that places in characters stay.
+MARKS = "[\u00a0\u2002-\u200a\u2010-\u2015\u2018-\u201f\u2022\u202f]"
+
+#: Ordered rules: identifiers that follow one another -> licence.  ``name:x`` is a sentence that names x.
+GNU = tuple(f"{g}{v}" for g, v in product(("agpl", "lgpl", "gpl"), ("-3", "-3.0", "-2.1", "-2", "-2.0", "-1", "")))
 RULES: tuple[tuple[tuple[str, ...], str], ...] = (
-    (("spdx",), "{name}"),
+    *(((f"spdx:{x}",), x) for x in SPDX),
+    (("spdx",), "spdx-other"),
     (("unlicense",), "unlicense"),
-    (("apache-2", "apache-comply", "apache-obtain", "apache-asis"), "apache-2.0"),
-    (("apache-2",), "apache-2.0"),
-    (("mit-grant", "mit-notice", "asis"), "mit"),
+    (("name:apache-2.0", "apache-comply", "apache-obtain", "apache-asis"), "apache-2.0"),
+    (("mit-grant", "mit-notice", "as-is", "no-liability"), "mit"),
+    (("mit-grant", "mit-notice", "as-is"), "mit"),
     (("mit-grant", "mit-notice"), "mit"),
     (("mit-grant",), "mit"),
-    (("mit-name",), "mit"),
+    (("isc-grant", "as-is"), "isc"),
     (("isc-grant",), "isc"),
+    (("zlib-grant",), "zlib"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse"), "bsd-4-clause"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), "bsd-3-clause"),
     (("bsd-grant", "bsd-source", "bsd-binary"), "bsd-2-clause"),
-    (("bsd-name",), "bsd-{n}-clause"),
-    (("bsd-plain",), "bsd"),
-    (("gpl-free", "agpl", "gpl-hope", "gpl-received"), "agpl-{v}"),
-    (("gpl-free", "lgpl", "gpl-hope", "gpl-received"), "lgpl-{v}"),
-    (("gpl-free", "gpl", "gpl-hope", "gpl-received"), "gpl-{v}"),
-    (("agpl",), "agpl-{v}"),
-    (("lgpl",), "lgpl-{v}"),
-    (("gpl",), "gpl-{v}"),
-    (("mpl",), "mpl-{v}"),
-    (("epl",), "epl-{v}"),
-    (("cc0",), "cc0-1.0"),
-    (("cc",), "cc-{kind}-{v}"),
-    (("cc-long",), "cc-by{kind}-{v}"),
+    *((("gnu-free", f"name:{x}", "gnu-later", "gnu-hope", "gnu-received"), f"{x}-or-later") for x in GNU),
+    *((("gnu-free", f"name:{x}", "gnu-later"), f"{x}-or-later") for x in GNU),
+    *((("gnu-free", f"name:{x}", "gnu-hope", "gnu-received"), x) for x in GNU),
+    *((("gnu-free", f"name:{x}"), x) for x in GNU),
+    *(((f"name:{x}", "gnu-later"), f"{x}-or-later") for x in GNU),
+    (("mpl-form",), "mpl-2.0"),
+    (("gnu-free", "gnu-hope"), "gpl"),
     (("public-domain",), "public-domain"),
     (("copyright", "rights"), "all-rights-reserved"),
     (("rights",), "all-rights-reserved"),
 )
-_COMPILED = tuple((name, re.compile(p)) for name, p in SENTENCES)
-_SHORT = (("noncommercial", "nc"), ("non-commercial", "nc"), ("sharealike", "sa"), ("share alike", "sa"), ("noderivatives", "nd"), ("noderivs", "nd"), ("no derivatives", "nd"))
-_QUOTES = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'", "`": "'", "–": "-", "—": "-", " ": " "})
 
 
-def normalised(sentence: str) -> str:
-    return " ".join(NOISE.sub(" ", sentence).translate(_QUOTES).lower().split())
-
-
-def triggered(low: str) -> bool:
-    """Can the lower-cased text, normalised or not, hold a sentence of the table?"""
-    return any(w in low for w in TRIGGERS) or any(p.search(low) for p in PHRASES)
+class Match(NamedTuple):
+    licence: str
+    start: int
+    end: int
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of the text's sentences; one does not run across a blank line."""
-    out, at = [], 0
-    for m in BREAK.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
-        at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
-    return out
+def known_sentences() -> Iterator[tuple[str, str]]:
+    """(identifier, sentence) of the whole table."""
+    yield from TEXTS
+    for licence, names, versions in NAMES:
+        for name, version in product(names, versions):
+            called = licence.format(version).rstrip("-") if "{}" in licence else licence
+            called = "apache-2.0" if called == "apache-2" else called
+            for form in (("version {}", "v {}", "v{}", "{}") if version else ("",)):
+                yield f"name:{called}", f"{name} {form.format(version)}"
+    named = [(licence, name) for licence, names in AFTER_OPENING for name in names]
+    for (licence, name), verb, article in product(named, VERBS, ARTICLES):
+        yield f"name:{licence}", f"{verb} {article} {name}"
+    for licence, name, versions in SHORT:
+        for version, form in product(versions, ("{}v{}", "{} v{}", "{}-{}", "{}{}")):
+            yield f"name:{licence.format(version)}", form.format(name, version)
+    for start, kind, version in product(*CREATIVE):
+        yield f"name:cc-{kind}{'-' * bool(version)}{version}", f"{start} {kind} {version}"
+    for (long, short), version, end in product(CREATIVE_LONG, CREATIVE[2], ("", "international", "license")):
+        yield f"name:cc-by{'-' * bool(short)}{short}{'-' * bool(version)}{version}", f"creative commons attribution {long} {version if end != 'license' else ''} {end} {version if end == 'license' else ''}"
+    for x in SPDX:
+        yield f"spdx:{x}", f"spdx-license-identifier: {x}"
+    for year, form in product(YEARS, ("copyright {}", "copyright (c) {}", "copyright © {}", "(c) {}", "© {}")):
+        yield "copyright", form.format(year)
+
+
+def hashed(texts: pa.Array) -> Words:
+    """Words as the table has them: typographic marks part words, and the British spelling is the American."""
+    words = words_of(pc.replace_substring_regex(texts.cast(pa.large_string()), MARKS, " "), separators=NON_WORD)
+    british, american = _spelling()
+    for a, b in zip(british, american, strict=True):
+        words.hashes[words.hashes == a] = b
+    return words
+
+
+@lru_cache(maxsize=1)
+def _spelling() -> tuple[np.ndarray, np.ndarray]:
+    return tuple(words_of(pa.array([x]), separators=NON_WORD).hashes for x in ("licence licenced", "license licensed"))
+
+
+def heads(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each position."""
+    n = max(len(h) - k + 1, 0)
+    total = np.full(n, k, np.uint64)
+    for i in range(k):
+        total = mix(total + h[i : i + n])
+    return total
+
+
+class Table:
+    """Known sentences by the hash of their first words (three, or all of a shorter one)."""
+
+    def __init__(self) -> None:
+        listed = list(known_sentences())
+        words = hashed(pa.array([s for _, s in listed]))
+        self.by_head: dict[int, dict[int, list[tuple[int, bytes, str]]]] = defaultdict(lambda: defaultdict(list))
+        for i, (name, _) in enumerate(listed):
+            h = words.hashes[words.offsets[i] : words.offsets[i + 1]]
+            k = min(3, len(h))
+            self.by_head[k][int(heads(h[:k], k)[0])].append((len(h), h.tobytes(), name))
+        self.keys = {}
+        for k, entries in self.by_head.items():
+            every = np.array(sorted(entries), np.uint64)
+            quick = np.zeros(1 << 18, bool)
+            quick[(every & np.uint64(len(quick) - 1)).astype(np.int64)] = True
+            self.keys[k] = every, quick
+            for sentences in entries.values():
+                sentences.sort(key=lambda x: -x[0])
+
+    def places(self, h: np.ndarray) -> Iterator[tuple[int, int, str]]:
+        """(first word, number of words, identifier) of all known sentences in ``h``, in no order."""
+        for k, (every, quick) in self.keys.items():
+            begin = heads(h, k)
+            at = np.flatnonzero(quick[(begin & np.uint64(len(quick) - 1)).astype(np.int64)])
+            at = at[every[np.minimum(np.searchsorted(every, begin[at]), len(every) - 1)] == begin[at]]
+            for i in at.tolist():
+                for n, words, name in self.by_head[k][int(begin[i])]:
+                    if h[i : i + n].tobytes() == words:
+                        yield i, n, name
+                        break
 
 
-def recognised(text: str) -> list[tuple[int, str, dict, int, int]]:
-    """(number of sentence, identifier, captures, start, end) of every known licence sentence."""
-    out = []
-    for number, (a, b) in enumerate(sentences(text)):
-        clean = normalised(text[a:b])
-        if not triggered(clean):
-            continue
-        taken: list[tuple[int, int]] = []
-        for name, pattern in _COMPILED:
-            for m in pattern.finditer(clean):
-                if not any(m.start() < e and s < m.end() for s, e in taken):
-                    taken.append(m.span())
-                    out.append((number, name, m.groupdict(), a, b, m.start()))
-    out.sort(key=lambda x: (x[0], x[5]))
-    return [x[:5] for x in out]
-
-
-def _named(rule: str, captures: dict) -> str:
-    values = {k: (v or "") for k, v in captures.items()}
-    kind = values.get("kind", "")
-    for long, short in _SHORT:
-        kind = kind.replace(long, short)
-    values["kind"] = kind.replace(" ", "-")
-    return re.sub(r"-+$", "", re.sub(r"\{(\w+)\}", lambda m: values.get(m[1], ""), rule)) or "unmatched"
-
-
-def licences(text: str | None) -> tuple[list[Match], int]:
-    """Licences by the first rules that match, and how many licence sentences were recognised."""
-    if not text or not triggered(text.lower()):
-        return [], 0
-    seen = recognised(text)
-    free = [True] * len(seen)
+@lru_cache(maxsize=1)
+def known() -> Table:
+    return Table()
+
+
+def breaks(words: Words) -> np.ndarray:
+    """Number of the sentence that each word stands in; sentences end at stops before white space and at blank lines."""
+    if not len(words.starts):
+        return np.zeros(0, np.int64)
+    data = words.data
+    space = np.isin(data, np.frombuffer(b" \t\r\n\x0b\x0c", np.uint8))
+    line = data == 10
+    stop = np.isin(data, np.frombuffer(b".!?", np.uint8))
+    ends = np.zeros(len(data) + 1, bool)
+    ends[1:-1] = stop[:-1] & space[1:]
+    at = np.flatnonzero(line)
+    # two line ends with white space alone between them
+    solid = np.r_[0, np.cumsum(~space)]
+    if len(at) > 1:
+        ends[at[1:][solid[at[1:]] == solid[at[:-1] + 1]]] = True
+    number = np.cumsum(ends)[words.starts]
+    owner = words.owners()
+    return np.cumsum(np.r_[0, (np.diff(number) != 0) | (np.diff(owner) != 0)])
+
+
+def recognised(words: Words) -> list[list[tuple[int, int, str]]]:
+    """Per text: (first word, after last word, identifier) of its licence sentences, in order; longer ones first where they overlap."""
+    out: list[list[tuple[int, int, str]]] = [[] for _ in range(len(words.offsets) - 1)]
+    sentence = None
+    taken: set[int] = set()
+    for i, n, name in sorted(known().places(words.hashes), key=lambda x: (-x[1], x[0])):
+        sentence = breaks(words) if sentence is None else sentence
+        if sentence[i] == sentence[i + n - 1] and taken.isdisjoint(range(i, i + n)):
+            taken.update(range(i, i + n))
+            out[int(np.searchsorted(words.offsets, i, "right")) - 1].append((i, i + n, name))
+    return [sorted(x) for x in out]
+
+
+def named(found: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
+    """(licence, first word, after last word) by the first rules that match, in order of place."""
+    free: dict[str, list[int]] = defaultdict(list)
+    for i, (_, _, name) in enumerate(found):
+        free[name].append(i)
     out = []
     for needs, licence in RULES:
-        begin = 0
+        if not all(free.get(x) for x in needs):
+            continue
+        begin = -1
         while True:
-            at, last = [], None
-            for i in range(begin, len(seen)):
-                if free[i] and seen[i][1] == needs[len(at)] and (last is None or seen[i][0] - last <= GAP):
-                    at.append(i)
-                    last = seen[i][0]
-                    if len(at) == len(needs):
-                        break
-            if len(at) < len(needs):
-                if not at or len(needs) == 1:
+            chain, last = [], begin
+            for x in needs:
+                last = next((i for i in free[x] if i > last), None)
+                if last is None:
                     break
-                begin = at[0] + 1  # a chain that broke off may start again later
-                continue
-            captures: dict = {}
-            for i in at:
-                free[i] = False
-                captures |= {k: v for k, v in seen[i][2].items() if v}
-            out.append(Match(_named(licence, captures), seen[at[0]][3], seen[at[-1]][4]))
-            begin = at[0] + 1
-    out += [Match("unmatched", s[3], s[4]) for s, f in zip(seen, free, strict=True) if f]
-    return sorted(out, key=lambda m: (m.start, m.end, m.licence)), len(seen)
+                chain.append(last)
+            if last is None:
+                break
+            for x, i in zip(needs, chain, strict=True):
+                free[x].remove(i)
+            out.append((licence, found[chain[0]][0], found[chain[-1]][1]))
+            begin = chain[0]
+    for name, rest in free.items():  # a sentence that names a licence is a rule by itself
+        out += [(name[5:] if name.startswith("name:") else "unmatched", found[i][0], found[i][1]) for i in rest]
+    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+
+def licences(texts: pa.Array) -> list[tuple[list[Match], int]]:
+    """Per text: licences with their spans in characters, and how many licence sentences were recognised."""
+    words = hashed(texts)
+    found = recognised(words)
+    if not any(found):
+        return [([], 0)] * len(found)
+    chars = np.r_[0, np.cumsum((words.data & 0xC0) != 0x80)]
+    # words.data has a mark as one byte; text i begins where its predecessors' characters end
+    begin = np.r_[0, np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))]
+    return [([Match(name, int(chars[words.starts[a]] - at), int(chars[words.ends[b - 1]] - at)) for name, a, b in named(mine)], len(mine)) for mine, at in zip(found, begin, strict=False)]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +318,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text_col):
-                found = [licences(t) for t in part.column(1).to_pylist()]
+                found = licences(part.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
