@@ -3,17 +3,20 @@
 A page is cut into text nodes, each with its root-to-leaf tag path.  Per path, text
 length and punctuation are summed over the page and divided by the path's nodes;
 both ratios are fused, smoothed over the page's order with a Gaussian, and nodes
-whose value reaches a share of the page's deviation are content.  Parts that HTML
-itself marks (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments; by element, role, class or id) are never content.  The
-ratios choose on every page; all other text inside a marked article is kept besides.
-A block is a run of text between block-level tags; it is kept or dropped whole.
+whose value reaches a share of the page's deviation are content; so is other text
+in the innermost element of several blocks that holds nine tenths of that content.
+The ratios choose on every page, articles marked or not.  Parts that HTML itself
+marks (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
+reader comments; by element, role, class or id) are never content.  A block is a run
+of text between block-level tags; it is kept or dropped whole.
 
 The work of a page stays in its row: there is no shuffle, and memory is one batch.
 
 Defined results: null or empty html, and pages without content, give the empty
-string and 0; broken, unclosed and cut-off markup is read as far as it goes; extra
-columns are ignored; repeated rows each get their row.
+string and 0; broken, unclosed and cut-off markup is read as far as it goes; markup
+of any depth and texts of any length take time in proportion; equal ratios fall on
+the same side of the threshold; extra columns are ignored; repeated rows each get
+their row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ OUT_NAMES = re.compile(
 )
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|reply|replies|discussion)(?:$|[\s_-])", re.I)
 #: Elements that a new element of the key's kind ends.
-_TABLE = frozenset({"td", "th"})
+_P, _TABLE = frozenset({"p"}), frozenset({"td", "th"})
 ENDS = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": _TABLE, "th": _TABLE, "option": frozenset({"option"})}
 FENCES = frozenset("ul ol dl table article section main div body aside nav form".split())
 
@@ -58,7 +61,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-SHARE, SIGMA = 0.8, 1.0
+#: Share of the deviation that is the threshold, width of the smoothing, share of the content that its container holds.
+SHARE, SIGMA, HOME = 0.8, 1.0, 0.9
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA**2)) for d in (-2, -1, 0, 1, 2)]
 
 
@@ -81,109 +85,162 @@ def _outside(tag: str, rest: str) -> bool:
     return False
 
 
-def nodes(html: str) -> list[tuple[int, str, str, bool, bool, tuple[int, ...]]]:
-    """(block, path, text, in article, in link, open elements) of each text node that may be content."""
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, outside, element number
-    out, block, element = [], 0, 0
-    for m in TOKEN.finditer(html):
-        text = m["text"]
-        if text is not None:
-            if not stack[-1][2]:
-                path = stack[-1][1]
-                out.append((block, path, text, "/article" in path or "/main" in path, "/a/" in f"{path}/", tuple(s[3] for s in stack)))
-            continue
-        tag = m["tag"] or m["tag2"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m["end"] or m["end2"]:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
-        else:
-            if tag in BLOCK and tag not in ("html", "head"):
-                for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends where a block begins
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-            if tag in ENDS:
+class Page:
+    """A page's text nodes: each knows its block, its tag path and its innermost element, by number.
+
+    Paths and elements point at their parents, so the depth of the markup costs nothing.
+    """
+
+    def __init__(self, html: str):
+        self.up = [0]  # parent of each element
+        self.nodes: list[tuple[int, int, str, int]] = []  # block, path, text, element
+        self.linked = [False]  # per path: does it pass through a link?
+        paths: dict[tuple[int, str], int] = {}
+        stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, path, outside, element
+        open_: dict[str, int] = {}
+        block = 0
+
+        def close(at: int) -> None:
+            for tag, *_ in stack[at:]:
+                open_[tag] -= 1
+            del stack[at:]
+
+        def close_within(tags: frozenset[str], fences: frozenset[str]) -> None:
+            """Close the innermost element of ``tags`` unless a fence stands before it."""
+            if any(open_.get(t) for t in tags):
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ENDS[tag]:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in FENCES:
-                        break
-            if tag == "body":
-                while len(stack) > 1 and stack[-1][0] != "html":
-                    stack.pop()
-            if tag == "br" and not stack[-1][2]:
-                out.append((block, stack[-1][1], "\n", False, False, ()))
-            if tag not in VOID:
-                element += 1
-                rest = m["rest"] if m["rest"] is not None else m["rest2"] or ""
-                if not rest.endswith("/") or tag in BLOCK or tag in ("a", "b", "i", "span"):
-                    stack.append((tag, f"{stack[-1][1]}/{tag}", stack[-1][2] or _outside(tag, rest), element))
-        if tag in BLOCK:
-            block += 1
-    return out
+                    if stack[i][0] in tags:
+                        return close(i)
+                    if stack[i][0] in fences:
+                        return None
+            return None
 
+        for m in TOKEN.finditer(html):
+            text = m["text"]
+            if text is not None:
+                if not stack[-1][2]:
+                    self.nodes.append((block, stack[-1][1], text, stack[-1][3]))
+                continue
+            tag = m["tag"] or m["tag2"]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if m["end"] or m["end2"]:
+                if open_.get(tag):
+                    at = len(stack) - 1
+                    while stack[at][0] != tag:
+                        at -= 1
+                    close(at)
+            else:
+                if tag in BLOCK and tag not in ("html", "head"):
+                    close_within(_P, BLOCK)  # an open paragraph ends where a block begins
+                if tag in ENDS:
+                    close_within(ENDS[tag], FENCES)
+                if tag == "body":
+                    at = len(stack)
+                    while at > 1 and stack[at - 1][0] != "html":
+                        at -= 1
+                    close(at)
+                if tag == "br" and not stack[-1][2]:
+                    self.nodes.append((block, stack[-1][1], "\n", stack[-1][3]))
+                if tag not in VOID:
+                    rest = m["rest"] if m["rest"] is not None else m["rest2"] or ""
+                    if not rest.endswith("/") or tag in BLOCK or tag in ("a", "b", "i", "span"):
+                        _, above, outside, parent = stack[-1]
+                        path = paths.setdefault((above, tag), len(self.linked))
+                        if path == len(self.linked):
+                            self.linked.append(self.linked[above] or tag == "a")
+                        self.up.append(parent)
+                        open_[tag] = open_.get(tag, 0) + 1
+                        stack.append((tag, path, outside or _outside(tag, rest), len(self.up) - 1))
+            if tag in BLOCK:
+                block += 1
 
-def extract(html: str | None) -> str:
-    """The page's main text, a line for each block."""
-    if not html:
-        return ""
-    blocks: list[list] = []  # text, length, punctuation, linked, in article, paths, open elements
-    last = None
-    for block, path, text, article, link, chain in nodes(html):
-        if block != last:
-            blocks.append([[], 0, 0, 0, False, {}, ()])
-            last = block
-        b = blocks[-1]
-        b[0].append(text)
+
+class Block:
+    """A run of text between block-level tags."""
+
+    __slots__ = ("chars", "element", "linked", "sizes", "texts")
+
+    def __init__(self) -> None:
+        self.texts: list[str] = []
+        self.chars = self.linked = self.element = 0
+        self.sizes: dict[int, list[int]] = {}  # per path: length, punctuation, nodes
+
+
+def blocks_of(page: Page) -> list[Block]:
+    out, last = [], None
+    for number, path, text, element in page.nodes:
+        if number != last:
+            out.append(Block())
+            last = number
+        b = out[-1]
+        b.texts.append(text)
         n = len(text.strip())
         if n:
-            p = len(PUNCTUATION.findall(text))
-            b[1] += n
-            b[2] += p
-            b[3] += n * link
-            b[4] |= article
-            size = b[5].setdefault(path, [0, 0, 0])
+            b.element = b.element if b.chars else element
+            b.chars += n
+            b.linked += n * page.linked[path]
+            size = b.sizes.setdefault(path, [0, 0, 0])
             size[0] += n
-            size[1] += p
+            size[1] += len(PUNCTUATION.findall(text))
             size[2] += 1
-            b[6] = b[6] or chain
-    blocks = [b for b in blocks if b[1]]
-    if not blocks:
-        return ""
-    paths: dict[str, list[int]] = {}
+    return [b for b in out if b.chars]
+
+
+def smoothed_ratios(blocks: list[Block]) -> list[float]:
+    """Each block's fused tag-path ratio, less its links, smoothed over the page's order."""
+    paths: dict[int, list[int]] = {}
     for b in blocks:
-        for path, (n, p, c) in b[5].items():
+        for path, size in b.sizes.items():
             total = paths.setdefault(path, [0, 0, 0])
-            total[0] += n
-            total[1] += p
-            total[2] += c
+            for i in range(3):
+                total[i] += size[i]
     # a path's fused ratio: text length a node, weighted by punctuation a node
     ratio = {path: n / c * (1 + math.log1p(p / c)) for path, (n, p, c) in paths.items()}
-    raw = [sum(ratio[path] * n for path, (n, _, _) in b[5].items()) / b[1] * (1 - b[3] / b[1]) for b in blocks]
-    smooth = []
+    raw = [sum(ratio[path] * n for path, (n, _, _) in b.sizes.items()) / b.chars * (1 - b.linked / b.chars) for b in blocks]
+    out = []
     for i in range(len(raw)):
         window = [(raw[j], _KERNEL[j - i + 2]) for j in range(max(0, i - 2), min(len(raw), i + 3))]
-        smooth.append(sum(v * w for v, w in window) / sum(w for _, w in window))
+        out.append(sum(v * w for v, w in window) / sum(w for _, w in window))
+    return out
+
+
+def chosen(page: Page, blocks: list[Block]) -> list[bool]:
+    """Blocks whose ratio reaches the page's threshold, and what shares their innermost container."""
+    smooth = smoothed_ratios(blocks)
     mean = sum(smooth) / len(smooth)
     limit = SHARE * math.sqrt(sum((v - mean) ** 2 for v in smooth) / len(smooth))
-    keep = [v >= limit and b[3] <= 0.5 * b[1] for v, b in zip(smooth, blocks, strict=True)]
-    chosen = [b for b, k in zip(blocks, keep, strict=True) if k] or blocks
-    weight: dict[int, int] = {}
-    for b in chosen:
-        for e in b[6]:
-            weight[e] = weight.get(e, 0) + b[1]
-    whole = sum(b[1] for b in chosen)
-    home = max((e for e, w in weight.items() if w >= 0.9 * whole), default=0)
-    # what shares the innermost container of the content belongs to it, links aside; so does what the page marks
-    keep = [k or b[4] or home in b[6] and b[3] <= 0.5 * b[1] for k, b in zip(keep, blocks, strict=True)]
-    lines = (" ".join(unescape("".join(b[0])).split()) for b, k in zip(blocks, keep, strict=True) if k)
+    text = [2 * b.linked <= b.chars for b in blocks]
+    high = [v >= limit and t for v, t in zip(smooth, text, strict=True)]
+    if not any(high):
+        high = text if any(text) else [True] * len(blocks)
+    weight, many = [0] * len(page.up), [0] * len(page.up)
+    for b, k in zip(blocks, high, strict=True):
+        weight[b.element] += b.chars * k
+        many[b.element] += 1
+    whole = sum(weight)
+    for e in range(len(weight) - 1, 0, -1):  # parents have smaller numbers
+        weight[page.up[e]] += weight[e]
+        many[page.up[e]] += many[e]
+    home = max(e for e, w in enumerate(weight) if w >= HOME * whole)
+    while home and many[home] < 2:  # a paragraph is no container
+        home = page.up[home]
+    inside = [False] * len(page.up)
+    for e in range(len(inside)):
+        inside[e] = e == home or e > 0 and inside[page.up[e]]
+    return [k or inside[b.element] and t for k, b, t in zip(high, blocks, text, strict=True)]
+
+
+def extract(html: str | None) -> str:
+    """The page's main text, a line for each block."""
+    if not html:
+        return ""
+    page = Page(html)
+    blocks = blocks_of(page)
+    if not blocks:
+        return ""
+    lines = (" ".join(unescape("".join(b.texts)).split()) for b, k in zip(blocks, chosen(page, blocks), strict=True) if k)
     return "\n".join(x for x in lines if x)
 
 

@@ -363,7 +363,34 @@ def test_extraction_cases():
 def test_extraction_of_a_body_beside_a_teaser(tag):
     body = "This is a long sentence, with punctuation; and it goes on for a while. " * 3
     page = f'<nav><a href="/">Home</a></nav><{tag}><p>A teaser.</p></{tag}><div><p>{body}</p><p>{body}</p></div><div><a href="/a">More</a> <a href="/b">links</a></div>'
-    assert pathratio.extract(page) == f"A teaser.\n{body.strip()}\n{body.strip()}"
+    assert pathratio.extract(page).endswith(f"{body.strip()}\n{body.strip()}") and "links" not in pathratio.extract(page)
+
+
+def test_extraction_without_marked_articles(spark, data):
+    """The ratios find the same text where nothing marks the article."""
+    for r in spark.read.parquet(f"{data}/pages.parquet").collect():
+        plain = re.sub(r"(</?)(?:article|main)\b", r"\1div", r.html)
+        assert "<article" not in plain and pathratio.extract(plain) == pathratio.extract(r.html)
+
+
+def test_tag_path_ratios_against_a_plain_computation():
+    html = "<div><p>One, two. <i>three</i></p><p>Four; five!</p></div><ul><li><a href=x>six</a></li><li>seven</li></ul>"
+    page = pathratio.Page(html)
+    blocks = pathratio.blocks_of(page)
+    assert ["".join(b.texts) for b in blocks] == ["One, two. three", "Four; five!", "six", "seven"]
+    fused = lambda n, p, c: n / c * (1 + math.log1p(p / c))
+    p, i, li = fused(9 + 11, 2 + 2, 2), fused(5, 0, 1), fused(5, 0, 1)
+    raw = [(9 * p + 5 * i) / 14, p, 0.0, li]
+    kernel = lambda d: math.exp(-d * d / 2)
+    want = [sum(raw[j] * kernel(j - x) for j in range(max(0, x - 2), min(4, x + 3))) / sum(kernel(j - x) for j in range(max(0, x - 2), min(4, x + 3))) for x in range(4)]
+    assert pathratio.smoothed_ratios(blocks) == pytest.approx(want)
+
+
+def test_extraction_of_deep_and_long_pages():
+    deep = pathratio.extract("<div>text, here. " * 20_000)
+    assert deep.count("\n") == 19_999
+    long = "<article><p>" + "A sentence, with a stop. " * 100_000 + "</p><p>End of it.</p></article>"
+    assert pathratio.extract(long).endswith("End of it.")
 
 
 def test_extraction_of_whole_pages(spark, data):
