@@ -1,43 +1,53 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-Every vector is centred, normalised, rotated by one fixed random orthogonal matrix
+Every vector is encoded once: centred, rotated by one fixed random orthogonal matrix
 and kept as the signs of its coordinates (packed bits) with two scalars: its norm
-and the inner product of the vector with its own code.  From these an inner product
-with any query is estimated without bias, and its error is bounded by
-``EPSILON`` standard widths.  A candidate is measured exactly only if its lower
-bound on the distance does not exceed the query's k-th smallest upper bound.
-
-Work is dealt out by (chunk of candidates, block of queries); either is bounded in
-size, so neither a large table nor a vector that many rows share makes a large
-task.  Each such task returns its k nearest for each query; the k nearest of these
-are the result.
+and the inner product of its direction with its own code.  A query's coordinates are
+rounded to ``PLANES`` bits, so its inner product with a code is a sum of bit counts
+of words: codes stay packed.  With the scalars that estimates the inner product of
+the vectors without bias, and bounds its error by ``EPSILON`` standard widths, of the
+code and of the rounding.  A candidate is measured exactly only if its lower bound on
+the distance does not exceed the query's k-th smallest upper bound.
+
+Work is dealt out by (chunk of codes, block of queries); either is bounded in size,
+so neither a large table nor a vector that many rows share makes a large task.  Only
+codes and scalars are dealt; vectors move for reranking alone.  Each such task
+returns the candidates within its own limit, which the limit over all tasks thins
+out before vectors are fetched.
 
 Defined results: vectors that are null, all zero, or hold null or non-finite
 components take no part, neither as query nor as candidate; an empty table gives no
 rows; a repeated id counts as so many candidates, and a query never finds rows of
-its own id; vectors are only compared with those of as many components; extra
-columns are ignored.
+its own id; a query id that repeats asks with each of its vectors and takes a
+candidate's smallest distance; ties go to the smaller id; vectors are only compared
+with those of as many components, however many; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorebase.llm.tables import table
+from lorebase.llm.arrays import tidied
+from lorebase.llm.blocks import buffers
+from lorebase.llm.jaccard import SLICE, candidate_bits, id_bit
+from lorebase.llm.tables import settle, table
 
-#: Candidates of a chunk and queries of a block, about.
-CHUNK, BLOCK = 8192, 2048
-#: Width of the error bound.  At 1.9 a vector falls outside it about once in 20 times
-#: by the concentration bound; recall is measured in the tests.
+#: Codes of a chunk and queries of a block, about.
+CHUNK, BLOCK = 1 << 16, 2048
+#: Width of the error bounds.  Recall is measured in the tests.
 EPSILON = 2.5
+#: Bits of a query's coordinates.
+PLANES = 5
 SEED = 20240501
 
 
+@lru_cache(maxsize=4)
 def rotation(dim: int) -> np.ndarray:
     """A random orthogonal matrix, the same on every executor."""
     q, r = np.linalg.qr(np.random.default_rng(SEED + dim).standard_normal((dim, dim)))
@@ -52,77 +62,150 @@ def codes(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarr
     return np.packbits(r > 0, axis=1), norm, np.where(norm > 0, own, 1.0)
 
 
-def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    d = x - q
-    return np.sqrt(np.einsum("ij,ij->i", d, d))
-
-
-def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, epsilon: float = EPSILON) -> list[tuple[int, int, float]]:
-    """(query id, candidate id, distance) of the k nearest by estimate, bound and rerank."""
-    dim = c.shape[1]
-    turn = rotation(dim)
-    centre = c.mean(0)
-    bits, norm, own = codes(c, centre, turn)
-    signs = np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1
-    root = np.sqrt(dim)
-    slack = epsilon * np.sqrt(np.maximum(1 - own**2, 0)) / own / np.sqrt(max(dim - 1, 1))
-    turned = (q - centre) @ turn
-    qnorm = np.linalg.norm(turned, axis=1)
-    out = []
-    for at in range(0, len(q), 256):
-        part = slice(at, at + 256)
-        unit = turned[part] / np.where(qnorm[part] > 0, qnorm[part], 1)[:, None]
-        inner = (unit.astype(np.float32) @ signs.T).astype(np.float64) / root / own
-        cross = 2 * qnorm[part][:, None] * norm
-        middle = qnorm[part][:, None] ** 2 + norm**2 - cross * inner
-        wide = cross * slack
-        for i, mine in enumerate(qid[part]):
-            low, high = middle[i] - wide[i], middle[i] + wide[i]
-            others = cid != mine
-            found = np.flatnonzero(others)
-            if len(found) > k:
-                limit = np.partition(high[found], k - 1)[k - 1]
-                found = found[low[found] <= limit + 1e-9 * (1 + abs(limit))]
-            d = exact(q[at + i], c[found])
-            best = np.lexsort((cid[found], d))[:k]
-            out += [(int(mine), int(cid[found[j]]), float(d[j])) for j in best]
-    return out
+def words(bits: np.ndarray) -> np.ndarray:
+    """Packed bytes of each row as whole 64-bit words."""
+    return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.uint64)
+
+
+def estimates(unit: np.ndarray, code: np.ndarray, ones: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of one rotated unit vector with all coded ones, and the standard widths of their errors."""
+    dim = len(unit)
+    low, steps = unit.min(), (1 << PLANES) - 1
+    width = max((unit.max() - low) / steps, 1e-12)
+    level = np.rint((unit - low) / width).astype(np.uint8)
+    total = np.zeros(len(code), np.int64)
+    for b in range(PLANES):
+        plane = words(np.packbits((level >> b) & 1)[None, :])[0]
+        total += np.bitwise_count(code & plane).sum(1, dtype=np.int64) << b
+    signed = 2 * (width * total + low * ones) - (width * float(level.sum()) + low * dim)
+    spread = np.sqrt(np.maximum(1 - own**2, 0) / max(dim - 1, 1) + width**2 / 12)
+    return signed / np.sqrt(dim) / own, spread / own
+
+
+def within(qid: np.ndarray, turned: np.ndarray, cid: np.ndarray, code: np.ndarray, norm: np.ndarray, own: np.ndarray, k: int, epsilon: float = EPSILON) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query: candidates that may be among its k nearest here, with lower and upper bounds of squared distances."""
+    ones = np.bitwise_count(code).sum(1, dtype=np.int64)
+    for i, (mine, q) in enumerate(zip(qid, turned, strict=True)):
+        size = float(np.linalg.norm(q))
+        inner, spread = estimates(q / size if size else q, code, ones, own)
+        cross = 2 * size * norm
+        middle, wide = size**2 + norm**2 - cross * inner, cross * spread * epsilon
+        low, high = middle - wide, middle + wide
+        at = np.flatnonzero(cid != mine)
+        if len(at) > k:
+            limit = np.partition(high[at], k - 1)[k - 1]
+            at = at[low[at] <= limit + 1e-9 * (1 + abs(limit))]
+        yield i, at, low[at], high[at]
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Rows that take part: id, vector as doubles, and its length."""
+    """Rows that take part: id, vector as doubles, its length, and a key of the row's values."""
     v = F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     # forall yields null if a component is null
     return df.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)).select(
-        F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"), F.size(v).alias("dim")
+        F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"), F.size(v).alias("dim"), F.xxhash64(F.col(id_col).cast("long"), v).alias("key")
     )
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def centres(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """The mean vector of each length that occurs: one row a length reaches the driver."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(1).to_numpy()
+            for d in np.unique(dims):
+                x = matrix(batch.column(0).filter(pa.array(dims == d)))
+                yield pa.RecordBatch.from_pydict({"dim": pa.array([d], pa.int32()), "n": [len(x)], "total": pa.array([x.sum(0)], pa.list_(pa.float64()))})
+
+    def whole(part: pa.Table) -> pa.Table:
+        return pa.table({"dim": part.column("dim")[:1], "n": [sum(part.column("n").to_pylist())], "total": pa.array([matrix(part.column("total")).sum(0)], pa.list_(pa.float64()))})
+
+    schema = "dim int, n bigint, total array<double>"
+    found = vectors.select("vector", "dim").mapInArrow(partial, schema).groupBy("dim").applyInArrow(whole, schema)
+    return {r.dim: np.array(r.total) / r.n for r in found.toLocalIterator()}
+
+
+def encoded(vectors: DataFrame, centre: dict[int, np.ndarray]) -> DataFrame:
+    """vec_id, key, dim and the code with its scalars of every vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(2).to_numpy()
+            for d in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == d))
+                bits, norm, own = codes(matrix(part.column(3)), centre[d], rotation(d))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([x.tobytes() for x in bits], pa.binary()), pa.array(norm), pa.array(own)], names=["vec_id", "key", "dim", "code", "norm", "own"])
+
+    return vectors.select("vec_id", "key", "dim", "vector").mapInArrow(run, "vec_id bigint, key bigint, dim int, code binary, norm double, own double")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """The k nearest rows of ``vectors`` to each row of ``queries`` by Euclidean distance."""
-    cand, ask = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    sizes = cand.agg(F.count(F.lit(1)).alias("n")).first().n, ask.agg(F.count(F.lit(1)).alias("n")).first().n
+    cand, ask = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).dropDuplicates(["vec_id", "key"])
+    centre = centres(cand)
+    code = settle(encoded(cand, centre))
+    ask = ask.where(F.col("dim").isin(list(centre))) if centre else ask.limit(0)
+    sizes = code.count(), ask.count()
     chunks, blocks = (max(1, -(-n // size)) for n, size in zip(sizes, (chunk, block), strict=True))
-    both = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(chunks - 1))
-    deal = lambda df, n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", "key", F.lit(salt)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = (
-        cand.withColumn("chunk", deal(cand, chunks, 1)).withColumn("block", F.explode(both[0])).withColumn("ask", F.lit(False))
-        .unionByName(ask.withColumn("block", deal(ask, blocks, 2)).withColumn("chunk", F.explode(both[1])).withColumn("ask", F.lit(True)))
+        code.withColumn("chunk", deal(chunks, 1)).withColumn("block", every(blocks))
+        .unionByName(ask.withColumn("block", deal(blocks, 2)).withColumn("chunk", every(chunks)), allowMissingColumns=True)
     )
 
     def local(part: pa.Table) -> pa.Table:
-        asks = part.column("ask").combine_chunks().to_numpy(zero_copy_only=False)
-        ids = part.column("vec_id").combine_chunks().to_numpy()
-        flat = part.column("vector").combine_chunks()
-        x = flat.flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
-        got = search(ids[asks], x[asks], ids[~asks], x[~asks], k) if asks.any() and not asks.all() else []
-        q, c, d = zip(*got, strict=True) if got else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array(d, pa.float64())})
-
-    found = rows.groupBy("dim", "chunk", "block").applyInArrow(local, "query_id long, vec_id long, score double")
+        asks = part.filter(part.column("vector").is_valid())
+        have = part.filter(part.column("code").is_valid())
+        out: list[list] = [[] for _ in range(6)]
+        if asks.num_rows and have.num_rows:
+            dim = asks.column("dim")[0].as_py()
+            bits = np.frombuffer(b"".join(buffers(have.column("code"))), np.uint8).reshape(have.num_rows, -1)
+            turned = (matrix(asks.column("vector")) - centre[dim]) @ rotation(dim)
+            qid, qkey, cid, ckey = (t.column(c).to_numpy() for t in (asks, have) for c in ("vec_id", "key"))
+            for i, at, low, high in within(qid, turned, cid, words(bits), have.column("norm").to_numpy(), have.column("own").to_numpy(), k):
+                for column, value in zip(out, (np.full(len(at), qid[i]), np.full(len(at), qkey[i]), cid[at], ckey[at], low, high), strict=True):
+                    column.append(value)
+        kinds = (np.int64, np.int64, np.int64, np.int64, np.float64, np.float64)
+        return pa.table([pa.array(np.concatenate(x) if x else np.zeros(0, t)) for x, t in zip(out, kinds, strict=True)], names=["query_id", "asked", "vec_id", "key", "low", "high"])
+
+    found = settle(rows.groupBy("dim", "chunk", "block").applyInArrow(tidied(local), "query_id long, asked long, vec_id long, key long, low double, high double"))
+    # the limit over all chunks
+    rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy("high"))
+    limits = found.withColumn("r", rank).where(F.col("r") <= k).groupBy("query_id", "asked").agg(F.max("high").alias("limit"), F.count(F.lit(1)).alias("n"))
+    limits = limits.select("query_id", "asked", F.when(F.col("n") < k, float("inf")).otherwise(F.col("limit") + 1e-9 * (1 + F.abs("limit"))).alias("limit"))
+    pairs = settle(found.join(limits, ["query_id", "asked"]).where("low <= limit").groupBy("query_id", "asked", "vec_id", "key").agg(F.count(F.lit(1)).alias("times")))
+    bits = max(SLICE, min(1 << 28, 1 << (16 * sizes[0]).bit_length()))
+    wanted = vectors.sparkSession.sparkContext.broadcast(candidate_bits(pairs.select("vec_id"), bits))
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(wanted.value, np.uint8)
+        for batch in batches:
+            at = id_bit(batch.column(0).to_numpy(), bits)
+            yield batch.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, x = batch.column(4), batch.column(5)
+            d = [float(np.sqrt(np.square(np.asarray(a.values) - np.asarray(b.values)).sum())) for a, b in zip(q, x, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(d, pa.float64())], names=["query_id", "vec_id", "key", "times", "score"])
+
+    schema = "vec_id bigint, key bigint, vector array<double>"
+    originals = cand.select("vec_id", "key", "vector").mapInArrow(only, schema).dropDuplicates(["vec_id", "key"])
+    asked = ask.select(F.col("vec_id").alias("query_id"), F.col("key").alias("asked"), F.col("vector").alias("q")).dropDuplicates(["query_id", "asked"])
+    both = pairs.join(originals, ["vec_id", "key"]).join(asked, ["query_id", "asked"]).select("query_id", "vec_id", "key", "times", "q", "vector")
+    scored = both.mapInArrow(measured, "query_id bigint, vec_id bigint, key bigint, times bigint, score double")
+    scored = scored.groupBy("query_id", "vec_id", "key").agg(F.min("score").alias("score"), F.max("times").alias("times"))
+    # a repeated row counts as so many candidates
+    scored = scored.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)))).alias("copy"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_bitcodes(spark: SparkSession, sf_dir: str) -> DataFrame:

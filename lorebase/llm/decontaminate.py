@@ -18,8 +18,10 @@ so punctuation and markup between words do not hide a passage.  An item of fewer
 words than a shingle is one shingle.
 
 Defined results: null and empty documents match nothing, nor do null items or items
-without words; items of equal text all match; rows that repeat an id each count; an
-empty benchmark or table gives no rows; extra columns are ignored.
+without words; items of equal text all match; rows that repeat an id are one document, whose
+best window is given, and so are rows without id; a very long text is
+searched stretch by stretch, whole; of windows that tie the first is given; an empty
+benchmark or table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ RADIUS, BLOCKS = 19, 4
 WIDTH = 64 // BLOCKS
 #: Items in one slice, about; each takes some 45 kB of the index.
 SLICE_ITEMS = 1000
+#: Words whose windows are fingerprinted together at most.
+REGION = 1 << 15
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -139,7 +143,10 @@ class Index:
             span, start = (np.concatenate(x) for x in zip(*((np.full(len(s), n), s) for n, s in found), strict=True))
             order = np.argsort(start, kind="stable")
             span, start = span[order], start[order]
-            for at in np.array_split(np.arange(len(start)), len(start) // 8192 + 1):
+            # batches are bounded in windows and in the stretch of text that they lie in
+            region = start // REGION
+            cuts = np.flatnonzero((np.diff(region) != 0) | (np.arange(1, len(start)) % 8192 == 0)) + 1
+            for at in np.split(np.arange(len(start)), cuts):
                 first, last = start[at].min(), (start[at] + span[at]).max()
                 out += self._similar(g, first, last, start[at], span[at], m)
         return out

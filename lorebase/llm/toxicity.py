@@ -307,7 +307,7 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
                     chars = np.zeros(0)
                     if len(hot):
                         chars = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with each byte
-                    for h, end in zip(heads, np.r_[heads[1:], len(hot)], strict=True):
+                    for h, end in zip(heads, [*heads[1:], len(hot)][: len(heads)], strict=True):
                         base = chars[bounds[owner[h]] - 1] if bounds[owner[h]] else 0
                         first, last = words.starts[hot[h]], words.ends[hot[end - 1]]
                         spans[owner[h]].append([int(chars[first] - 1 - base), int(chars[last - 1] - base)])
