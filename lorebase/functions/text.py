@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -60,8 +61,8 @@ def normalize_unicode(c: Column) -> Column:
     return fold(c)
 
 
-def tokens(c: Column) -> Column:
-    return F.filter(F.split(normalize(c), " "), lambda t: F.length(t) > 1)
+def tokens(c: Column, normal: Callable[[Column], Column] = normalize) -> Column:
+    return F.filter(F.split(normal(c), " "), lambda t: F.length(t) > 1)
 
 
 def query_terms(c: Column) -> Column:
@@ -69,9 +70,9 @@ def query_terms(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+)"), F.lit(1)))
 
 
-def expand(question: Column, expansions: dict[str, list[str]] | None = None) -> Column:
+def expand(question: Column, expansions: dict[str, list[str]] | None = None, normal: Callable[[Column], Column] = normalize) -> Column:
     """The question and the expansions of every phrase that its normal form contains."""
-    from_text = normalize(question)
+    from_text = normal(question)
     extra = [F.when(F.contains(from_text, normalize(F.lit(p))), F.lit(" ".join(v))) for p, v in (expansions or EXPANSIONS).items()]
     return F.concat(question, F.lit(" "), F.concat_ws(" ", *extra))
 
@@ -85,14 +86,14 @@ def on_topic(question: Column, words: list[str] | None = None, expansions: dict[
     return hit
 
 
-def score_tokens(question: Column, stop_words: list[str] | None = None, expansions: dict[str, list[str]] | None = None) -> Column:
+def score_tokens(question: Column, stop_words: list[str] | None = None, expansions: dict[str, list[str]] | None = None, normal: Callable[[Column], Column] = normalize) -> Column:
     stop = F.array(*map(F.lit, stop_words or STOP_WORDS))
-    return F.array_distinct(F.filter(tokens(expand(question, expansions)), lambda t: ~F.array_contains(stop, t)))
+    return F.array_distinct(F.filter(tokens(expand(question, expansions, normal), normal), lambda t: ~F.array_contains(stop, t)))
 
 
-def original_terms(question: Column, stop_words: list[str] | None = None) -> Column:
+def original_terms(question: Column, stop_words: list[str] | None = None, normal: Callable[[Column], Column] = normalize) -> Column:
     stop = F.array(*map(F.lit, stop_words or STOP_WORDS))
-    return F.filter(tokens(question), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
+    return F.filter(tokens(question, normal), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
 
 
 def additive_score(words: Column, terms: Column, phrase: Column, title: Column, section: Column, body: Column, is_definition: Column) -> Column:

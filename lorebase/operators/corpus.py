@@ -86,15 +86,21 @@ def definition_links(chunks: DataFrame, definitions: DataFrame | None = None) ->
     """(from_key, to_key, relation): the definition's term stands as whole words in another section.
 
     Sections and terms meet on the term's first word, so no section is held against
-    every term; the whole term is then matched with word boundaries.  A term without
-    any word character links with nothing.
+    every term; only keys and words are exploded and met.  A body is fetched once for
+    its terms of several words, which are then matched with word boundaries.  A term
+    without any word character links with nothing.
     """
     terms = (definition_terms(chunks) if definitions is None else definitions).withColumn("first", F.regexp_extract("term", r"(?U)(\w+)", 1))
     targets = chunks.where("kind <> 'definition'").select(F.col("section_key").alias("to_key"), F.lower("body").alias("low"))
     word = F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)(\w+)"), F.lit(1))))
-    met = targets.select("to_key", "low", word.alias("first")).join(small(terms.where("first <> ''")), "first")
+    met = targets.select("to_key", word.alias("first")).join(small(terms.where("first <> ''")), "first")
+    # a term that is its first word is found already
+    single = met.where(F.col("term") == F.col("first")).select("from_key", "to_key")
+    longer = met.where(F.col("term") != F.col("first")).groupBy("to_key").agg(F.collect_set(F.struct("from_key", "term")).alias("asked"))
     whole = F.expr(r"regexp_like(low, concat('(?U)(?<!\\w)\\Q', replace(term, '\\E', ''), '\\E(?!\\w)'))")
-    return met.where(F.contains("low", "term")).where(whole).select("from_key", "to_key", F.lit("defines").alias("relation")).distinct()
+    checked = longer.join(targets, "to_key").select("to_key", "low", F.explode("asked").alias("a")).select("to_key", "low", "a.from_key", "a.term")
+    found = checked.where(F.contains("low", "term")).where(whole).select("from_key", "to_key")
+    return single.unionByName(found).distinct().select("from_key", "to_key", F.lit("defines").alias("relation"))
 
 
 def related_definitions(links: DataFrame, chunks: DataFrame, results: DataFrame) -> DataFrame:
@@ -120,18 +126,26 @@ def ancestors(rows: DataFrame, current: DataFrame, owner: list[str]) -> DataFram
 
 
 def apply_corrections(chunks: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Replace blocks and addresses of corrected sections by the receipts' paragraphs."""
+    """Replace blocks, body and addresses of corrected sections by the receipts' paragraphs."""
     new = receipts.select("section_key", F.col("url").alias("new_url"), "anchor", "sha256", "paragraphs")
     out = chunks.join(new, "section_key", "left")
     hit = F.col("new_url").isNotNull()
     return out.select(
-        *[c for c in chunks.columns if c not in ("source_url", "section_url", "body")],
+        *[c for c in chunks.columns if c not in ("source_url", "section_url", "body", "blocks")],
+        *([F.when(hit, _paragraphs(chunks)).otherwise(F.col("blocks")).alias("blocks")] if "blocks" in chunks.columns else []),
         F.when(hit, F.col("new_url")).otherwise(F.col("source_url")).alias("source_url"),
         F.when(hit, F.concat("new_url", F.lit("#"), "anchor")).otherwise(F.col("section_url")).alias("section_url"),
         F.when(hit, F.array_join("paragraphs", "\n")).otherwise(F.col("body")).alias("body"),
     )
 
 
+def _paragraphs(chunks: DataFrame) -> Column:
+    """The receipt's paragraphs as blocks, on the first page of the section's own."""
+    kind = chunks.schema["blocks"].dataType.elementType
+    page = F.array_min(F.transform("blocks", lambda b: b["page"])) if "page" in kind.names else F.lit(None)
+    return F.transform("paragraphs", lambda p: F.struct(*[{"type": F.lit("paragraph"), "text": p, "page": page}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields]))
+
+
 def correction_faults(chunks: DataFrame, corrections: DataFrame, receipts: DataFrame) -> DataFrame:
     """Corrections whose target is missing or several, or whose receipt or section differs in address or digest."""
     target = chunks.groupBy("section_key").agg(F.count(F.lit(1)).alias("targets"), F.first("section_url").alias("at"), F.sha2(F.first("body"), 256).alias("has"))
@@ -149,15 +163,26 @@ def correction_faults(chunks: DataFrame, corrections: DataFrame, receipts: DataF
 # --- versions ----------------------------------------------------------------
 
 
-def content_fingerprint(chunks: DataFrame, by: str, order: str) -> DataFrame:
-    """Digest of each book's chunk digests in order.  Only digests are gathered, never texts."""
-    one = F.sha2(F.concat_ws("\x1f", F.col(order).cast("string"), "section_title", "body"), 256)
-    return chunks.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), one.alias("d")))), lambda s: s["d"]), "|"), 256).alias("fingerprint"))
+def record_digest(columns: list[str]) -> Column:
+    """Digest of a row's columns; a null is not an empty text, nor does it shift the others."""
+    each = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.sha2(F.concat_ws("\x1f", *each), 256)
+
+
+def gathered(digest: Column) -> Column:
+    """Digest of a multiset of digests: its count and four sums of 15 hexadecimal places, so rows need no order and no list."""
+    part = lambda i: F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.sha2(F.concat_ws("|", F.count(digest).cast("string"), *[F.coalesce(part(i), F.lit("0")) for i in range(4)]), 256)
+
+
+def content_fingerprint(chunks: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """Digest of each book's records over ``columns``; changes of any of them show."""
+    return chunks.select(by, record_digest(columns).alias("_digest")).groupBy(by).agg(gathered(F.col("_digest")).alias("fingerprint"))
 
 
 def corpus_fingerprint(fingerprints: DataFrame, column: str = "fingerprint") -> DataFrame:
-    """One row: digest of all books' fingerprints as a sorted multiset; of nothing, the empty text's."""
-    return fingerprints.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(column)), "|"), 256).alias("corpus_fingerprint"))
+    """One row: digest of all books' fingerprints as a multiset."""
+    return fingerprints.agg(gathered(F.col(column)).alias("corpus_fingerprint"))
 
 
 def is_current(fingerprints: DataFrame, expected: str, current: DataFrame, ids: DataFrame) -> DataFrame:

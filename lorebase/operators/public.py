@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import text
-from lorebase.operators import ranking
+from lorebase.operators import corpus, ranking
 
 MAX_QUESTION = 1000
 COMPETITIONS = ("any", "ifab")
@@ -32,9 +32,9 @@ def keyword_search(
     """
     asked = questions.select(
         "question_id",
-        text.score_tokens(F.col("question"), stop_words, expansions).alias("words"),
-        text.original_terms(F.col("question"), stop_words).alias("terms"),
-        normal(text.expand(F.col("question"), expansions)).alias("phrase"),
+        text.score_tokens(F.col("question"), stop_words, expansions, normal).alias("words"),
+        text.original_terms(F.col("question"), stop_words, normal).alias("terms"),
+        normal(text.expand(F.col("question"), expansions, normal)).alias("phrase"),
         normal(F.col("question")).alias("plain"),
     )
     forms = chunks.select("section_key", "position", "page_start", "kind", normal(F.col("title")).alias("t"), normal(F.col("section")).alias("s"), normal(F.col("body")).alias("b"))
@@ -44,7 +44,7 @@ def keyword_search(
     )
     if boosts is not None:
         more = F.when(F.forall("phrases", lambda p: F.contains("plain", p)), F.col("boost")).otherwise(0.0)
-        extra = scored.join(F.broadcast(boosts.select("section_key", "phrases", "boost")), "section_key").groupBy("question_id", "section_key").agg(F.sum(more).alias("more"))
+        extra = scored.join(corpus.small(boosts.select("section_key", "phrases", "boost")), "section_key").groupBy("question_id", "section_key").agg(F.sum(more).alias("more"))
         scored = scored.join(extra, ["question_id", "section_key"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.coalesce("page_start", F.lit(NO_PAGE)), "position")
     best = scored.where(F.col("score") > text.SCORE_FLOOR).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
@@ -54,7 +54,7 @@ def keyword_search(
 
 def status(question: Column, competition: Column, on_topic: Column, n_results: Column) -> Column:
     """What the public interface answers with, in the order of its checks."""
-    trimmed = F.trim(F.coalesce(question, F.lit("")))
+    trimmed = F.regexp_replace(F.coalesce(question, F.lit("")), r"^\s+|\s+$", "")
     return (
         F.when((trimmed == "") | (F.length(trimmed) > MAX_QUESTION), "error")
         .when(~F.coalesce(competition, F.lit("any")).isin(*COMPETITIONS), "scope_unavailable")

@@ -13,6 +13,8 @@ CANDIDATES, FUSION_K, TOP = 30, 60, 5
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
 #: Queries that one pass over the corpus is broadcast at most.
 QUERY_SLICE = 2000
+#: Terms that one pass over the corpus is broadcast at most.
+TERM_SLICE = 100_000
 
 
 def top(df: DataFrame, by: str | list[str], order: list[Column], k: int) -> DataFrame:
@@ -43,6 +45,17 @@ def postings(docs: DataFrame, words: Column, weight: float) -> DataFrame:
     return docs.select("id", F.explode(words).alias("term")).groupBy("id", "term").agg((F.count(F.lit(1)) * weight).alias("weight"))
 
 
+def asked_postings(docs: DataFrame, parts: list[tuple[Column, float]], asked: DataFrame) -> DataFrame:
+    """Postings of the terms in ``asked`` alone: others are dropped where they are read, before any shuffle.
+
+    ``parts``: arrays of words with their weights.  Asked terms are broadcast in slices.
+    """
+    terms = asked.select("term").distinct()
+    said = reduce(DataFrame.unionByName, [docs.select("id", F.explode(words).alias("term"), F.lit(weight).alias("w")) for words, weight in parts])
+    met = [said.join(F.broadcast(part), "term", "left_semi") for part in slices(terms, "term", TERM_SLICE)]
+    return reduce(DataFrame.unionByName, met).groupBy("id", "term").agg(F.sum("w").alias("weight"))
+
+
 def lexical_top(query_terms: DataFrame, index: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(query_id, id, score, rank): weighted occurrences of the query's distinct terms, ties by id."""
     scored = query_terms.distinct().join(index, "term").groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score"))

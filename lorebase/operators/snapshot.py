@@ -39,16 +39,29 @@ def read_pointer(spark: SparkSession, root: str) -> str | None:
     return json.loads("".join(r.value for r in spark.read.text(f"{root}/{POINTER}").collect()))["version"]
 
 
-def _point(spark: SparkSession, root: str, version: str) -> None:
-    """Write the pointer beside its place and rename it over: readers see the old or the new one."""
+class ConflictError(RuntimeError):
+    """Another publisher moved the pointer since its version was read."""
+
+
+def _point(spark: SparkSession, root: str, version: str, read: str | None) -> None:
+    """Write the pointer beside its place and rename it over in one step: readers see the old or the new one.
+
+    A marker of the version that was ``read`` can be made once only, so of two
+    publishers that start from the same version one fails.
+    """
     fs, path = _fs(spark, root)
     temporary, final = path(f"{root}/.{POINTER}.{uuid.uuid4().hex}"), path(f"{root}/{POINTER}")
+    claim = path(f"{root}/.{POINTER}.after.{read or 'nothing'}")
+    if read_pointer(spark, root) != read or not fs.createNewFile(claim):
+        raise ConflictError(f"{read} is no longer the active version")
     out = fs.create(temporary, True)
     out.write(bytearray(json.dumps({"version": version, "schema_version": 3}).encode()))
     out.close()
-    if not fs.rename(temporary, final):
-        fs.delete(final, False)
-        fs.rename(temporary, final)
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri() if final.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(temporary, final, options)
 
 
 def open_version(spark: SparkSession, root: str, version: str | None = None) -> dict[str, DataFrame]:
@@ -79,7 +92,8 @@ def violations(books: DataFrame, chunks: DataFrame, links: DataFrame) -> dict[st
 
 def replace_book(spark: SparkSession, root: str, book: DataFrame, chunks: DataFrame, links: DataFrame) -> str:
     """Publish a version in which one book, its chunks and links replace what the last version had of it."""
-    old = open_version(spark, root)
+    read = read_pointer(spark, root)
+    old = open_version(spark, root, read) if read else open_version(spark, root)
     ids = book.select(F.col("id").alias("rulebook_id"))
     gone = old["chunks"].join(F.broadcast(ids), "rulebook_id", "left_semi").select("id")
     kept = {
@@ -94,7 +108,7 @@ def replace_book(spark: SparkSession, root: str, book: DataFrame, chunks: DataFr
     for rule, rows in violations(written["books"], written["chunks"], written["links"]).items():
         if not rows.isEmpty():
             raise IntegrityError(rule)
-    _point(spark, root, version)
+    _point(spark, root, version, read)
     return version
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorebase.operators.answering import HashingEmbedder, OverlapReranker
+from lorebase.operators.search import Models
+
+MODELS = Models(HashingEmbedder(64), OverlapReranker())
 AS_OF = "1998-06-01"
 #: Words of the fixtures that take the place of the topic's vocabulary.
 WORDS = ["the", "of", "and", "to", "in", "is", "that", "it", "for", "was"]
@@ -114,4 +118,4 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where("id < 20").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return vectors(spark, sf_dir).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))

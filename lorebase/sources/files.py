@@ -90,8 +90,10 @@ def receipts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def processed(spark: SparkSession, path: str) -> DataFrame:
-    """An exported corpus: one JSON array in a file."""
-    return spark.read.schema(schemas.CHUNKS).option("multiLine", True).json(path)
+    """An exported corpus: JSON lines as ``snapshot.write_records`` makes them, or files of one JSON array each."""
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    whole = bool(first) and first[0].value.lstrip().startswith("[")
+    return spark.read.schema(schemas.CHUNKS).option("multiLine", whole).json(path)
 
 
 def words(spark: SparkSession, path: str) -> DataFrame:

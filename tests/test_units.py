@@ -4,6 +4,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lorebase.functions import text, urls
@@ -71,27 +72,27 @@ def test_definitions_match_whole_words(spark):
     assert [(r.from_key, r.to_key) for r in corpus.definition_links(df).collect()] == [("d", "a")]
 
 
-def row(key, parent=None, body="x" * 100, i=None):
-    return {"rulebook_id": "r", "section_key": key, "parent_section_key": parent, "id": i or key, "body": body}
+ROWS = "question_id long, place int, id string, rulebook_id string, section_key string, parent_section_key string, body string"
 
 
-def test_packing():
-    assert ev.packed_order([row("a")], 32, 99) == []
-    assert ev.packed_order([row("a"), row("a")], 32, 1000) == [0]
-    both = [row("c", "p"), row("p")]
-    assert ev.packed_order(both, 1, 1000) == [1]
-    assert ev.packed_order(both, 2, 1000) == [0, 1]
-    assert ev.packed_order([row("big", body="y" * 500), row("small")], 32, 200) == [1]
-    for bad in ([row("c", "gone")], [row("a", "b"), row("b", "a")]):
-        with pytest.raises(ev.EvidenceError):
-            ev.packed_order(bad)
+def packed(spark, rows, maximum=32, budget=1000):
+    df = spark.createDataFrame([(q, i, key, "r", key, parent, "x" * size) for q, i, key, parent, size in rows], ROWS)
+    return sorted((tuple(r) for r in ev.pack(df, maximum=maximum, budget=budget).collect()), key=str)
 
 
-def test_pack_frame_agrees(spark):
-    rows = [(1, 0, "c", "r", "c", "p", "z" * 50), (1, 1, "p", "r", "p", None, "z" * 60), (2, 0, "q", "r", "q", None, "z")]
-    df = spark.createDataFrame(rows, "question_id long, place int, id string, rulebook_id string, section_key string, parent_section_key string, body string")
-    got = sorted(tuple(r) for r in ev.pack(df, budget=110).collect())
-    assert got == [(1, 1, "c"), (1, 2, "p"), (2, 1, "q")]
+def test_packing(spark):
+    both = [(1, 0, "c", "p", 100), (1, 1, "p", None, 100)]
+    assert packed(spark, [(1, 0, "a", None, 100)], budget=99) == []
+    assert packed(spark, both, maximum=1) == [(1, 1, "p", None)]
+    assert packed(spark, both, maximum=2) == [(1, 1, "c", None), (1, 2, "p", None)]
+    assert packed(spark, [(1, 0, "a", None, 100), (1, 1, "a", None, 100)]) == [(1, 1, "a", None)]
+    assert packed(spark, [(1, 0, "big", None, 500), (1, 1, "small", None, 100)], budget=200) == [(1, 1, "small", None)]
+
+
+def test_a_bad_question_leaves_the_batch_alone(spark):
+    fault = "ancestors are missing or circular"
+    rows = [(1, 0, "c", "gone", 9), (2, 0, "a", "b", 9), (2, 1, "b", "a", 9), (3, 0, "q", None, 9), (4, 0, "s", "s", 9)]
+    assert packed(spark, rows) == [(1, None, None, fault), (2, None, None, fault), (3, 1, "q", None), (4, None, None, fault)]
 
 
 ITEM = {"evidence_id": "E1", "chunk_id": "c1", "url": "https://rules.example/x#page=3", "body": "A goal is scored when the whole of the ball passes over the line."}
@@ -107,19 +108,20 @@ AUDIT = {"claims": [{"claim_id": "1.1", "supported": True}], "answers_question":
 PLAN = {"disposition": "rules", "competition": "generic", "scenario": False, "queries": ["goal", "goal"]}
 
 
-def service(replies, fresh=True, evidence=(ITEM,), log=None):
+def service(spark, replies, fresh=True, evidence=(ITEM,), log=None):
     client = an.ScriptedClient(replies, [an.Usage(10, 5, 0, Decimal("0.001"))] * 3)
-    return client, an.AnswerService(client, lambda q: an.Bundle(list(evidence), "f"), lambda f, ids: fresh, log)
+    return client, an.AnswerService(client, lambda q: an.Bundle(list(evidence), "f"), lambda f, ids: fresh, log, spark)
 
 
-def test_answer_is_cited_and_logged():
+def test_answer_is_cited_and_logged(spark):
     logged = []
-    client, s = service([PLAN, draft(), AUDIT], log=logged.append)
+    client, s = service(spark, [PLAN, draft(), AUDIT], log=logged.append)
     out = s.ask("When is it a goal?")
-    assert out["status"] == "answered" and "[1](https://rules.example/x#page=3)" in out["markdown"]
+    assert out["status"] == "answered" and out["markdown"] == "**Answer**\n\nThe whole ball must cross. [1](https://rules.example/x#page=3)"
     cited = out["citations"][0]
-    assert ITEM["body"][cited["start"] : cited["end"]] == QUOTE and out["usage"]["cost_usd"] == Decimal("0.003")
+    assert ITEM["body"][cited["start"] : cited["end"]] == QUOTE and cited["chunk_id"] == "c1" and cited["number"] == 1 and out["usage"]["cost_usd"] == Decimal("0.003")
     assert logged[0]["outcome"] == "answered" and not logged[0]["refused"] and logged[0]["diagnostics"]["citation_count"] == 1
+    assert [stage for stage, _ in client.calls] == ["plan", "generate", "audit"]
 
 
 @pytest.mark.parametrize(
@@ -128,46 +130,91 @@ def test_answer_is_cited_and_logged():
         ([PLAN | {"disposition": "off_topic"}], True, [ITEM], "off_topic"),
         ([PLAN | {"competition": "uefa"}], True, [ITEM], "scope_unavailable"),
         ([PLAN | {"queries": ["x" * 201]}], True, [ITEM], "validation_failed"),
+        ([PLAN | {"queries": []}], True, [ITEM], "validation_failed"),
         ([PLAN], True, [], "insufficient_evidence"),
         ([PLAN, draft(text="see [x](http://y)")], True, [ITEM], "validation_failed"),
+        ([PLAN, draft(supports=[])], True, [ITEM], "validation_failed"),
         ([PLAN, draft(supports=[{"evidence_id": "E9", "quote": QUOTE}])], True, [ITEM], "validation_failed"),
         ([PLAN, draft(supports=[{"evidence_id": "E1", "quote": "words that are not there"}])], True, [ITEM], "validation_failed"),
+        ([PLAN, draft()], True, [ITEM | {"url": "http://rules.example/"}], "validation_failed"),
         ([PLAN, {"status": "clarification", "sections": []}], True, [ITEM], "clarification"),
+        ([PLAN, draft() | {"status": "clarification"}], True, [ITEM], "validation_failed"),
+        ([PLAN | {"scenario": True}, draft()], True, [ITEM], "validation_failed"),
         ([PLAN, draft(), AUDIT | {"claims": []}], True, [ITEM], "validation_failed"),
+        ([PLAN, draft(), AUDIT | {"claims": AUDIT["claims"] * 2}], True, [ITEM], "validation_failed"),
         ([PLAN, draft(), AUDIT | {"answers_question": False}], True, [ITEM], "validation_failed"),
         ([PLAN, draft(), AUDIT], False, [ITEM], "corpus_changed"),
         ([an.ProviderError()], True, [ITEM], "provider_error"),
         ([OSError()], True, [ITEM], "retrieval_error"),
+        ([AnalysisException("x")], True, [ITEM], "retrieval_error"),
+        ([PLAN, an.CorpusChanged()], True, [ITEM], "corpus_changed"),
     ],
 )
-def test_refusals_are_scrubbed(replies, fresh, evidence, status):
-    _, s = service(replies, fresh, evidence)
+def test_refusals_are_scrubbed(spark, replies, fresh, evidence, status):
+    _, s = service(spark, replies, fresh, evidence)
     out = s.ask("Question?")
     assert out["status"] == status and out["markdown"] == an.MESSAGES[status] and not out["citations"] and not out["sections"]
 
 
-def test_service_edges():
-    _, s = service([])
+def test_a_batch_goes_on_beside_a_question_that_fails(spark):
+    _, s = service(spark, [PLAN, an.ProviderError(), PLAN | {"disposition": "off_topic"}, draft(), AUDIT])
+    assert [o["status"] for o in s.answer(["a", "b", "c"])] == ["answered", "provider_error", "off_topic"]
+
+
+def test_service_edges(spark):
+    _, s = service(spark, [])
     with pytest.raises(ValueError):
         s.ask(" ")
     assert an.AnswerService(None, None, None).ask("q?")["status"] == "configuration_error"
+    for error in (OSError, lambda: AnalysisException("no table")):
 
-    def broken(_):
-        raise OSError
+        def broken(_, error=error):
+            raise error()
 
-    _, s = service([PLAN, draft(), AUDIT], log=broken)
-    assert s.ask("q?")["telemetry_logged"] is False
+        _, s = service(spark, [PLAN, draft(), AUDIT], log=broken)
+        assert s.ask("q?")["telemetry_logged"] is False
     assert an.usage_totals([an.Usage(1, None)])["output_tokens"] is None and an.usage_totals([])["input_tokens"] == 0
 
 
-def test_scenario_labels_and_numbering():
-    claims = [{"text": f"Claim {i}.", "supports": [{"evidence_id": "E1", "quote": QUOTE}]} for i in range(4)]
+def faults(spark, *drafts):
+    df = spark.createDataFrame([(str(i), d["status"], scenario, [(s["label"], [(c["text"], [(u["evidence_id"], u["quote"]) for u in c["supports"]]) for c in s["claims"]]) for s in d["sections"]]) for i, (d, scenario) in enumerate(drafts)], ev.DRAFTS)
+    items = spark.createDataFrame([(str(i), "E1", "c1", "r", "k", ["h"], "e", ITEM["url"], 1, 1, ITEM["body"]) for i in range(len(drafts))], ev.EVIDENCE)
+    return df, items, [r.fault for r in ev.draft_faults(df, items).orderBy(F.col("question_id").cast("int")).collect()]
+
+
+def test_first_faults_of_a_batch_of_drafts(spark):
+    two = draft(text="fine")["sections"][0]["claims"] + draft(text=" ")["sections"][0]["claims"]
+    _, _, got = faults(
+        spark,
+        (draft(), False),
+        (draft(text="[x](http://evil)", supports=[]), False),
+        (draft(supports=[]), False),
+        ({"status": "answered", "sections": [{"label": "Answer", "claims": two}]}, False),
+        ({"status": "answered", "sections": []}, False),
+        ({"status": "insufficient_evidence", "sections": []}, False),
+        ({"status": "judgment", "sections": [{"label": "Answer", "claims": []}]}, False),
+    )
+    assert got == [None, "a claim with markup of its own", "a claim without support", "a claim without words", "the sections are not those asked for", None, "a section without claims"]
+
+
+def test_scenario_labels_and_numbering(spark):
+    claims = [{"text": f"Claim {i}.", "supports": [{"evidence_id": "E1", "quote": q} for q in quotes]} for i, quotes in enumerate([[QUOTE], ["A goal is scored", QUOTE], [QUOTE, QUOTE], ["over the line."]])]
     d = {"status": "judgment", "sections": [{"label": label, "claims": [c]} for label, c in zip(ev.SCENARIO_LABELS, claims, strict=True)]}
-    checked = ev.check_draft(d, [ITEM], True)
-    out = ev.render(d, checked, [ITEM])
-    assert len(out["citations"]) == 1 and out["markdown"].startswith("**Referee judgment**")
-    with pytest.raises(ev.EvidenceError):
-        ev.check_draft(d, [ITEM], False)
+    drafts, items, got = faults(spark, (d, True), (d, False))
+    assert got == [None, "the sections are not those asked for"]
+    out = ev.rendered(drafts, items).where("question_id = '0'").first()
+    url = ITEM["url"]
+    assert [c.number for c in out.citations] == [1, 2, 3] and out.markdown.startswith("**Referee judgment**\n\n**Decision**\n\nClaim 0. [1]")
+    assert [list(s.claims) for s in out.sections] == [[f"Claim 0. [1]({url})"], [f"Claim 1. [2]({url}) [1]({url})"], [f"Claim 2. [1]({url})"], [f"Claim 3. [3]({url})"]]
+
+
+def test_verdicts_are_one_table(spark):
+    rows = [(None, "off_topic", None, None), (None, "rules", "uefa", None), ("provider_error", "rules", "generic", None), (None, "rules", "generic", True), (None, "rules", "generic", False)]
+    names = ["failed", "disposition", "competition", "fresh"]
+    df = spark.createDataFrame(rows, "failed string, disposition string, competition string, fresh boolean")
+    got = [r[0] for r in df.select(an.status_of(names)).collect()]
+    assert got == ["off_topic", "scope_unavailable", "provider_error", "answered", "corpus_changed"]
+    assert got == [an.verdict(dict(zip(names, r, strict=True))) or "answered" for r in rows]
 
 
 def test_null_poisons_sums(spark):
@@ -191,14 +238,39 @@ def test_lines_are_anchored_on_their_first_word():
     assert layout.line_numbers([50, 51.5, 52.5, 54]) == [0, 0, 1, 1]
 
 
-def test_blocks_and_sections():
-    line = lambda said, x, y, bold=False, page=1: {"text": said, "x0": float(x), "left": float(x), "x1": x + 50.0, "top": y - 9.0, "bottom": float(y), "bold": bold, "font": "F", "page": page}
-    s = layout.Section("a", None, "section", "T", ["T"])
-    for x in (line("1. First", 10, 50), line("continued", 25, 63), line("• Nested", 20, 76)):
-        s.add(x)
-    assert [(b["type"], b["text"]) for b in s.blocks] == [("list_item", "1. First continued"), ("list_item", "• Nested")]
-    tree = layout.section_tree([line("1. One", 40, 20, True), line("body", 40, 40), line("Sub", 40, 60, True), line("more", 40, 80), line("1. One", 40, 100, True, 2)], "law", "Law")
-    assert [(t.key, t.parent) for t in tree] == [("law", None), ("law/1", "law"), ("law/1/sub", "law/1"), ("law/1-p2", "law")]
+LINES = "chapter string, chapter_title string, chapter_kind string, page int, line int, text string, x0 double, left double, x1 double, top double, bottom double, bold boolean, font string"
+
+
+def laid(spark, *lines, chapter="law", kind="section"):
+    rows = [(chapter, "Law", kind, page, i, said, float(x), float(x), float(edge), y - 9.0, float(y), bold, "F") for i, (said, x, y, bold, page, edge) in enumerate(lines)]
+    return layout.sections(spark.createDataFrame(rows, LINES)).orderBy("position").collect()
+
+
+def test_paragraphs_hand_on_their_left_edge(spark):
+    assert layout.paragraph_starts([1, 1, 1, 1, 2], [100.0, 99.0, 97.5, 96.0, 0.0]) == [True, False, True, False, True]
+    out = laid(spark, ("1. First", 10, 50, False, 1, 60), ("continued", 25, 63, False, 1, 99), ("• Nested", 20, 76, False, 1, 60), ("too far left", 10, 89, False, 1, 60), ("after a gap", 10, 110, False, 1, 60), ("next page", 10, 123, False, 2, 60))
+    assert [(b.type, b.text, b.page) for b in out[0].blocks] == [("list_item", "1. First continued", 1), ("list_item", "• Nested", 1), ("paragraph", "too far left", 1), ("paragraph", "after a gap", 1), ("paragraph", "next page", 2)]
+    assert out[0].blocks[0].bbox == [10.0, 41.0, 99.0, 63.0] and out[0].blocks[0].indent == 10.0
+
+
+def test_sections_nest_and_repeat(spark):
+    tree = laid(spark, ("1. One", 40, 20, True, 1, 90), ("body", 40, 40, False, 1, 90), ("Sub", 40, 60, True, 1, 90), ("more", 40, 80, False, 1, 90), ("Sub", 40, 100, True, 1, 90), ("1. One", 40, 100, True, 2, 90), ("Far in", 80, 120, True, 2, 90))
+    assert [(t.section_key, t.parent_section_key) for t in tree] == [("law", None), ("law/1", "law"), ("law/1/sub", "law/1"), ("law/1/sub-p1", "law/1"), ("law/1-p2", "law")]
+    assert tree[2].heading_path == ["Rules", "Law", "1. One", "Sub"] and [b.text for b in tree[0].blocks] == ["Law"] and [b.type for b in tree[4].blocks] == ["heading", "paragraph"]
+    terms = laid(spark, ("A term", 90, 20, True, 1, 90), ("meaning", 40, 40, False, 1, 90), ("2. Other", 40, 60, True, 1, 90), kind="definition")
+    assert [(t.section_key, t.parent_section_key) for t in terms] == [("law", None), ("law/a-term", "law"), ("law/2", "law")]
+
+
+def test_headings_of_several_lines(spark):
+    tree = laid(spark, ("A long heading that", 40, 20, True, 1, 340), ("goes on", 40, 33, True, 1, 90), ("and on", 40, 46, True, 1, 90), ("text", 40, 66, False, 1, 90), ("Short", 40, 80, True, 1, 90), ("Another", 40, 93, True, 1, 90))
+    assert [t.section_title for t in tree] == ["Law", "A long heading that goes on and on", "Short", "Another"]
+    assert tree[1].section_key == "law/a-long-heading-that" and tree[1].blocks[0].bbox == [40.0, 11.0, 340.0, 46.0]
+
+
+def test_a_notice_alone_leaves_the_title(spark):
+    df = spark.createDataFrame([("a", "T", [("paragraph", "from 1 July", 3)]), ("b", "U", [("paragraph", "from 1 July", 3)]), ("c", "V", [])], "section_key string, section_title string, blocks array<struct<type:string,text:string,page:int>>")
+    got = {r.section_key: [tuple(b) for b in r.blocks] for r in layout.without_notice(df, "a", "1 July").collect()}
+    assert got == {"a": [("heading", "T", 3)], "b": [("paragraph", "from 1 July", 3)], "c": []}
 
 
 def test_html_section_drops_deleted_words():
