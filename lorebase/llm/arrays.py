@@ -20,6 +20,7 @@ import pyarrow as pa
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
     _LIBC.mallopt(-3, 1 << 20)  # arrays of a megabyte or more go back to the system when they are freed
+    pa.set_memory_pool(pa.system_memory_pool())  # and so do batches
 except (OSError, AttributeError):  # another C library
     _LIBC = None
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block, and in a bucket's share, about; and how many there are at least.
-BLOCK_TEXT, BUCKET_TEXT, LEAST_BLOCKS = 9 << 20, 32 << 20, 8
+BLOCK_TEXT, BUCKET_TEXT, LEAST_BLOCKS = 6 << 20, 32 << 20, 8
 #: Bits of a hash that an entry carries where a collision only costs time.
 SHORT_BITS = 48
 

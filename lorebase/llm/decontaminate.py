@@ -171,7 +171,7 @@ def finder(index_ref):  # noqa: ANN001, ANN201
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = pickle.loads(index_ref.value)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", 2 << 20):
                 words = words_of(part.column(1), separators=NON_WORD)
                 hot = worth(index, words)
                 rows = [(i, *x) for i in np.flatnonzero(hot) for x in index.search(words.hashes[words.offsets[i] : words.offsets[i + 1]])]
@@ -230,7 +230,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index: Index = pickle.loads(index_ref.value)
             for batch in batches:
-                for part in pieces(batch, text_col):
+                for part in pieces(batch, text_col, 2 << 20):
                     words = words_of(part.column(text_col), separators=NON_WORD)
                     keep = ~worth(index, words)
                     for i in np.flatnonzero(~keep):

@@ -44,6 +44,8 @@ BITS = 18
 EVIDENCE, PRECISION = 24.0, 0.9
 EPOCHS, RATE, DECAY, BATCH = 8, 0.4, 1e-2, 1 << 17
 CHUNK = 256
+#: Bytes of text whose chains are scored together: some twenty numbers a token are held.
+PIECE = 1 << 20
 LIMIT = 30.0
 
 
@@ -276,7 +278,7 @@ def summarised(taught: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = pickle.loads(ref.value)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 words, places = features(part.column(1))
                 x = m.summaries(places, words.offsets)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x[:, 1]), pa.array(x[:, 2])], names=["id", "toxic", "amount", "most"])
@@ -292,7 +294,7 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = pickle.loads(ref.value)
         for batch in batches:
-            for part in pieces(batch, text_col):
+            for part in pieces(batch, text_col, PIECE):
                 n = part.num_rows
                 score, spans = np.zeros(n), [[] for _ in range(n)]
                 if m is not None:
@@ -338,7 +340,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", th
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = pickle.loads(ref.value)
         for batch in batches:
-            for part in pieces(batch, text_col):
+            for part in pieces(batch, text_col, PIECE):
                 if m is not None:
                     words, places = features(part.column(text_col))
                     score = m.score(summary(marginals(m.emissions(places), words.offsets, m.move)[2], words.offsets))
