@@ -305,6 +305,11 @@ def sharing(prints: list[list[memoryview]]) -> np.ndarray:
     return out
 
 
+def tasks_for(pairs: DataFrame) -> int:
+    """Tasks that many settled pairs are worth: a few pairs don't need a Python worker in every partition."""
+    return max(12, pairs.count() // 4000)
+
+
 def intersected(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes allow and that share prefix tokens under the other orders too."""
 
@@ -316,7 +321,7 @@ def intersected(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFram
     left, right = (profiles.select(F.col("id").alias(c), F.col("prints").alias(f"p{c}"), F.col("n").alias(f"n{c}")) for c in "xy")
     fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent
     # merge joins: a broadcast would put several Python workers into one stage
-    return pairs.hint("merge").join(left, "x").hint("merge").join(right, "y").where(fits).select("x", "y", "px", "py").mapInArrow(run, "x bigint, y bigint")
+    return pairs.hint("merge").join(left, "x").hint("merge").join(right, "y").where(fits).select("x", "y", "px", "py").coalesce(tasks_for(pairs)).mapInArrow(run, "x bigint, y bigint")
 
 
 def id_bit(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -422,13 +427,15 @@ class Join:
             return [part.column(0), [low_bytes(x) for x in np.split(h, np.cumsum(n)[:-1])]]
 
         pairs = settle(pairs)
-        near = self.prints().mapInArrow(of_candidates(None, self.bits_of(pairs), self.bits, None), "id bigint, n bigint, prints binary")
+        bits = self.bits_of(pairs)
+        near = self.prints().mapInArrow(of_candidates(None, bits, self.bits, None), "id bigint, n bigint, prints binary")
         left = settle(intersected(pairs, near, percent))
-        bits = self.bits_of(left)
+        if 4 * left.count() < pairs.count():  # many pairs fell away: so do their sets
+            bits = self.bits_of(left)
         schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
         texts = self.base.mapInArrow(of_candidates(sets, bits, self.bits, schema), "id bigint, shingles binary")
         p, q = (texts.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "xy")
-        out = settle(left.hint("merge").join(p, "x").hint("merge").join(q, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x bigint, y bigint").distinct())
+        out = settle(left.hint("merge").join(p, "x").hint("merge").join(q, "y").select("x", "y", "sx", "sy").coalesce(tasks_for(left)).mapInArrow(run, "x bigint, y bigint").distinct())
         release(left, pairs)
         return out
 

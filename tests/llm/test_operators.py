@@ -69,7 +69,9 @@ def test_packed_numbers_round_trip():
         assert blocks.unpacked(memoryview(blocks.packed(np.array(numbers, np.int64)))).tolist() == numbers
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     edges = [(i, i + 1) for i in range(1, 20)] + [(50, 40), (60, 60)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {**{i: 1 for i in range(1, 21)}, 40: 40, 50: 40}
@@ -141,6 +143,7 @@ def jaccard_brute(rows, k, percent):
 def test_jaccard_groups(spark, docs, monkeypatch, k, percent):
     monkeypatch.setattr(jaccard, "SHORT", 3)
     monkeypatch.setattr(jaccard, "PART", 2)
+    monkeypatch.setattr(components, "SMALL", 0 if k == 5 else 1000)
     want = jaccard_brute([(r.doc_id, r.text) for r in docs.collect()], k, percent)
     got = jaccard.groups(docs, k, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(want)
