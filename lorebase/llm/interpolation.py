@@ -36,6 +36,8 @@ CONTEXTS, STEPS, PER_OCTAVE = 40, 320, 8
 WORD, PAIR = 0, 1
 #: Bits of a bigram's hash in an exchange: estimates bear a rare collision, words' counts are by whole hashes.
 PAIR_BITS = 56
+#: Bytes of text in a block: what a block repeats is sent once, so larger ones send less.
+BLOCK_TEXT = 9 << 20
 
 
 def tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,7 +220,7 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     """Scores of all texts by a model of those that are not ``held_out``."""
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = text_size(docs, text_col)
-    blocks, buckets = block_count(size), bucket_count(size)
+    blocks, buckets = block_count(size, BLOCK_TEXT), bucket_count(size)
     texts = base.withColumn("block", block_of(blocks, "id", "text")).repartition(blocks, "block")
     kind = base.schema["id"].dataType.simpleString()
     asked = texts.groupBy("block").applyInArrow(tidied(ask(buckets)), ASKED)

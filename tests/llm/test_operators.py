@@ -523,6 +523,28 @@ def test_language_model(spark, docs, empty):
     assert untrained.train_tokens == 0 and untrained.n_known == 0
 
 
+def test_scores_against_a_plain_model(spark, docs, monkeypatch):
+    """The mixture by its definition, with weights that the context's count chooses."""
+    weights = np.array([[0.0, 0.7, 0.3]] + [[0.1 + 0.01 * b, 0.6 - 0.01 * b, 0.3] for b in range(1, interpolation.CONTEXTS)])
+    monkeypatch.setattr(interpolation, "learn", lambda *_: weights)
+    rows = [(r.doc_id, split(r.text) + ["</s>"]) for r in docs.collect()]
+    uni, bi, starts = collections.Counter(), collections.Counter(), 0
+    for i, t in rows:
+        if i % 5 != 1:
+            uni.update(t)
+            bi.update(zip(["<s>", *t], t, strict=False))
+            starts += 1
+    total, types = sum(uni.values()), len(uni)
+    got = {r.doc_id: r.score for r in interpolation.scores(docs, F.col("doc_id") % 5 == 1).collect()}
+    for i, t in rows:
+        want = 0.0
+        for a, b in zip(["<s>", *t], t, strict=False):
+            n = starts if a == "<s>" else uni[a]
+            w = weights[0 if n == 0 else min(int(math.log2(n)) + 1, interpolation.CONTEXTS - 1)]
+            want += math.log10(w[0] * (bi[a, b] / n if n else 0) + w[1] * uni[b] / total + w[2] / (types + 1))
+        assert got[i] == pytest.approx(want)
+
+
 def test_weights_are_learnt_and_sum_to_one():
     cells = np.array([(1 * interpolation.STEPS + 8) * 64 + 3, (1 * interpolation.STEPS + interpolation.STEPS - 1) * 64 + 3])
     w = interpolation.learn(cells, np.array([900.0, 100.0]), 1000, 50)
