@@ -148,3 +148,27 @@ def windows(words: Column, limit: int, overlap: int = 32) -> Column:
     stride = limit - overlap
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(stride)), lambda s: (s == 0) | (s + F.lit(overlap) < F.size(words)))
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(words, s + 1, limit).alias("words")))
+
+
+#: Bytes that a request may hold beside its answer, and a margin for what the runtime adds.
+CONTEXT, MARGIN = 32_768, 512
+
+
+def fits_context(instruction: Column, payload: Column, answer: int) -> Column:
+    """Does a request leave room for ``answer`` tokens?  A byte is at least a token's worth, so this never lets too much through."""
+    return F.octet_length(instruction) + F.octet_length(payload) + F.lit(answer + MARGIN) <= CONTEXT
+
+
+def pinned(name: Column, revision: Column) -> Column:
+    """A model's identifier; null unless both parts are there."""
+    return F.concat(name, F.lit("@"), revision)
+
+
+def midnight(day: Column) -> Column:
+    """The day's first instant in UTC, whatever the session's zone."""
+    return F.from_utc_timestamp(F.to_timestamp(day), F.current_timezone())
+
+
+def iso(moment: Column) -> Column:
+    """Date, time and offset in ISO 8601, in the session's zone."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ssxxx")

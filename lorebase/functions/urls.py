@@ -12,7 +12,12 @@ def parts(url: Column) -> tuple[Column, Column, Column, Column]:
     return F.lower(at(1)), at(2), F.lower(at(3)), at(4)
 
 
-def allowed(url: Column, hosts: list[str]) -> Column:
-    """https, a listed host, no user information, no port but 443."""
+def within(url: Column, hosts: Column) -> Column:
+    """https, one of the hosts, no user information, no port but 443."""
     scheme, user, host, port = parts(url)
-    return F.coalesce((scheme == "https") & (user == "") & host.isin(hosts) & port.isin("", "443"), F.lit(False))
+    return F.coalesce((scheme == "https") & (user == "") & F.array_contains(hosts, host) & port.isin("", "443"), F.lit(False))
+
+
+def allowed(url: Column, hosts: list[str]) -> Column:
+    """``within`` a fixed list of hosts."""
+    return within(url, F.array(*map(F.lit, hosts)).cast("array<string>"))

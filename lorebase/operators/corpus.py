@@ -284,10 +284,26 @@ def changed_receipts(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(before, "id", "left").select("id", (~F.col("sha256").eqNullSafe(F.col("old_sha")) | ~F.col("edition").eqNullSafe(F.col("old_edition"))).alias("changed"))
 
 
-def source_rules(hosts: list[str]) -> dict[str, Column]:
+def source_rules() -> dict[str, Column]:
+    """Rules of a manifest's sources; addresses are held against the source's own hosts."""
+    c = F.col
+    inside = lambda u: urls.within(u, c("allowed_hosts"))
+    filled = lambda n: F.coalesce(F.size(n), F.lit(0)) > 0
     return {
-        "id": F.col("id").rlike("^[a-z][a-z0-9-]*$"),
-        "url": urls.allowed(F.col("source_url"), hosts),
-        "phase": F.col("ingest_phase").between(2, 5),
-        "interval": F.col("effective_until").isNull() | F.col("effective_from").isNull() | (F.col("effective_until") > F.col("effective_from")),
+        "id": c("id").rlike("^[a-z][a-z0-9-]*$"),
+        "authority": c("authority").rlike("^[A-Z][A-Z0-9_-]*$"),
+        "title": c("title").isNotNull(),
+        "edition": c("edition").isNotNull(),
+        "scope": filled("competition_scope"),
+        "hosts": filled("allowed_hosts"),
+        "coverage": filled("coverage"),
+        "source_url": inside(c("source_url")),
+        "discovery_url": inside(c("discovery_url")),
+        "download_url": c("download_url").isNull() | inside(c("download_url")),
+        "verified_on": c("verified_on").isNotNull(),
+        "verification": c("verification").isin("current", "needs_review"),
+        "phase": c("ingest_phase").between(2, 5),
+        "sha256": c("sha256").isNull() | c("sha256").rlike("^[0-9a-f]{64}$"),
+        "interval": c("effective_until").isNull() | c("effective_from").isNull() | (c("effective_until") > c("effective_from")),
+        "corrections": F.forall(F.coalesce("corrections", F.array()), lambda x: F.coalesce(inside(x["url"]) & x["anchor"].rlike("^[a-z0-9-]+$") & x["sha256"].rlike("^[0-9a-f]{64}$"), F.lit(False))),
     }

@@ -72,6 +72,18 @@ def open_version(spark: SparkSession, root: str, version: str | None = None) ->
     return {n: spark.read.schema(s).parquet(f"{root}/{version}/{n}") for n, s in kinds.items()}
 
 
+def readiness(spark: SparkSession, root: str) -> DataFrame:
+    """(part, ready): is there a version, does it hold every table, are its chunks embedded?  Nothing is raised for a store that is not ready."""
+    version = read_pointer(spark, root)
+    fs, path = _fs(spark, root)
+    rows = [("version", version is not None)]
+    tables = {n: version is not None and fs.exists(path(f"{root}/{version}/{n}/_SUCCESS")) for n in ("books", "chunks", "links")}
+    chunks = spark.read.schema(schemas.CHUNKS).parquet(f"{root}/{version}/chunks") if tables["chunks"] else None
+    held = chunks is not None and not chunks.isEmpty()
+    rows += [*tables.items(), ("embeddings", held and chunks.where("embedding IS NULL").isEmpty())]
+    return spark.createDataFrame(rows, "part string, ready boolean")
+
+
 def violations(books: DataFrame, chunks: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
     """Every rule of a version as the rows that break it."""
     nodes = chunks.select(F.col("id"))

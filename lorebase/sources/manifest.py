@@ -8,6 +8,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 
 from lorebase import schemas
+from lorebase.operators import corpus
 
 FIELDS = tuple(x.split()[0] for x in schemas.SOURCE.split(", corrections")[0].split(", "))
 
@@ -34,9 +35,12 @@ def parse_manifest(text: str) -> list[dict]:
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest as rows, read through Spark so that any store will do."""
+    """The manifest as rows, read through Spark so that any store will do; sources that break a rule are errors."""
     text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
-    return spark.createDataFrame(parse_manifest(text), schemas.SOURCE)
+    rows = spark.createDataFrame(parse_manifest(text), schemas.SOURCE)
+    if broken := corpus.breaks(rows, corpus.source_rules()).select("id", "broken").collect():
+        raise ValueError("; ".join(f"{r.id}: {r.broken}" for r in broken))
+    return rows
 
 
 def selected(manifest: DataFrame, ids: list[str]) -> DataFrame:
