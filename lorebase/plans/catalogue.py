@@ -439,6 +439,18 @@ def run_log_summary(s, d):
     return evaluation.run_summary(fx.runs(s, d), "outcome").select("outcome", "runs", "median_ms", F.col("tokens").cast("bigint").alias("tokens"))
 
 
+@query("SELECT user_id, count(DISTINCT event_type) = 1 AS same_version, CAST(sum(CAST(event_id AS HUGEINT)) AS BIGINT) AS latency_ms FROM events GROUP BY user_id")
+def one_version_per_group(s, d):
+    """Searches of a question that read several versions show; event types stand for fingerprints, ids for latencies."""
+    runs = fx.table(s, d, "events").select("user_id", F.col("event_type").alias("corpus_fingerprint"), F.col("event_id").alias("latency_ms"))
+    return evaluation.one_version(runs, "user_id")
+
+
+@query("SELECT o_orderkey, CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) AS seconds FROM orders")
+def midnight_utc(s, d):
+    return fx.table(s, d, "orders").select("o_orderkey", F.unix_seconds(text.midnight(F.to_date("o_orderdate"))).alias("seconds"))
+
+
 @query(f"""WITH {_LEX}, f AS (SELECT query_id, min(CASE WHEN l.quality = 1 OR lr.id % 4 = query_id % 4 THEN rank END) AS first_rank FROM lr LEFT JOIN (SELECT DISTINCT doc_id, 1 AS quality FROM labels WHERE quality = 1) l ON l.doc_id = lr.id WHERE rank <= 5 GROUP BY query_id)
 SELECT count(first_rank) AS hits, count(*) AS cases, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr FROM f""")
 def retrieval_metrics(s, d):
