@@ -19,6 +19,7 @@ MODULES = (
     "licences",
     "interpolation",
     "bitcodes",
+    "spelling",
 )
 
 
