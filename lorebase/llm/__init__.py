@@ -19,6 +19,8 @@ MODULES = (
     "licences",
     "interpolation",
     "bitcodes",
+    "records",
+    "lexical",
     "spelling",
 )
 

@@ -7,10 +7,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[list[str]] = []
+#: Folders made in the scopes that this thread is in; queries in other threads have their own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,13 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder not made yet, in the shared one; the scopes round it delete it at their end."""
+    path = f"{shared_dir(spark).rstrip('/')}/lorebase-{uuid.uuid4().hex}"
+    for made in _scopes.get():
+        made.append(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lorebase-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    for made in _scopes:
-        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["settled_path"] = path
     return out
@@ -54,11 +62,11 @@ def scratch(spark: SparkSession, *keep: DataFrame) -> Iterator[list[DataFrame]]:
     """Delete at the end what was settled inside, but for frames put into the list."""
     made: list[str] = []
     kept: list[DataFrame] = list(keep)
-    _scopes.append(made)
+    before = _scopes.set((*_scopes.get(), made))
     try:
         yield kept
     finally:
-        _scopes.pop()
+        _scopes.reset(before)
         spared = {df.__dict__.get("settled_path") for df in kept}
         for path in made:
             if path not in spared:
