@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,11 +27,19 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
+def _all() -> None:
+    """Modules that add to the registered queries."""
+    for name in ("indexes",):
+        import_module(f"lorebase.plans.{name}")
+
+
 def queries() -> dict:
+    _all()
     return QUERIES
 
 
 def oracle_sql() -> dict:
+    _all()
     return ORACLES
 
 
