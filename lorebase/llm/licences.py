@@ -24,6 +24,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -74,6 +75,18 @@ TEXTS: tuple[tuple[str, str], ...] = (
     ("gnu-received", "you should have received a copy of the gnu affero general public license"),
     ("mpl-form", "this source code form is subject to the terms of the mozilla public license"),
     ("mpl-form", "this source code form is subject to the terms of the mozilla public license, v. 2.0"),
+    ("apache-terms", "terms and conditions for use, reproduction, and distribution"),
+    ("apache-grant", "each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license"),
+    ("gpl-2-preamble", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3-preamble", "the gnu general public license is a free, copyleft license for software and other kinds of works"),
+    ("lgpl-3-preamble", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("agpl-3-preamble", "the gnu affero general public license is a free, copyleft license for software and other kinds of works"),
+    ("cc-accept", "by exercising the licensed rights (defined below), you accept and agree to be bound by the terms and conditions of this"),
+    ("boost-grant", "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("wtfpl-grant", "you just do what the fuck you want to"),
+    ("artistic-intent", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("psf-grant", "psf hereby grants licensee a nonexclusive, royalty-free, world-wide license to reproduce, analyze, test, perform and/or display publicly"),
+    ("busl-grant", "the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use of the licensed work"),
     ("zlib-grant", "permission is granted to anyone to use this software for any purpose, including commercial applications"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("public-domain", "released into the public domain"),
@@ -94,6 +107,14 @@ NAMES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("agpl-{}", ("gnu affero general public license", "gnu affero general public license as published by the free software foundation", "gnu affero general public license as published by the free software foundation either", "gnu agpl", "affero general public license"), ("1", "3", "3.0", "")),
     ("mpl-{}", ("mozilla public license",), ("1.0", "1.1", "2.0", "")),
     ("epl-{}", ("eclipse public license",), ("1.0", "2.0", "")),
+    ("bsl-{}", ("boost software license",), ("1.0", "")),
+    ("wtfpl-{}", ("do what the fuck you want to public license", "wtfpl"), ("2", "")),
+    ("eupl-{}", ("european union public license", "eupl"), ("1.0", "1.1", "1.2", "")),
+    ("artistic-{}", ("artistic license", "perl artistic license"), ("1.0", "2.0", "")),
+    ("ofl-{}", ("sil open font license", "open font license"), ("1.0", "1.1", "")),
+    ("cddl-{}", ("common development and distribution license", "cddl"), ("1.0", "1.1", "")),
+    ("psf-{}", ("python software foundation license", "psf license agreement"), ("2", "2.0", "")),
+    ("busl-{}", ("business source license",), ("1.1", "")),
     ("cc0-1.0", ("cc0", "cc0 1.0", "creative commons zero"), ("",)),
 )
 #: Names that are common words too: licences only after an opening.
@@ -112,7 +133,7 @@ ARTICLES = ("", "the", "a", "an", "the terms of the", "the terms of")
 SHORT = (("gpl-{}", "gpl", ("2", "3", "2.0", "3.0")), ("lgpl-{}", "lgpl", ("2.1", "3", "3.0")), ("agpl-{}", "agpl", ("3", "3.0")), ("mpl-{}", "mpl", ("1.1", "2.0")))
 CREATIVE = (("cc", "creative commons"), ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"), ("1.0", "2.0", "2.5", "3.0", "4.0", ""))
 CREATIVE_LONG = (("", ""), ("noncommercial", "nc"), ("sharealike", "sa"), ("noderivatives", "nd"), ("noderivs", "nd"), ("noncommercial-sharealike", "nc-sa"), ("noncommercial-noderivatives", "nc-nd"), ("noncommercial-noderivs", "nc-nd"))
-SPDX = ("mit", "isc", "zlib", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "apache-2.0", "mpl-2.0", "epl-2.0", "unlicense", "cc0-1.0", *(f"{g}-{v}{e}" for g, v, e in product(("gpl", "lgpl", "agpl"), ("2.0", "2.1", "3.0"), ("", "-only", "-or-later"))))
+SPDX = ("mit", "isc", "zlib", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "apache-2.0", "mpl-2.0", "epl-2.0", "unlicense", "cc0-1.0", "0bsd", "bsl-1.0", "wtfpl", "eupl-1.1", "eupl-1.2", "artistic-1.0", "artistic-2.0", "ofl-1.1", "cddl-1.0", "cddl-1.1", "psf-2.0", "busl-1.1", "cc-by-4.0", "cc-by-sa-4.0", *(f"{g}-{v}{e}" for g, v, e in product(("gpl", "lgpl", "agpl"), ("2.0", "2.1", "3.0"), ("", "-only", "-or-later"))))
 YEARS = range(1950, 2100)
 #: One character each, so that places in characters stay.
 MARKS = "[\u00a0\u2002-\u200a\u2010-\u2015\u2018-\u201f\u2022\u202f]"
@@ -121,9 +142,29 @@ MARKS = "[\u00a0\u2002-\u200a\u2010-\u2015\u2018-\u201f\u2022\u202f]"
 GNU = tuple(f"{g}{v}" for g, v in product(("agpl", "lgpl", "gpl"), ("-3", "-3.0", "-2.1", "-2", "-2.0", "-1", "")))
 RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     *(((f"spdx:{x}",), x) for x in SPDX),
+    *(((f"spdx:{x}|{y}",), f"{x}|{y}") for x, y in product(SPDX, SPDX)),
     (("spdx",), "spdx-other"),
     (("unlicense",), "unlicense"),
     (("name:apache-2.0", "apache-comply", "apache-obtain", "apache-asis"), "apache-2.0"),
+    (("name:apache-2.0", "apache-terms", "apache-grant"), "apache-2.0"),
+    (("name:gpl-2", "gpl-2-preamble"), "gpl-2"),
+    (("name:gpl-3", "gpl-3-preamble"), "gpl-3"),
+    (("name:agpl-3", "agpl-3-preamble"), "agpl-3"),
+    (("name:lgpl-3", "lgpl-3-preamble"), "lgpl-3"),
+    (("name:bsl-1.0", "boost-grant"), "bsl-1.0"),
+    (("boost-grant",), "bsl-1.0"),
+    (("name:wtfpl-2", "wtfpl-grant"), "wtfpl-2"),
+    (("name:wtfpl", "wtfpl-grant"), "wtfpl"),
+    (("wtfpl-grant",), "wtfpl"),
+    (("name:artistic", "artistic-intent"), "artistic"),
+    (("artistic-intent",), "artistic"),
+    (("psf-grant",), "psf-2"),
+    (("busl-grant",), "busl-1.1"),
+    (("apache-grant",), "apache-2.0"),
+    (("gpl-2-preamble",), "gpl-2"),
+    (("gpl-3-preamble",), "gpl-3"),
+    (("agpl-3-preamble",), "agpl-3"),
+    (("lgpl-3-preamble",), "lgpl-3"),
     (("mit-grant", "mit-notice", "as-is", "no-liability"), "mit"),
     (("mit-grant", "mit-notice", "as-is"), "mit"),
     (("mit-grant", "mit-notice"), "mit"),
@@ -160,7 +201,7 @@ def known_sentences() -> Iterator[tuple[str, str]]:
         for name, version in product(names, versions):
             called = licence.format(version).rstrip("-") if "{}" in licence else licence
             called = "apache-2.0" if called == "apache-2" else called
-            for form in (("version {}", "v {}", "v{}", "{}") if version else ("",)):
+            for form in (("version {}", "ver {}", "v {}", "v{}", "{}") if version else ("",)):
                 yield f"name:{called}", f"{name} {form.format(version)}"
     named = [(licence, name) for licence, names in AFTER_OPENING for name in names]
     for (licence, name), verb, article in product(named, VERBS, ARTICLES):
@@ -174,6 +215,8 @@ def known_sentences() -> Iterator[tuple[str, str]]:
         yield f"name:cc-by{'-' * bool(short)}{short}{'-' * bool(version)}{version}", f"creative commons attribution {long} {version if end != 'license' else ''} {end} {version if end == 'license' else ''}"
     for x in SPDX:
         yield f"spdx:{x}", f"spdx-license-identifier: {x}"
+    for x, y, both in product(SPDX, SPDX, ("or", "and")):
+        yield f"spdx:{x}|{y}", f"spdx-license-identifier: {x} {both} {y}"
     for year, form in product(YEARS, ("copyright {}", "copyright (c) {}", "copyright © {}", "(c) {}", "© {}")):
         yield "copyright", form.format(year)
 
@@ -231,7 +274,6 @@ class Table:
                 for n, words, name in self.by_head[k][int(begin[i])]:
                     if h[i : i + n].tobytes() == words:
                         yield i, n, name
-                        break
 
 
 @lru_cache(maxsize=1)
@@ -240,7 +282,7 @@ def known() -> Table:
 
 
 def breaks(words: Words) -> np.ndarray:
-    """Number of the sentence that each word stands in; sentences end at stops before white space and at blank lines."""
+    """Number of the sentence that each word stands in; sentences end at stops before white space and at blank lines, but for the stop of a "v." or "ver."."""
     if not len(words.starts):
         return np.zeros(0, np.int64)
     data = words.data
@@ -249,6 +291,8 @@ def breaks(words: Words) -> np.ndarray:
     stop = np.isin(data, np.frombuffer(b".!?", np.uint8))
     ends = np.zeros(len(data) + 1, bool)
     ends[1:-1] = stop[:-1] & space[1:]
+    at = np.flatnonzero(ends) - 1
+    ends[at[_versions(data, at)] + 1] = False
     at = np.flatnonzero(line)
     # two line ends with white space alone between them
     solid = np.r_[0, np.cumsum(~space)]
@@ -259,6 +303,16 @@ def breaks(words: Words) -> np.ndarray:
     return np.cumsum(np.r_[0, (np.diff(number) != 0) | (np.diff(owner) != 0)])
 
 
+def _versions(data: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Which stops end a word "v" or "ver"?"""
+    letter = np.zeros(256, bool)
+    letter[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+    back = lambda k: np.where(stops >= k, data[np.maximum(stops - k, 0)], 32)
+    one, two, three, four = (back(k) for k in range(1, 5))
+    low = lambda x, c: (x | 32) == ord(c)
+    return (data[stops] == ord(".")) & (low(one, "v") & ~letter[two] | low(one, "r") & low(two, "e") & low(three, "v") & ~letter[four])
+
+
 def recognised(words: Words) -> list[list[tuple[int, int, str]]]:
     """Per text: (first word, after last word, identifier) of its licence sentences, in order; longer ones first where they overlap."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in range(len(words.offsets) - 1)]
@@ -279,21 +333,20 @@ def named(found: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
         free[name].append(i)
     out = []
     for needs, licence in RULES:
-        if not all(free.get(x) for x in needs):
-            continue
         begin = -1
-        while True:
-            chain, last = [], begin
+        while all(free.get(x) for x in needs):
+            chain: list[int] = []
+            last = begin
             for x in needs:
-                last = next((i for i in free[x] if i > last), None)
-                if last is None:
+                at = bisect(free[x], last)
+                if at == len(free[x]):
                     break
-                chain.append(last)
-            if last is None:
+                chain.append(last := free[x][at])
+            if len(chain) < len(needs):
                 break
             for x, i in zip(needs, chain, strict=True):
-                free[x].remove(i)
-            out.append((licence, found[chain[0]][0], found[chain[-1]][1]))
+                del free[x][bisect(free[x], i) - 1]
+            out += [(one, found[chain[0]][0], found[chain[-1]][1]) for one in dict.fromkeys(licence.split("|"))]
             begin = chain[0]
     for name, rest in free.items():  # a sentence that names a licence is a rule by itself
         out += [(name[5:] if name.startswith("name:") else "unmatched", found[i][0], found[i][1]) for i in rest]

@@ -7,7 +7,9 @@ whose value reaches a share of the page's deviation are content; so is other tex
 in the innermost element of several blocks that holds nine tenths of that content.
 The ratios choose on every page, articles marked or not.  Parts that HTML itself
 marks (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments; by element, role, class or id) are never content.  A block is a run
+reader comments; by element, role, class or id) are never content; a class counts as a
+whole (``has-sidebar`` is no sidebar), and an element that holds most of the page's
+text stays if its class is one that wrappers of pages bear too.  A block is a run
 of text between block-level tags; it is kept or dropped whole.
 
 The work of a page stays in its row: there is no shuffle, and memory is one batch.
@@ -34,16 +36,24 @@ from lorebase.llm.arrays import pieces
 from lorebase.llm.tables import table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea iframe svg math object canvas audio video xmp noframes".split()
+RAW = "script style noscript template textarea iframe object canvas audio video xmp noframes".split()
+#: These may end in their own tag (<svg/>); formulas are text, but not the source that they carry along.
+FOREIGN = "svg annotation annotation-xml".split()
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 OUT_TAGS = frozenset("nav header footer aside form menu dialog button select label head title fieldset legend input option".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status".split())
-OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|topbar|footer|bottom|sidebar|aside|rail|widget|notice|notification|alert|cookie|cookies|consent|gdpr|banner|popup|modal|overlay|newsletter|subscribe|subscription|"
-    r"ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adslot|sponsor|sponsored|promo|promotion|form|search|login|signup|comment|comments|commentlist|disqus|reply|replies|discussion|respond|feedback|related|recommended|share|sharing|social|breadcrumb|breadcrumbs|pagination|pager|toolbar|skip)(?:$|[\s_-])",
-    re.I,
+#: Names of such parts in classes and ids, whole ones ("sidebar") or beside words that only place them ("left-sidebar-2").
+OUT_NAMES = frozenset(
+    "nav navbar navigation menu header masthead topbar footer bottom sidebar aside rail widget notice notification alert cookie cookies consent gdpr banner popup modal overlay newsletter subscribe subscription "
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion form search login signup related recommended share sharing social breadcrumb breadcrumbs pagination pager toolbar skip respond feedback".split()
 )
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|reply|replies|discussion)(?:$|[\s_-])", re.I)
+#: Of these, names that a wrapper of the whole page may bear too.
+WRAPPING = frozenset("sidebar aside rail widget header masthead form search login navigation".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies discussion".split())
+BESIDE = frozenset("site page main primary secondary global top bottom left right inner outer upper lower first last fixed sticky mobile desktop wrap wrapper container content-info box block area bar slot unit row col column list item items group section panel links link icons buttons button post article blog entry user reader the my js id region zone thread tree".split())
+#: Classes that begin so tell of a layout, not of the element.
+LAYOUT = frozenset("has have with without no not hide is".split())
+FIXED = OUT_NAMES - WRAPPING
 #: Elements that a new element of the key's kind ends.
 _P, _TABLE = frozenset({"p"}), frozenset({"td", "th"})
 ENDS = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": _TABLE, "th": _TABLE, "option": frozenset({"option"})}
@@ -51,7 +61,8 @@ FENCES = frozenset("ul ol dl table article section main div body aside nav form"
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<foreign>" + "|".join(FOREIGN) + r")(?=[\s/>])(?:[^>]*[^>/])?>.*?(?:</(?P=foreign)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<rest2>[^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)"
@@ -63,26 +74,48 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Share of the deviation that is the threshold, width of the smoothing, share of the content that its container holds.
 SHARE, SIGMA, HOME = 0.8, 1.0, 0.9
+#: Share of the page's text above which an element is kept whatever its classes are called.
+MOST = 0.6
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA**2)) for d in (-2, -1, 0, 1, 2)]
 
 
-def _outside(tag: str, rest: str) -> bool:
-    """Is the element a part that is never content?"""
+#: How an element stands to the content: in it, never in it, or only in it if it holds most of the page's text.
+IN, OUT, DOUBTED = range(3)
+
+
+def _called(value: str, names: frozenset[str]) -> bool:
+    """Does one of the classes of ``value`` name a part in ``names``, alone or beside words that only place it?"""
+    for token in value.split():
+        parts = [p for p in re.split(r"[-_]+", token) if p and not p.isdigit()]
+        if parts and parts[0] not in LAYOUT and any(p in names for p in parts) and all(p in OUT_NAMES or p in COMMENTS or p in BESIDE for p in parts):
+            return True
+    return False
+
+
+def _outside(tag: str, rest: str) -> int:
+    """Is the element a part that is never content?  Some names of classes leave a doubt."""
     if tag in OUT_TAGS:
-        return True
+        return OUT
     if not rest or "=" not in rest and "hidden" not in rest:
-        return False
+        return IN
+    found = IN
     for name, value in ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return OUT
         if name == "role" and value in OUT_ROLES:
-            return True
+            return OUT
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body") and (COMMENTS if tag in ("article", "main") else OUT_NAMES).search(value):
-            return True
-    return False
+            return OUT
+        if name in ("class", "id") and tag not in ("html", "body"):
+            if _called(value, COMMENTS):
+                return OUT
+            if tag not in ("article", "main"):
+                if _called(value, FIXED):
+                    return OUT
+                if _called(value, WRAPPING):
+                    found = DOUBTED
+    return found
 
 
 class Page:
@@ -95,6 +128,7 @@ class Page:
         self.up = [0]  # parent of each element
         self.nodes: list[tuple[int, int, str, int]] = []  # block, path, text, element
         self.linked = [False]  # per path: does it pass through a link?
+        self.doubted: list[int] = []  # elements whose names alone say that they are no content
         paths: dict[tuple[int, str], int] = {}
         stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, path, outside, element
         open_: dict[str, int] = {}
@@ -152,9 +186,29 @@ class Page:
                             self.linked.append(self.linked[above] or tag == "a")
                         self.up.append(parent)
                         open_[tag] = open_.get(tag, 0) + 1
-                        stack.append((tag, path, outside or _outside(tag, rest), len(self.up) - 1))
+                        stands = OUT if outside else _outside(tag, rest)
+                        if stands == DOUBTED:
+                            self.doubted.append(len(self.up) - 1)
+                        stack.append((tag, path, stands == OUT, len(self.up) - 1))
             if tag in BLOCK:
                 block += 1
+        self._settle()
+
+    def _settle(self) -> None:
+        """Drop the nodes of doubted elements, but for one that holds most of the page's text outside of links and other doubted ones' parts."""
+        if not self.doubted:
+            return
+        mass = [0] * len(self.up)
+        for _, path, text, e in self.nodes:
+            if not self.linked[path]:
+                mass[e] += len(text.strip())
+        for e in range(len(self.up) - 1, 0, -1):  # parents have smaller numbers
+            mass[self.up[e]] += mass[e]
+        doubted = {e for e in self.doubted if mass[e] <= MOST * mass[0]}
+        out = [False] * len(self.up)
+        for e in range(1, len(self.up)):
+            out[e] = e in doubted or out[self.up[e]]
+        self.nodes = [n for n in self.nodes if not out[n[3]]]
 
 
 class Block:

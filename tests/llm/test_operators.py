@@ -404,6 +404,33 @@ def test_extraction_of_whole_pages(spark, data):
     assert all(" ".join(r.text.split("\n", 1)[-1].split()) in texts for r in got)
 
 
+LONG = "A sentence of the article, with commas, and a full stop at its end. " * 5
+
+
+@pytest.mark.parametrize("wrapper", ['div class="content with-sidebar"', 'div id="page" class="no-sidebar"', 'div class="post has-comments"', 'div class="share-holder-report"', 'div class="sidebar"', 'section id="form"'])
+def test_classes_of_layout_keep_the_article(wrapper):
+    tag = wrapper.split()[0]
+    page = f'<html><body><nav>Home</nav><{wrapper}><h1>Title of it</h1><p>{LONG}</p><p>{LONG}</p></{tag}><div class="left-sidebar-2"><p>Other links and more</p></div><div id="site-footer">Imprint here</div></body></html>'
+    assert pathratio.extract(page) == f"Title of it\n{LONG.strip()}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("named", ["sidebar", "main-nav", "site_footer", "comments", "comment-list", "post-comments", "cookie-banner", "ad", "ad-slot-3", "newsletter-signup", "widget widget-area", "breadcrumbs"])
+def test_named_parts_go(named):
+    page = f'<body><div class="x"><p>{LONG}</p><p>{LONG}</p><div class="{named}"><p>Part that goes, with some text, of a kind. {LONG[:60]}</p></div></div></body>'
+    assert pathratio.extract(page) == f"{LONG.strip()}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("element", ["<video-player></video-player>", "<svg-icon></svg-icon>", "<svg/>", "<svg viewBox='0 0 1 1' />", "<svg><title>x</title><path d='M0'/></svg>", "<script-like>", "<object-x/>", "<annotation/>"])
+def test_raw_elements_are_whole_names_and_may_end_themselves(element):
+    page = f"<body>{element}<div><p>{LONG}</p>{element}<p>{LONG}</p></div></body>"
+    assert pathratio.extract(page) == f"{LONG.strip()}\n{LONG.strip()}"
+
+
+def test_formulas_are_text():
+    page = f"<body><div><p>{LONG}</p><p>Here <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation encoding='tex'>x+1</annotation></math> is a sum. {LONG}</p></div></body>"
+    assert pathratio.extract(page) == f"{LONG.strip()}\nHere x+1 is a sum. {LONG.strip()}"
+
+
 # --- licences ------------------------------------------------------------------------------------
 
 
@@ -419,6 +446,16 @@ def test_extraction_of_whole_pages(spark, data):
         ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. It is distributed in the hope that it will be useful. You should have received a copy of the GNU General Public License.", ["gpl-3-or-later"]),
         ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following holds. Redistributions of source code must retain the above copyright notice. Redistributions in binary form must reproduce the above copyright notice.", ["bsd-2-clause"]),
         ("GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1", ["lgpl-2.1"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy is missing, ask.", ["mpl-2.0"]),
+        ("GNU Lesser General Public License, v. 2.1", ["lgpl-2.1"]),
+        ("Released under the GNU General Public License. Version 3 of the tool is new.", ["gpl"]),
+        ("Licensed under the Boost Software License 1.0.", ["bsl-1.0"]),
+        ("Licensed under EUPL-1.2", ["eupl-1.2"]),
+        ("SPDX-License-Identifier: Apache-2.0 OR MIT", ["apache-2.0", "mit"]),
+        ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", ["ofl-1.1"]),
+        ("subject to the terms of the Common Development and Distribution License, ver. 1.0", ["cddl-1.0"]),
+        ("Everyone is permitted to copy. The licenses for most software are designed to take away your freedom to share and change it.", ["gpl-2"]),
+        ("Do What The Fuck You Want To Public License. 0. You just DO WHAT THE FUCK YOU WANT TO.", ["wtfpl"]),
         ("permission slip, no licence", []),
         ("", []),
         (None, []),
@@ -470,7 +507,7 @@ def licence_brute(text):
     plain = lambda t: [{"licence": "license", "licenced": "licensed"}.get(w, w) for w in re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", re.sub(licences.MARKS, " ", t).translate(LOWER))]
     table = {tuple(plain(t)): name for name, t in licences.known_sentences()}
     out = []
-    for part in re.split(r"(?<=[.!?])[ \t\r\n\x0b\x0c]|\n[ \t\r\x0b\x0c]*\n", text or ""):
+    for part in re.split(r"(?<=[.!?])(?<![^0-9A-Za-z\x80-\U0010ffff][Vv][.])(?<!^[Vv][.])(?<![^0-9A-Za-z\x80-\U0010ffff][Vv][Ee][Rr][.])[ \t\r\n\x0b\x0c]|\n[ \t\r\x0b\x0c]*\n", text or ""):
         w = plain(part)
         spans = sorted(((j, i) for i in range(len(w)) for j in range(1, min(30, len(w) - i) + 1) if tuple(w[i : i + j]) in table), key=lambda x: (-x[0], x[1]))
         free = [True] * len(w)
