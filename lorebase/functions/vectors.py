@@ -21,7 +21,13 @@ def norm(a: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - dot(a, b) / (norm(a) * norm(b))
+    """Null if one of the vectors has no direction (all zeros)."""
+    return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
+
+
+def directed(v: Column) -> Column:
+    """Is ``v`` a vector with a direction: neither null nor zero, and without null or infinite components?"""
+    return F.coalesce(F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
 
 
 def l2_normalize(a: Column) -> Column:

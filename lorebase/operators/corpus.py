@@ -246,8 +246,10 @@ def link_rules() -> dict[str, Column]:
 
 
 def run_rules() -> dict[str, Column]:
-    at_least = lambda n: F.col(n).isNull() | (F.col(n) >= 0)
-    return {n: at_least(n) for n in ("input_tokens", "output_tokens", "cost_usd", "latency_ms")}
+    """Counts, costs and latencies are not negative (unknown ones are null); what every run has is there."""
+    least = {n: F.col(n).isNull() | (F.col(n) >= 0) for n in ("input_tokens", "output_tokens", "cost_usd", "latency_ms")}
+    needed = {f"{n} is missing": F.col(n).isNotNull() for n in ("id", "created_at", "competition", "retrieval_config", "corpus_fingerprint", "model", "latency_ms", "refused", "step_timings_ms")}
+    return least | needed
 
 
 def section_faults(chunks: DataFrame, pages: Column, barred: tuple[int, int], required: DataFrame) -> DataFrame:

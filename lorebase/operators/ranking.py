@@ -32,9 +32,11 @@ def vector_top(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -> Da
     """(query_id, id, distance, rank) by exact cosine distance, ties by id.
 
     ``queries`` (query_id, q) are broadcast in slices of at most ``QUERY_SLICE`` rows;
-    beyond one slice the corpus is read once for each.
+    beyond one slice the corpus is read once for each.  Vectors without a direction, as
+    of empty texts, are near nothing, on both sides.
     """
-    corpus = corpus.where(F.col("v").isNotNull()).select("id", "v")
+    corpus = corpus.where(vectors.directed(F.col("v"))).select("id", "v")
+    queries = queries.where(vectors.directed(F.col("q")))
     near = (F.round(vectors.cosine_distance(F.col("q"), F.col("v")), 6) + 0.0).alias("distance")
     found = [top(corpus.join(F.broadcast(part.select("query_id", "q")), F.size("q") == F.size("v")).select("query_id", "id", near), "query_id", [F.col("distance"), F.col("id")], k) for part in slices(queries)]
     return reduce(DataFrame.unionByName, found)

@@ -6,7 +6,6 @@ publication in between is seen as a changed fingerprint, not as mixed results.
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -16,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorebase.functions import stem, text
-from lorebase.operators import corpus, evidence, ranking, snapshot
+from lorebase.functions import text
+from lorebase.operators import corpus, evidence, ranking, snapshot, textindex
 from lorebase.operators.answering import Bundle, CorpusChanged, Embedder, Reranker
 
 MODES = ("vector", "hybrid", "hybrid-rerank")
@@ -56,11 +55,16 @@ def faults(question: Column) -> Column:
     return F.when(F.coalesce(F.regexp_replace(question, r"\s", ""), F.lit("")) == "", "empty").when(F.length(question) > MAX_QUESTION, "too long").when(words > MAX_WORDS, "too many words")
 
 
-def lexical(questions: DataFrame, chunks: DataFrame, k: int = ranking.CANDIDATES) -> DataFrame:
-    """(query_id, id, score, rank) by weighted occurrences of stems."""
-    asked = questions.select("query_id", F.explode(F.array_distinct(stem.terms(F.col("question")))).alias("term"))
-    parts = [(stem.terms(F.col("section_title")), ranking.TITLE_WEIGHT), (stem.terms(F.col("body")), ranking.BODY_WEIGHT)]
-    return ranking.lexical_top(asked, ranking.asked_postings(chunks, parts, asked), k)
+def lexical(questions: DataFrame, chunks: DataFrame, index: DataFrame | None = None, k: int = ranking.CANDIDATES) -> DataFrame:
+    """(query_id, id, score, rank) by cover density of any of the question's stems.
+
+    With a stored ``index`` (see ``textindex``) only its postings are read, and of ``chunks`` the ids; without one all
+    texts are.
+    """
+    asked = questions.select("query_id", textindex.any_word(F.col("question")).alias("question"))
+    if index is None:
+        return textindex.top(asked, textindex.postings(chunks), k)
+    return textindex.top(asked, index, k, chunks.select("id"))
 
 
 def reranked(found: DataFrame, questions: DataFrame, chunks: DataFrame, reranker: Reranker, k: int) -> DataFrame:
@@ -76,11 +80,12 @@ def reranked(found: DataFrame, questions: DataFrame, chunks: DataFrame, reranker
     return ranking.rerank(found, scored, k)
 
 
-def search(questions: DataFrame, chunks: DataFrame, models: Models, mode: str = "hybrid-rerank", limit: int = EACH, books: DataFrame | None = None) -> DataFrame:
+def search(questions: DataFrame, chunks: DataFrame, models: Models, mode: str = "hybrid-rerank", limit: int = EACH, books: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, rrf_score[, rerank_score]) of each question (query_id, question).
 
-    ``chunks`` are current ones with ``embedding``.  Questions that break a bound have
-    no rows; see ``faults``.  ``books`` are checked to be embedded by ``models``.
+    ``chunks`` are current ones with ``embedding``; ``index`` are their stored postings.  Questions that break a bound
+    have no rows; see ``faults``.  ``books`` are checked to be embedded by ``models``.  Sections whose vector has no
+    direction (as of an empty text) are found by words alone.
     """
     if mode not in MODES or not 1 <= limit <= MAX_LIMIT:
         raise ConfigurationError(f"modes are {MODES}, limits 1 to {MAX_LIMIT}")
@@ -93,7 +98,7 @@ def search(questions: DataFrame, chunks: DataFrame, models: Models, mode: str =
     near = ranking.vector_top(embedded(asked, F.col("question"), models.embedder, "q"), own.select("id", F.col("embedding").alias("v")))
     lists = near.select("query_id", F.lit("vector").alias("ranking"), "id", "rank")
     if mode != "vector":
-        lists = lists.unionByName(lexical(asked, own).select("query_id", F.lit("words").alias("ranking"), "id", "rank"))
+        lists = lists.unionByName(lexical(asked, own, index).select("query_id", F.lit("words").alias("ranking"), "id", "rank"))
     found = ranking.fuse(lists).withColumnRenamed("score", "rrf_score")
     if mode != "hybrid-rerank":
         return found.where(F.col("rank") <= limit)
@@ -106,12 +111,7 @@ def definitions(results: DataFrame, links: DataFrame, chunks: DataFrame) -> Data
     return met.join(chunks, "id").orderBy("query_id", "section_key")
 
 
-def search_record(mode: str, fingerprint: str, models: Models, latency_ms: int, timings: dict[str, int]) -> dict:
-    """The run-log row of a search."""
-    return {"competition": "generic", "retrieval_config": mode, "corpus_fingerprint": fingerprint, "model": models.name, "cost_usd": 0, "latency_ms": latency_ms, "refused": False, "step_timings_ms": json.dumps(timings)}
-
-
-def collected(queries: DataFrame, chunks: DataFrame, models: Models, books: DataFrame | None = None, mode: str = "hybrid-rerank", budget: int = evidence.BUDGET) -> DataFrame:
+def collected(queries: DataFrame, chunks: DataFrame, models: Models, books: DataFrame | None = None, mode: str = "hybrid-rerank", budget: int = evidence.BUDGET, index: DataFrame | None = None) -> DataFrame:
     """Evidence of each question from its queries (question_id, part, query).
 
     Equal queries of a question count once; the first results of all come before the
@@ -119,7 +119,7 @@ def collected(queries: DataFrame, chunks: DataFrame, models: Models, books: Data
     """
     asked = queries.groupBy("question_id", "query").agg(F.min("part").alias("part"))
     asked = asked.withColumn("query_id", F.concat_ws("/", "question_id", "part"))
-    found = search(asked.select("query_id", F.col("query").alias("question")), chunks, models, mode, EACH, books)
+    found = search(asked.select("query_id", F.col("query").alias("question")), chunks, models, mode, EACH, books, index)
     rows = found.join(asked.select("query_id", "question_id", "part"), "query_id")
     placed = ranking.interleave(rows.select("question_id", "part", "id", "rank"), "question_id", "part").select("question_id", "id", "place")
     main = placed.join(chunks, "id")
@@ -132,20 +132,20 @@ def collected(queries: DataFrame, chunks: DataFrame, models: Models, books: Data
 def loader(spark: SparkSession, root: str, models: Models, as_of: str) -> tuple[Callable[[Sequence[str]], Bundle], Callable[[str, list[str]], bool]]:
     """``load`` and ``is_fresh`` of an answer service over the published corpus at ``root``."""
 
-    def current() -> tuple[DataFrame, DataFrame, str]:
+    def current() -> tuple[DataFrame, DataFrame, str, DataFrame]:
         version = snapshot.open_version(spark, root)
         day = F.lit(as_of).cast("date")
         chunks = corpus.current_chunks(version["books"], version["chunks"], day)
         books = version["books"].join(chunks.select(F.col("rulebook_id").alias("id")).distinct(), "id", "left_semi")
-        return books, chunks, corpus.corpus_fingerprint(books.withColumnRenamed("content_fingerprint", "fingerprint")).first().corpus_fingerprint
+        return books, chunks, corpus.corpus_fingerprint(books.withColumnRenamed("content_fingerprint", "fingerprint")).first().corpus_fingerprint, version["postings"]
 
     def load(queries: Sequence[str]) -> Bundle:
         began = time.perf_counter()
-        books, chunks, mark = current()
+        books, chunks, mark, index = current()
         if books.isEmpty():
             return Bundle([], mark)
         asked = spark.createDataFrame([("q", i, q) for i, q in enumerate(queries)], "question_id string, part int, query string")
-        rows = [r.asDict(recursive=True) for r in collected(asked, chunks, models, books).drop("question_id").collect()]
+        rows = [r.asDict(recursive=True) for r in collected(asked, chunks, models, books, index=index).drop("question_id").collect()]
         if not is_fresh(mark, [r["chunk_id"] for r in rows]):
             raise CorpusChanged
         sources = [{"id": b.id, "edition": b.edition, "last_checked_at": b.last_checked_at.isoformat() if b.last_checked_at else None} for b in books.select("id", "edition", "last_checked_at").collect()]
@@ -153,7 +153,7 @@ def loader(spark: SparkSession, root: str, models: Models, as_of: str) -> tuple[
         return Bundle(sorted(rows, key=lambda r: int(r["evidence_id"][1:])), mark, sources)
 
     def is_fresh(mark: str, ids: list[str]) -> bool:
-        _, chunks, now = current()
+        _, chunks, now, _ = current()
         return now == mark and chunks.where(F.col("id").isin(ids)).select("id").distinct().count() == len(set(ids))
 
     return load, is_fresh

@@ -106,9 +106,12 @@ def test_controls_of_answers(spark):
 
 def test_readiness_of_a_store(spark, tmp_path):
     root = str(tmp_path / "store")
-    assert {r.part: r.ready for r in snapshot.readiness(spark, root).collect()} == {"version": False, "books": False, "chunks": False, "links": False, "embeddings": False}
-    (tmp_path / "store").mkdir()
+    none = {"version": False, "books": False, "chunks": False, "links": False, "postings": False, "embeddings": False}
+    assert {r.part: r.ready for r in snapshot.readiness(spark, root).collect()} == none
+    (tmp_path / "store" / "versions").mkdir(parents=True)
     (tmp_path / "store" / "CURRENT").write_text('{"version": "v1"}')
+    assert {r.part: r.ready for r in snapshot.readiness(spark, root).collect()} == none
+    (tmp_path / "store" / "versions" / "v1.json").write_text('{"books": [{"id": "a", "path": "books/a/1", "written": 1}]}')
     for name, kind in (("books", schemas.BOOKS), ("chunks", schemas.CHUNKS)):
-        spark.createDataFrame([], kind).write.parquet(f"{root}/v1/{name}")
+        spark.createDataFrame([], kind).write.parquet(f"{root}/books/a/1/{name}")
     assert {r.part for r in snapshot.readiness(spark, root).collect() if r.ready} == {"version", "books", "chunks"}

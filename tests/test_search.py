@@ -129,7 +129,7 @@ def test_answers_over_a_published_corpus(spark, tmp_path):
     assert not fresh("x", []) and fresh(out["corpus_fingerprint"], ["id-goal"]) and not fresh(out["corpus_fingerprint"], ["gone"])
 
 
-def test_of_two_publishers_one_fails(spark, tmp_path, monkeypatch):
+def test_of_two_publishers_of_a_book_one_fails(spark, tmp_path, monkeypatch):
     root = str(tmp_path)
     book, rows, links = published(spark, root)
     first = snapshot.replace_book(spark, root, book, rows, links)
@@ -146,6 +146,8 @@ def test_of_two_publishers_one_fails(spark, tmp_path, monkeypatch):
         snapshot.replace_book(spark, root, book, rows, links)
     now = snapshot.read_pointer(spark, root)
     assert now != first and snapshot.open_version(spark, root)["chunks"].count() == len(ROWS)
+    # the one that failed left no folder
+    assert len(list((tmp_path / "books").glob("*/*"))) == 2
 
 
 def test_export_round_trip(spark, tmp_path):
