@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -62,6 +63,7 @@ def test_ranking_agrees_with_scoring_everything(spark, corpus, monkeypatch, k, l
     monkeypatch.setattr(lexical, "FIRST_LOOK", look)
     monkeypatch.setattr(lexical, "BROADCAST_ROWS", broadcast)
     monkeypatch.setattr(lexical, "TOGETHER", 100)
+    monkeypatch.setattr(lexical, "GATHERED", 500)
     items, docs = corpus
     docs_df = spark.createDataFrame([(*d, "clash") for d in docs], f"{DOCS}, term string").repartition(5)
     items_df = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, row long")
@@ -95,9 +97,12 @@ def test_empty_tables_give_no_ranks(spark, corpus):
 
 def test_postings_of_a_term_are_spread(spark, monkeypatch):
     monkeypatch.setattr(lexical, "TOGETHER", 50)
+    monkeypatch.setattr(lexical, "GATHERED", 20)
     built = lexical.build(spark.createDataFrame([(i, "same") for i in range(2000)], DOCS))
-    assert built.postings.count() == 2000
-    assert built.postings.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 1200
+    assert built.documents == built.terms == 2000
+    held = built.postings.where("term = 'same'")
+    assert held.agg(F.sum(F.size("rows"))).first()[0] == 2000
+    assert held.groupBy(F.input_file_name()).agg(F.sum(F.size("rows")).alias("n")).agg(F.max("n")).first()[0] < 1200
 
 
 # --- record files --------------------------------------------------------------------
@@ -140,7 +145,7 @@ def written(spark):
     rows = [(i, TEXTS[i % len(TEXTS)] if i < 40 else f"text number {i} of many") for i in range(400)]
     docs = spark.createDataFrame([(*r, 0) for r in rows[::-1]], f"{DOCS}, start int").repartition(7)
     folder = tables.new_folder(spark)
-    records.write(records.encode(docs, VOCABULARY), folder)
+    records.write(docs, folder, VOCABULARY)
     return rows, docs, folder
 
 
@@ -153,6 +158,27 @@ def test_records_agree_with_the_library(spark, written):
     assert wide.ids == [*Tokenizer.from_file(VOCABULARY).encode(TEXTS[0]).ids, 1]
 
 
+def encoded(texts):
+    records._remembered.cache_clear()
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["row", "doc_id", "text"])
+    out = list(records.encoder(VOCABULARY, None)(iter([batch])))
+    return [np.frombuffer(x, "<u2").tolist() for b in out for x in b.column(3).to_pylist()]
+
+
+def test_parts_are_encoded_as_wholes(monkeypatch):
+    """Odd mixes of letters, marks, endings, special tokens and spaces, against whole texts."""
+    rng = np.random.default_rng(8)
+    some = [*"abSTlvd'’.,3<|>-_ \n\t", "É", "ß", "ÿ", "Þ", "×", "÷", "\u0301", "\u0338", "İ", "ſ", "K", "日", "\u00a0", "\x1c", "\x85", "<|endoftext|>", "<|ENDOFTEXT|>", "'ll", "word", "Über", "NAÏVE"]
+    texts = ["".join(rng.choice(some, int(rng.integers(0, 25)))) for _ in range(4000)] + ["", "a", "É"]
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoded(texts) == want
+    monkeypatch.setattr(records, "REMEMBERED", 5)
+    monkeypatch.setattr(records, "ENCODE_BYTES", 50)
+    monkeypatch.setattr(records, "NORMALIZER", [])  # another tokenizer: whole words only
+    assert encoded(texts[:500]) == want[:500]
+
+
 def test_records_without_order_of_rows(spark):
     rows = [(3, "b"), (3, "b"), (None, "n"), (1, None), (3, "a b c")]
     got = sorted(map(tuple, records.digests(spark.createDataFrame(rows, DOCS).coalesce(1), VOCABULARY).collect()), key=lambda r: r[1])
@@ -163,7 +189,7 @@ def test_records_without_order_of_rows(spark):
 def test_repeated_ids_are_parted(spark, monkeypatch):
     monkeypatch.setattr(records, "FILE_BYTES", 2_000)
     folder = tables.new_folder(spark)
-    records.write(records.encode(spark.createDataFrame([(7, "same text here")] * 2000, DOCS).repartition(3), VOCABULARY), folder)
+    records.write(spark.createDataFrame([(7, "same text here")] * 2000, DOCS).repartition(3), folder, VOCABULARY)
     per_file = records.index(spark, folder).groupBy("file").count().collect()
     assert len(per_file) > 5 and sum(r["count"] for r in per_file) == 2000
     assert records.read(spark, folder).agg(F.max("start")).first()[0] == 1999 * 4
