@@ -1,15 +1,16 @@
 """Ranked lexical search with whole-number scores.
 
-``build`` writes postings (term, row, doc_id, n, tf) of whole texts, dealt by term and
-sorted by it; a term of a great many documents is spread over several partitions.
+``build`` writes postings: for each term the rows that hold it, with their lengths and
+the term's occurrences, in lists of a batch of documents each, dealt by term and
+clustered; a term of a great many documents is spread over several partitions.
 ``search`` joins the items' terms with them, scores each match, sums by item and
 document and numbers the best.
 
 No pair of item and document is made that cannot be among the best: an item's rarest
 terms give a score that its k-th best document reaches at least; terms that cannot
 reach that score together are only looked up for the documents that the other terms
-leave in question.  Bounds are the exact largest contributions of the postings, so the
-result is that of scoring everything.
+leave in question, the rarer of them first.  Bounds are the exact largest contributions
+of the postings, so the result is that of scoring everything.
 """
 
 from __future__ import annotations
@@ -21,23 +22,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorebase.llm.arrays import pieces
+from lorebase.llm.arrays import pieces, tidy
 from lorebase.llm.blocks import bucket_count
 from lorebase.llm.tables import scratch, settle, table
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 K = 20
-#: Postings in a batch that a task gives, and rows of one term in one partition of the index, about.
-BATCH, TOGETHER = 200_000, 100_000
-#: The share of documents that an item's rarest terms match in the first look. It changes time, never results.
-FIRST_LOOK = 0.01
+#: Postings that a task gathers before it sends their lists, and rows of one term in one partition of the index, about.
+GATHERED, TOGETHER = 1_000_000, 100_000
+#: The share of documents that an item's rarest terms match in the first look; the share of that look's score that the
+#: terms which are put off can reach together at most, and those that are put off further. They change time, never results.
+FIRST_LOOK, PUT_OFF, LATER = 0.01, 0.6, (0.25, 0.0)
 #: Rows and bytes of text of a side that is broadcast at most; beyond them the join shuffles both sides.
 BROADCAST_ROWS, BROADCAST_TEXT = 400_000, 16 << 20
-SCHEMA = "term string, row bigint, doc_id bigint, n bigint, tf bigint, first boolean"
+#: A row without a term lists the documents of a batch: their ids and lengths.
+SCHEMA = "term string, rows array<bigint>, ns array<int>, tfs array<int>, docs array<bigint>"
 
 
 @dataclass
@@ -50,45 +53,58 @@ class Index:
 
 
 def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text) to postings; the first of a document is marked, so totals need no other table."""
-    find, table_ = re.compile(TERM).findall, str.maketrans(UPPER, LOWER)
-    terms: list[str] = []
-    counts: list[int] = []
-    owners: list[tuple[int, int | None, int, int]] = []
+    """(row, doc_id, text) to lists of postings by term, and of documents."""
+    find, lower = re.compile(TERM).findall, str.maketrans(UPPER, LOWER)
+    number: dict[str, int] = {}
+    of: list[int] = []
+    tf: list[int] = []
+    docs: list[tuple[int, int | None, int, int]] = []
 
     def sent() -> pa.RecordBatch:
-        sizes = np.array([o[3] for o in owners], np.int64)
-        at = np.repeat(np.arange(len(owners)), sizes)
-        first = np.zeros(len(terms), bool)
-        first[np.cumsum(sizes) - sizes] = True
-        of = lambda k: pa.array([o[k] for o in owners], pa.int64()).take(pa.array(at))
-        out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), of(0), of(1), of(2), pa.array(counts, pa.int64()), pa.array(first)], names=["term", "row", "doc_id", "n", "tf", "first"])
-        terms.clear(), counts.clear(), owners.clear()
-        return out
+        row, doc, n, size = (pa.array(c, pa.int64()) for c in zip(*docs, strict=True))
+        terms = np.array(of, np.int32)
+        order = np.argsort(terms, kind="stable")
+        at = np.repeat(np.arange(len(docs)), size.to_numpy())[order]
+        cuts = np.r_[0, np.cumsum(np.bincount(terms, minlength=len(number)))]
+        # the list of the documents comes last
+        offsets = pa.array(np.r_[cuts, len(of) + len(docs)].astype(np.int32))
+        listed = lambda one, all_: pa.ListArray.from_arrays(offsets, pa.concat_arrays([one, all_]))
+        n = n.cast(pa.int32())
+        out = [
+            pa.array([*number, None], pa.string()), listed(row.take(pa.array(at)), row), listed(n.take(pa.array(at)), n),
+            listed(pa.array(np.array(tf, np.int32)[order]), pa.nulls(len(docs), pa.int32())), pa.ListArray.from_arrays(pa.array(np.r_[np.zeros(len(cuts), np.int32), len(docs)].astype(np.int32)), doc),
+        ]
+        for x in (number, of, tf, docs):
+            x.clear()
+        return pa.RecordBatch.from_arrays(out, names=["term", "rows", "ns", "tfs", "docs"])
 
     for batch in batches:
         for part in pieces(batch, "text"):
             for row, doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                held = Counter(find(text.translate(table_)))
+                held = Counter(find(text.translate(lower)))
                 if held:
-                    terms.extend(held)
-                    counts.extend(held.values())
-                    owners.append((row, doc, sum(held.values()), len(held)))
-                if len(terms) >= BATCH:
+                    of.extend([number.setdefault(w, len(number)) for w in held])
+                    tf.extend(held.values())
+                    docs.append((row, doc, sum(held.values()), len(held)))
+                if len(of) >= GATHERED:
                     yield sent()
-    if terms:
+                    tidy()
+    if docs:
         yield sent()
 
 
 def build(docs: DataFrame) -> Index:
     """The index of ``docs`` (doc_id, text): each row is a document, rows without a term have no posting."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).where("text IS NOT NULL")
     size, count = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0)), F.count(F.lit(1))).first()
     spread = max(1, -(-count // TOGETHER))
-    dealt = rows.mapInArrow(postings, SCHEMA).repartition(bucket_count(int(size)), F.xxhash64("term", F.col("row") % spread))
-    made = settle(dealt.sortWithinPartitions("term", "row"))
-    known, total = made.where("first").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return Index(made, known, total)
+    # lists of one term meet in as many partitions as keep them short; lists of documents are dealt by themselves
+    lot = F.xxhash64("term", F.pmod(F.xxhash64(F.get("rows", F.lit(0))), F.when(F.col("term").isNull(), F.lit(1 << 20)).otherwise(F.lit(spread))))
+    dealt = rows.mapInArrow(postings, SCHEMA).repartition(bucket_count(int(size)), lot)
+    made = settle(dealt.sortWithinPartitions(F.xxhash64("term")))
+    total = F.aggregate("ns", F.lit(0).cast("bigint"), lambda s, n: s + n)
+    known, terms = made.where("term IS NULL").agg(F.coalesce(F.sum(F.size("rows")), F.lit(0)), F.coalesce(F.sum(total), F.lit(0))).first()
+    return Index(made, known, terms)
 
 
 def terms_of(items: DataFrame) -> DataFrame:
@@ -111,6 +127,23 @@ def _floor(scores: DataFrame, k: int) -> DataFrame:
     return best.groupBy("item_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(F.lit(0).cast("bigint")).alias("floor"))
 
 
+def _matched(index: Index, terms: DataFrame) -> DataFrame:
+    """Postings of ``terms`` (term and other columns), one by one, with what an occurrence there is worth."""
+    met = index.postings.join(bounded(terms, "term"), "term").select(*terms.columns, F.explode(F.arrays_zip("rows", "ns", "tfs")).alias("p"))
+    n, tf = F.col("p.ns").cast("bigint"), F.col("p.tfs").cast("bigint")
+    m = _div(25 * n * index.documents, index.terms) + 75
+    return met.select(*terms.columns, F.col("p.rows").alias("row"), _div(1_000_000_000 * tf, 1000 * tf + 12 * m).alias("worth"))
+
+
+def _div(a: Column, b: Column | int) -> Column:
+    """Whole-number division of numbers from 0."""
+    return F.call_function("div", a, F.lit(b).cast("bigint") if isinstance(b, int) else b)
+
+
+def _scored(matched: DataFrame) -> DataFrame:
+    return matched.groupBy("item_id", "row").agg(F.sum(F.col("w") * F.col("worth")).alias("score"))
+
+
 def search(items: DataFrame, index: Index, k: int = K) -> DataFrame:
     """(item_id, rank, doc_id, score) of the ``k`` best documents of each item, scores above 0, ties by ascending doc_id.
 
@@ -119,33 +152,38 @@ def search(items: DataFrame, index: Index, k: int = K) -> DataFrame:
     """
     if not index.documents:
         return items.sparkSession.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")
-    n, total = index.documents, index.terms
-    worth = F.expr(f"(1000000000 * tf) div (1000 * tf + 12 * (75 + (25 * n * {n}L) div {total}L))")
-    every = index.postings.select("term", "row", "doc_id", worth.alias("worth"))
+    n = index.documents
     asked = settle(terms_of(items))
-    weight = F.floor(1000 * F.log((2.0 * n + 2) / (2 * F.col("df") + 1)))
-    known = every.join(bounded(asked.select("term").distinct(), "term"), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("worth").alias("most"))
+    known = _matched(index, asked.select("term").distinct()).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("worth").alias("most"))
     # a weight of 0 adds nothing
+    weight = F.floor(1000 * F.log((2.0 * n + 2) / (2 * F.col("df") + 1)))
     weighed = asked.join(known.withColumn("w", weight).where("w > 0"), "term").select("item_id", "term", "df", (F.col("q") * F.col("w")).alias("w"), (F.col("q") * F.col("w") * F.col("most")).alias("most"))
     before = Window.partitionBy("item_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     weighed = settle(weighed.withColumn("first", F.coalesce(F.sum("df").over(before), F.lit(0)) < max(10 * k, int(n * FIRST_LOOK))))
-
-    def scored(terms: DataFrame, matched: DataFrame = every) -> DataFrame:
-        return matched.join(bounded(terms.select("item_id", "term", "w"), "term"), "term").groupBy("item_id", "row", "doc_id").agg(F.sum(F.col("w") * F.col("worth")).alias("score"))
-
-    floor = _floor(scored(weighed.where("first")), k)
+    floor = _floor(_scored(_matched(index, weighed.where("first").select("item_id", "term", "w"))), k)
     rising = Window.partitionBy("item_id").orderBy("most", "term")
-    parted = settle(weighed.join(floor, "item_id", "left").withColumn("late", F.sum("most").over(rising) < F.coalesce("floor", F.lit(0))))
-    partial = settle(scored(parted.where("NOT late")))
-    left = parted.groupBy("item_id").agg(F.coalesce(F.sum(F.when(F.col("late"), F.col("most"))), F.lit(0)).alias("left"))
-    bar = bounded(_floor(partial, k).join(left, "item_id"))
-    open_ = settle(partial.join(bar, "item_id").where(F.col("score") + F.col("left") >= F.col("floor")).select("item_id", "row", "doc_id", "score"))
-    late = parted.where("late")
-    again = every.join(bounded(late.select("term").distinct(), "term"), "term", "left_semi").join(bounded(open_.select("row").distinct()), "row", "left_semi")
-    more = scored(late, again).join(bounded(open_.select("item_id", "row")), ["item_id", "row"], "left_semi")
-    whole = open_.unionByName(more).groupBy("item_id", "row", "doc_id").agg(F.sum("score").alias("score")).where("score > 0")
+    parted = settle(weighed.join(floor, "item_id", "left").select("item_id", "term", "w", "most", F.coalesce("floor", F.lit(0)).alias("look"), F.sum("most").over(rising).alias("reach")))
+    scores = _scored(_matched(index, parted.where(F.col("reach") >= F.col("look") * PUT_OFF).select("item_id", "term", "w")))
+    done = PUT_OFF
+    for share in LATER:
+        put_off = F.col("reach") < F.col("look") * done
+        left = parted.groupBy("item_id").agg(F.coalesce(F.sum(F.when(put_off, F.col("most"))), F.lit(0)).alias("left"))
+        scores = settle(scores)
+        bar = bounded(_floor(scores, k).join(left, "item_id"))
+        open_ = settle(scores.join(bar, "item_id").where(F.col("score") + F.col("left") >= F.col("floor")).select("item_id", "row", "score"))
+        now = parted.where(put_off & (F.col("reach") >= F.col("look") * share)).select("item_id", "term", "w")
+        # terms are met with the documents in question first, then with the items that ask for them
+        found = _matched(index, now.select("term").distinct()).join(bounded(open_.select("row").distinct()), "row", "left_semi")
+        more = _scored(found.join(bounded(now, "term"), "term")).join(bounded(open_.select("item_id", "row")), ["item_id", "row"], "left_semi")
+        scores = open_.unionByName(more).groupBy("item_id", "row").agg(F.sum("score").alias("score"))
+        done = share
+    docs = index.postings.where("term IS NULL").select(F.explode(F.arrays_zip("rows", "docs")).alias("d")).select(F.col("d.rows").alias("row"), F.col("d.docs").alias("doc_id"))
+    best = settle(scores.where("score > 0"))
+    # ties at the k-th score stay until ids are known
+    close = best.join(bounded(_floor(best, k)), "item_id").where("score >= floor").select("item_id", "row", "score")
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"), "row")
-    return whole.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    named = docs.join(bounded(close), "row")
+    return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
