@@ -22,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.llm.tables import settle, table
+from lorebase.llm.tables import release, scratch, settle, table
 
 #: (host, path, verdict); the longest that fits decides.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-RESTART, ROUNDS, SETTLED, THRESHOLD = 0.15, 30, 1e-6, 0.5
+RESTART, SETTLED, THRESHOLD = 0.15, 1e-6, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
@@ -58,7 +58,10 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, start: str, source: str, target: str) -> DataFrame:
-    """host, mass: restart share of the seed plus what flows in from ``source`` to ``target``."""
+    """host, mass: restart share of the seed plus what flows in from ``source`` to ``target``, until no host changes by ``SETTLED``.
+
+    A round passes on 1 - ``RESTART`` of the last one's changes at most, so the rounds end: some 85 for a seed of 1.
+    """
     total = edges.groupBy(F.col(source).alias("host")).agg(F.sum("links").alias("total"))
     flow = edges.select(F.col(source).alias("host"), F.col(target).alias("to"), "links").join(total, "host").select("host", "to", (F.col("links") / F.col("total")).alias("share"))
     flow = settle(flow)
@@ -66,15 +69,18 @@ def propagate(seeds: DataFrame, edges: DataFrame, start: str, source: str, targe
     mass = base.withColumnRenamed("base", "mass")
     if flow.isEmpty():
         return mass
-    for _ in range(ROUNDS):
+    before = base
+    while True:
         into = flow.join(mass, "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("mass") * F.col("share") * (1 - RESTART)).alias("more"))
         new = base.join(into, "host", "left").join(mass.withColumnRenamed("mass", "old"), "host").select("host", (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("mass"), "old")
         new = settle(new)
         moved = new.agg(F.max(F.abs(F.col("mass") - F.col("old")))).first()[0]
         mass = new.select("host", "mass")
+        if before is not base:
+            release(before)
         if moved is None or moved < SETTLED:
-            break
-    return mass
+            return mass
+        before = new
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:  # noqa: ANN001
@@ -97,7 +103,10 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col: s
 
 
 def op3_hostgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    with scratch(spark) as kept:
+        out = settle(judge(table(spark, sf_dir, "pages")))
+        kept.append(out)
+    return out
 
 
 QUERIES = {"op3_hostgraph": op3_hostgraph}

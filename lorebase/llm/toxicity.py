@@ -9,11 +9,10 @@ each token's marginal.  A document's score is a logistic function of the expecte
 number of offending tokens and of the largest marginal; runs of tokens whose
 marginal is a half or more are its offending spans.
 
-Training is bounded by rows: ``SAMPLE`` labelled documents of each label, chosen by
-a hash of the id, are read whole, wherever they are long.  Executors cut them into
-passages of ``PASSAGE`` words, and ``PASSAGES`` of each label, again by hash and so
-from all over the texts, are all the text that reaches the driver; the chain is
-trained on them in batches.  The logistic function is fitted to the whole sampled
+Training is bounded by rows: labelled documents of each label, chosen by a hash of the
+id, as many as ``SAMPLE`` and ``SAMPLE_TEXT`` allow, are read whole.  Executors cut them
+into passages of ``PASSAGE`` words; these are all the text that reaches the driver, and
+the chain is trained on all of them in batches.  The logistic function is fitted to the whole sampled
 documents, of which executors return three numbers each.
 Scoring covers whole texts and all rows, without a shuffle.
 
@@ -31,14 +30,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorebase.llm.arrays import NON_WORD, mix, pieces, text_bytes, words_of
 from lorebase.llm.tables import release, settle, table
 
-#: Labelled documents that are learnt from at most (toxic, others); their passages, and words of each.
-SAMPLE, PASSAGES, PASSAGE = (700, 2800), (1500, 4000), 512
+#: Labelled documents that are learnt from at most (toxic, others), bytes of their whole texts at most, the share of these
+#: bytes that one of them has at most, and words of a passage that the chain is trained on.
+SAMPLE, SAMPLE_TEXT, LARGEST, PASSAGE = (700, 2800), (6 << 20, 16 << 20), 0.1, 512
 PREFIXES, SUFFIXES = (4, 5), (3,)
 BITS = 18
 EVIDENCE, PRECISION = 24.0, 0.9
@@ -243,7 +243,11 @@ def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: tuple[int, int] = SAMPLE) -> Model | None:
-    """Train on a bounded sample of the labelled documents."""
+    """Train on whole texts of a bounded sample of the labelled documents.
+
+    The ids that hash lowest are taken: ``sample`` of either kind at most, and as many as ``SAMPLE_TEXT`` holds; an id whose
+    texts are more than ``LARGEST`` of that is left to others.
+    """
     marked = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max("toxic") > 0).alias("toxic"))
     counts = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
     if len(counts) < 2:
@@ -253,10 +257,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         part = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # sum(sample) ids at most
-    taught = settle(texts.join(F.broadcast(chosen), "id").select("id", "text", "toxic"))
+    # sum(sample) ids at most, each with the size of all its texts
+    sized = texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.sum(F.octet_length("text").cast("bigint")).alias("size"))
+    bound = F.when(F.col("toxic"), SAMPLE_TEXT[0]).otherwise(SAMPLE_TEXT[1])
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
+    fits = sized.where(F.col("size") <= bound * LARGEST).withColumn("held", so_far).where(F.col("held") <= bound).select("id", "toxic")
+    taught = settle(texts.join(F.broadcast(fits), "id").select("id", "text", "toxic"))
     cut = taught.mapInArrow(passages, "toxic boolean, passage string")
-    found = [cut.where(F.col("toxic") == value).orderBy(F.xxhash64("passage"), "passage").limit(most).toPandas() for value, most in zip((True, False), PASSAGES, strict=True)]
+    found = [cut.where(F.col("toxic") == value).orderBy(F.xxhash64("passage"), "passage").toPandas() for value in (True, False)]
     toxic = np.repeat([True, False], [len(x) for x in found])
     if not toxic.any() or toxic.all():
         return None
