@@ -12,7 +12,8 @@ def as_doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: Column | str, b: Column | str) -> Column:
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
     return F.aggregate(F.zip_with(as_doubles(a), as_doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 

@@ -635,7 +635,7 @@ def answer_status(s, d):
 def _words(s: SparkSession, d: str) -> DataFrame:
     """All lines of all documents as words on pages; first lines bold."""
     docs = fx.table(s, d, "documents")
-    lines = docs.select(F.col("doc_id").cast("int").alias("page"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = docs.select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
     words = lines.select("page", "i", F.posexplode(F.split("line", " ")).alias("j", "text")).where("text <> ''")
     return words.select(
         "page", "text", (F.lit(40.0) + F.col("j") * 30).alias("x0"), (F.lit(65.0) + F.col("j") * 30).alias("x1"), (F.lit(41.0) + F.col("i") * 13).alias("top"), (F.lit(50.0) + F.col("i") * 13 + (F.col("j") % 2) * 0.5).alias("bottom"),
@@ -650,8 +650,8 @@ def line_clustering(s, d):
 
 @query()
 def section_tree(s, d):
-    pages = fx.table(s, d, "documents").select(F.col("doc_id").cast("int").alias("page")).distinct()
-    n = F.expr("floor(page / 100)").cast("int")
+    pages = fx.table(s, d, "documents").select(F.col("doc_id").alias("page")).distinct()
+    n = F.expr("page div 100")
     named = lambda first, second, rest: F.when(F.col("n") == 0, first).when(F.col("n") == 1, second).otherwise(F.concat(F.lit(rest), F.col("n")))
     chapters = pages.select(n.alias("n")).distinct().select(
         (F.col("n") * 100).alias("first_page"), (F.col("n") * 100 + 99).alias("last_page"), named("one", "two", "chapter-").alias("chapter"), named("First", "Second", "Chapter ").alias("chapter_title"),
