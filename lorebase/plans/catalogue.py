@@ -648,8 +648,8 @@ def line_clustering(s, d):
     return layout.text_lines(_words(s, d))
 
 
-@query()
-def section_tree(s, d):
+def _sections_of_pages(s: SparkSession, d: str) -> DataFrame:
+    """All documents as pages in chapters of a hundred, parted into sections."""
     pages = fx.table(s, d, "documents").select(F.col("doc_id").alias("page")).distinct()
     n = F.expr("page div 100")
     named = lambda first, second, rest: F.when(F.col("n") == 0, first).when(F.col("n") == 1, second).otherwise(F.concat(F.lit(rest), F.col("n")))
@@ -659,7 +659,19 @@ def section_tree(s, d):
     )
     # ranges meet pages, not lines: there are many more lines than pages
     lines = layout.text_lines(_words(s, d)).join(layout.chapter_of(pages, chapters), "page")
-    return layout.sections(lines).select("section_key", "parent_section_key", "kind", "section_title", F.size("blocks").alias("n_blocks"))
+    return layout.sections(lines)
+
+
+@query()
+def section_tree(s, d):
+    return _sections_of_pages(s, d).select("section_key", "parent_section_key", "kind", "section_title", F.size("blocks").alias("n_blocks"))
+
+
+@query()
+def block_merge(s, d):
+    """Every block of every section, in order: lines that go on are one paragraph."""
+    blocks = _sections_of_pages(s, d).select("section_key", F.posexplode("blocks").alias("position", "b"))
+    return blocks.select("section_key", "position", "b.type", "b.text", "b.page", F.round("b.indent", 1).alias("indent"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id < 100 THEN 'one' WHEN doc_id < 600 THEN 'two' ELSE 'three' END AS chapter FROM documents")

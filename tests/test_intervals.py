@@ -61,3 +61,12 @@ def test_rings_and_orphans_have_no_root(spark):
     assert {r.id for r in tree.where("root IS NULL").collect()} == {3, 4, 5, 6, 7, 8, 9}
     assert [(r.id, r.ancestor) for r in intervals.ancestors(tree).collect()] == [(2, 1)]
     assert intervals.numbered(spark.createDataFrame([], "id long, parent long, rulebook_id string")).count() == 0
+
+
+def test_many_page_ranges_meet_pages_by_equality(spark):
+    from lorebase.operators import layout
+
+    pages = spark.range(-5, 1000).select(F.col("id").alias("page"))
+    chapters = spark.createDataFrame([(i * 7, i * 7 + 6, f"c{i}") for i in range(120)], "first_page long, last_page long, chapter string")
+    got = layout.chapter_of(pages, chapters)
+    assert {(r.page, r.chapter) for r in got.collect()} == {(p, f"c{p // 7}") for p in range(840)}
