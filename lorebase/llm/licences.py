@@ -188,6 +188,12 @@ RULES: tuple[tuple[tuple[str, ...], str], ...] = (
 )
 
 
+#: Places of the rules that begin with an identifier.
+BEGINNING: dict[str, list[int]] = defaultdict(list)
+for _place, (_needs, _) in enumerate(RULES):
+    BEGINNING[_needs[0]].append(_place)
+
+
 class Match(NamedTuple):
     licence: str
     start: int
@@ -332,7 +338,8 @@ def named(found: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
     for i, (_, _, name) in enumerate(found):
         free[name].append(i)
     out = []
-    for needs, licence in RULES:
+    for place in sorted(i for name in free for i in BEGINNING.get(name, ())):
+        needs, licence = RULES[place]
         begin = -1
         while all(free.get(x) for x in needs):
             chain: list[int] = []
