@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +31,70 @@ def slices(queries: DataFrame, key: str = "query_id", size: int = QUERY_SLICE) -
     return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == s) for s in range(n)]
 
 
+#: More than rounding to six places and sums of doubles in another order can hide.
+NEAR_SLACK = 2e-6
+#: Vectors that are multiplied with a slice of queries at once.
+NEAR_ROWS = 2000
+
+
+def _unit(rows: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    flat = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+    m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    # by their largest component first, so that squares of very large and small ones stay numbers
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def _nearest(queries: dict[int, np.ndarray], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, v, size) to (id, v, at): per query, by its place in ``queries`` of its size, what may be among the k nearest of the task's vectors so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = {size: np.full((len(q), k), np.inf) for size, q in queries.items()}
+        for batch in (whole.slice(i, NEAR_ROWS) for whole in batches for i in range(0, whole.num_rows, NEAR_ROWS)):
+            sizes = batch.column(2).to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes).tolist():
+                if size not in queries:
+                    continue
+                part = batch.filter(pa.array(sizes == size))
+                near = 1 - queries[size] @ _unit(part.column(1), size).T
+                both = np.concatenate([bounds[size], near], axis=1)
+                bounds[size] = np.partition(both, k - 1, axis=1)[:, :k]
+                query, row = np.nonzero(near <= bounds[size].max(axis=1, keepdims=True) + NEAR_SLACK)
+                order = np.argsort(row, kind="stable")
+                row, query = row[order], query[order]
+                have, starts = np.unique(row, return_index=True)
+                if len(have):
+                    chosen = part.take(pa.array(have))
+                    at = [x.tolist() for x in np.split(query, starts[1:])]
+                    yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1), pa.array(at, pa.list_(pa.int32()))], names=["id", "v", "at"])
+
+    return run
+
+
 def vector_top(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(query_id, id, distance, rank) by exact cosine distance, ties by id.
 
     ``queries`` (query_id, q) are broadcast in slices of at most ``QUERY_SLICE`` rows;
-    beyond one slice the corpus is read once for each.  Vectors without a direction, as
-    of empty texts, are near nothing, on both sides.
+    beyond one slice the corpus is read once for each.  Products of whole batches leave
+    out what can't be among a task's nearest; the rest are compared exactly.  Vectors
+    without a direction, as of empty texts, are near nothing, on both sides.
     """
-    corpus = corpus.where(vectors.directed(F.col("v"))).select("id", "v")
+    corpus = corpus.where(vectors.directed(F.col("v"))).select("id", "v", F.size("v").alias("size"))
     queries = queries.where(vectors.directed(F.col("q")))
     near = (F.round(vectors.cosine_distance(F.col("q"), F.col("v")), 6) + 0.0).alias("distance")
-    found = [top(corpus.join(F.broadcast(part.select("query_id", "q")), F.size("q") == F.size("v")).select("query_id", "id", near), "query_id", [F.col("distance"), F.col("id")], k) for part in slices(queries)]
+    kinds = {f.name: f.dataType.simpleString() for f in corpus.schema}
+    found = []
+    for part in slices(queries):
+        rows = part.select("query_id", "q").collect()  # QUERY_SLICE, about
+        by_size: dict[int, list] = {}
+        for r in rows:
+            by_size.setdefault(len(r.q), []).append(r)
+        blocks = {size: _unit(pa.array([[float(x) for x in r.q] for r in own], pa.list_(pa.float64())), size) for size, own in by_size.items()}
+        held = corpus.mapInArrow(_nearest(blocks, k), f"id {kinds['id']}, v {kinds['v']}, at array<int>")
+        placed = [(size, i, r.query_id, list(r.q)) for size, own in by_size.items() for i, r in enumerate(own)]
+        asked = queries.sparkSession.createDataFrame(placed, f"size int, at int, query_id {part.schema['query_id'].dataType.simpleString()}, q {part.schema['q'].dataType.simpleString()}")
+        met = held.select("id", "v", F.size("v").alias("size"), F.explode("at").alias("at")).join(F.broadcast(asked), ["size", "at"])
+        found.append(top(met.select("query_id", "id", near), "query_id", [F.col("distance"), F.col("id")], k))
     return reduce(DataFrame.unionByName, found)
 
 
