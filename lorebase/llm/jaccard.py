@@ -10,11 +10,13 @@ under it must also share one under two pseudo-random orders, whose prefixes trav
 as fingerprints; only the pairs in the intersection have their sets compared.
 
 Copies are one class before they are joined.  A long posting list, as a group of
-thousands of near copies makes, is first joined as a star.  Members of a long list
-that are then in different components meet again under another order of rare shingles first,
-where lists of unrelated documents fall apart; what is long there too is dealt as pairs of parts
-of bounded size.  So the pairs of a group are never all made, and no link between
-components is lost.
+thousands of near copies makes, is first joined as a star.  What a pair shares in long
+lists is not counted, so pairs of short lists may lack as many tokens as either set has
+in long ones; only sets with all that a pair must share in long lists can have a link
+that no short list shows.  Those that are then in different components meet again under
+another order of rare shingles first, where lists of unrelated documents fall apart; what
+is long there too is dealt as pairs of parts of bounded size.  So the pairs of a group are
+never all made, and no link between components is lost.
 
 Defined results: null and empty texts, and texts of white space, have empty sets and
 link with nothing; a text of fewer than k words is one shingle; equal sets always
@@ -268,12 +270,13 @@ def candidates(percent: int):  # noqa: ANN201
         times = np.diff(np.r_[head, len(x)])
         x, y, need = x[head], y[head], need[head]
         m = int(long.sum())
+        own = np.minimum(LEAST, -(-percent * n[long] // 100))
         return pa.table(
             {
                 "x": pa.array(np.r_[x, ids[long]], pa.int64()),
                 "y": pa.concat_arrays([pa.array(y, pa.int64()), pa.nulls(m, pa.int64())]),
                 "times": pa.array(np.r_[times, np.zeros(m, np.int64)], pa.int32()),
-                "need": pa.array(np.r_[need, np.zeros(m, np.int64)], pa.int32()),
+                "need": pa.array(np.r_[need, own], pa.int32()),
                 "token": pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(token[long].astype(np.int64), pa.int64())]),
             }
         )
@@ -440,12 +443,13 @@ class Join:
         return out
 
     def across(self, members: DataFrame, links: DataFrame) -> DataFrame | None:
-        """Links between members of long lists that ``links`` leave in different components."""
+        """Links between members (token, x, need) of long lists that ``links`` leave in different components and that no short list shows."""
         percent, k = self.percent, self.k
         known = components(links)
-        labelled = settle(members.join(known, members.x == known.id, "left").select("token", "x", F.coalesce("component", "x").alias("component")))
+        labelled = settle(heavy(members).join(known, F.col("x") == known.id, "left").select("token", "x", "need", F.coalesce("component", "x").alias("component")))
         several = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-        apart_ = settle(salted(labelled, several).select("x", "component").distinct())
+        # both of a pair are in all lists that they share
+        apart_ = settle(heavy(salted(labelled, several), ("component",)).select("x", "component").distinct())
         if apart_.isEmpty():
             return None
         bits = self.spark.sparkContext.broadcast(candidate_bits(apart_.select("x"), self.bits))
@@ -454,21 +458,60 @@ class Join:
         def second(part: pa.RecordBatch) -> list:
             cells = np.frombuffer(common.value, np.uint8)
             o, h, n = shingle_sets(part.column(1), k)
-            sketch = parity(h, o, part.num_rows)
-            tokens = np.split(prefixes(o, h, n, prefix_length(n, percent), 1, cells)[1].astype(np.int64), np.cumsum(prefix_length(n, percent))[:-1])
-            return [part.column(0), n, [x.tobytes() for x in sketch], [low_bytes(x) for x in np.split(h, np.cumsum(n)[:-1])], tokens]
-
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary()), ("tokens", pa.list_(pa.int64()))])
-        found = self.base.mapInArrow(of_candidates(second, bits, self.bits, schema), "id bigint, n bigint, sketch binary, shingles binary, tokens array<bigint>").where("n > 0")
-        found = settle(found.join(apart_.withColumnRenamed("x", "id"), "id"))
-        entries = found.select(F.explode("tokens").alias("token"), F.col("id").alias("x"), "n", "component")
+            size = prefix_length(n, percent, LEAST)
+            return [part.column(0), n, np.split(prefixes(o, h, n, size, 1, cells)[1].astype(np.int64), np.cumsum(size)[:-1])]
+
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+        met = self.base.mapInArrow(of_candidates(second, bits, self.bits, schema), "id bigint, n bigint, tokens array<bigint>").where("n > 0")
+        met = settle(met.join(apart_.withColumnRenamed("x", "id"), "id"))
+        need = F.least(F.lit(LEAST), F.ceil(F.col("n") * percent / 100)).cast("int")
+        entries = met.select(F.explode("tokens").alias("token"), F.col("id").alias("x"), "n", need.alias("need"), "component")
         # component sizes of each list, counted before they are shuffled
-        sizes = settle(entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("many")))
+        sizes = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("many"))
         lists = sizes.groupBy("token").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.max("many").alias("most"), F.sum("many").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        lists = lists.select("token", "main", F.ceil(F.col("most") / PART).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / PART).cast("int").alias("others"))
-        dealt = salted(entries, lists).select("token", "x", "n", "component", F.explode(parts_of()).alias("at")).select("token", "x", "n", "component", "at.a", "at.b")
-        sets = found.select(F.col("id").alias("x"), "n", "sketch", "shingles")
-        return settle(dealt.join(sets, ["x", "n"]).groupBy("token", "a", "b").applyInArrow(tidied(apart_links(percent)), "x bigint, y bigint").distinct())
+        lists = settle(lists.select("token", "main", "all", F.ceil(F.col("most") / PART).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("most")) / PART).cast("int").alias("others")))
+        brief = settle(entries.join(lists.where(F.col("all") <= SHORT).select("token"), "token"))
+        left, right = (brief.select("token", F.col("x").alias(c), F.col("n").alias(f"n{c}"), F.col("need").alias(f"need{c}"), F.col("component").alias(f"c{c}")) for c in "xy")
+        fits = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+        counted = left.join(right, "token").where(fits).groupBy("x", "y").agg(F.count(F.lit(1)).alias("times"), F.max(F.greatest("needx", "needy")).alias("need"))
+        long = settle(salted(entries, lists.where(F.col("all") > SHORT)).select("token", "x", "n", "need", "component", "main", "mains", "others"))
+        found = self.verified(enough_shared(counted, long))
+        # what is long here too
+        rest = settle(heavy(long, ("n", "component", "main", "mains", "others")))
+        if rest.isEmpty():
+            return found
+        bits = self.spark.sparkContext.broadcast(candidate_bits(rest.select("x"), self.bits))
+
+        def whole(part: pa.RecordBatch) -> list:
+            o, h, n = shingle_sets(part.column(1), k)
+            return [part.column(0), n, [x.tobytes() for x in parity(h, o, part.num_rows)], [low_bytes(x) for x in np.split(h, np.cumsum(n)[:-1])]]
+
+        schema = pa.schema([("x", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("shingles", pa.binary())])
+        sets = self.base.mapInArrow(of_candidates(whole, bits, self.bits, schema), "x bigint, n bigint, sketch binary, shingles binary")
+        sets = settle(sets.join(rest.select("x").distinct(), "x"))
+        dealt = rest.select("token", "x", "n", "component", F.explode(parts_of()).alias("at")).select("token", "x", "n", "component", "at.a", "at.b")
+        # sets only travel to where a sketch leaves a link open
+        kept = "token bigint, x bigint, n bigint, component bigint, a int, b int"
+        open_ = settle(dealt.join(sets.drop("shingles"), ["x", "n"]).groupBy("token", "a", "b").applyInArrow(tidied(sketched(percent)), kept))
+        more = settle(open_.join(sets, ["x", "n"]).groupBy("token", "a", "b").applyInArrow(tidied(apart_links(percent)), "x bigint, y bigint").distinct())
+        return found.union(more)
+
+
+def heavy(members: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The ``members`` (token, x, need) whose set has all that a pair must share in their lists."""
+    enough_ = members.groupBy("x").agg(F.count(F.lit(1)).alias("long"))
+    return members.join(enough_, "x").where("long >= need").select("token", "x", "need", *keep)
+
+
+def enough_shared(counted: DataFrame, members: DataFrame) -> DataFrame:
+    """(x, y) of the pairs (x, y, times, need) that share enough tokens, or lack no more than either set has among the ``members`` of long lists."""
+    sure = counted.where("times >= need").select("x", "y")
+    long = members.groupBy("x").agg(F.count(F.lit(1)).alias("long"))
+    if long.isEmpty():
+        return sure
+    fewer = counted.where("times < need").join(long.withColumnRenamed("long", "lx"), "x").where("times + lx >= need")
+    fewer = fewer.join(long.select(F.col("x").alias("y"), F.col("long").alias("ly")), "y").where("times + ly >= need")
+    return sure.union(fewer.select("x", "y"))
 
 
 def salted(rows: DataFrame, lists: DataFrame) -> DataFrame:
@@ -488,6 +531,23 @@ def parts_of():  # noqa: ANN201
     return F.when(F.col("component") == F.col("main"), F.transform(others, lambda j: at(main, j))).otherwise(F.concat(with_main, with_others))
 
 
+def sketched(percent: int):  # noqa: ANN201
+    """The members of two parts of a list that may be similar to one of another component, by size and sketch."""
+
+    def run(part: pa.Table) -> pa.Table:
+        n, root = (part.column(c).to_numpy() for c in ("n", "component"))
+        sketch = np.stack([np.frombuffer(x, np.uint8) for x in buffers(part.column("sketch"))]).view(np.uint64)
+        met = np.zeros(len(n), bool)
+        for i in range(1, len(n)):
+            j = np.flatnonzero((root[:i] != root[i]) & enough(n[:i], n[i], percent))
+            j = j[~apart(sketch[j], sketch[i], n[j] + n[i], percent)]
+            met[j] = True
+            met[i] |= len(j) > 0
+        return part.select(["token", "x", "n", "component", "a", "b"]).filter(pa.array(met))
+
+    return run
+
+
 def apart_links(percent: int):  # noqa: ANN201
     """Links that join the components met in two parts of a list; one for each two that become one."""
 
@@ -519,9 +579,9 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     with scratch(docs.sparkSession) as kept:
         join = Join(docs, k, percent, id_col, text_col)
         found = join.candidates()
-        pairs = found.where("y IS NOT NULL").groupBy("x", "y").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where("times >= need").select("x", "y")
-        links = join.verified(pairs)
-        members = found.where("y IS NULL").select("token", "x")
+        counted = found.where("y IS NOT NULL").groupBy("x", "y").agg(F.sum("times").alias("times"), F.min("need").alias("need"))
+        members = found.where("y IS NULL").select("token", "x", "need")
+        links = join.verified(enough_shared(counted, members))
         more = None if members.isEmpty() else join.across(members, links)
         classes = settle(join.rows.where("n > 0 AND id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("id").alias("first")))
         # rows of one id with different texts are one node
