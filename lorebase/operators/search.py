@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions import text
+from lorebase.functions.slices import slices
 from lorebase.operators import corpus, evidence, ranking, snapshot, textindex
 from lorebase.operators.answering import Bundle, CorpusChanged, Embedder, Reranker
 
@@ -44,9 +45,10 @@ def embedded(df: DataFrame, column: Column, embedder: Embedder, name: str = "v")
 
     @F.pandas_udf("array<double>")
     def encode(s: pd.Series) -> pd.Series:
-        return pd.Series(list(np.asarray(embedder.encode(s.fillna("").tolist()), np.float64)) if len(s) else [])
+        return pd.Series([v for texts in slices(s) for v in np.asarray(embedder.encode(texts.fillna("").tolist()), np.float64)], dtype=object)
 
-    return df.withColumn(name, encode(column))
+    # a filter on the vector would else be pushed below it and encode every text once more
+    return df.withColumn(name, encode.asNondeterministic()(column))
 
 
 def faults(question: Column) -> Column:
@@ -59,11 +61,11 @@ def lexical(questions: DataFrame, chunks: DataFrame, index: DataFrame | None = N
     """(query_id, id, score, rank) by cover density of any of the question's stems.
 
     With a stored ``index`` (see ``textindex``) only its postings are read, and of ``chunks`` the ids; without one all
-    texts are.
+    texts are, for the places of the asked terms.
     """
     asked = questions.select("query_id", textindex.any_word(F.col("question")).alias("question"))
     if index is None:
-        return textindex.top(asked, textindex.postings(chunks), k)
+        return textindex.top(asked, textindex.postings(chunks, wanted=textindex.asked_terms(asked)), k)
     return textindex.top(asked, index, k, chunks.select("id"))
 
 
@@ -72,7 +74,8 @@ def reranked(found: DataFrame, questions: DataFrame, chunks: DataFrame, reranker
 
     @F.pandas_udf("double")
     def score(question: pd.Series, said: pd.Series) -> pd.Series:
-        return pd.Series([reranker.scores(q, [t])[0] for q, t in zip(question, said, strict=True)], dtype=float)
+        out = [reranker.scores(q, [t])[0] for texts in slices(said) for q, t in zip(question.loc[texts.index], texts, strict=True)]
+        return pd.Series(out, dtype=float)
 
     texts = chunks.select("id", corpus.embedding_text(F.col("heading_path"), F.col("body")).alias("said"))
     windows = found.select("query_id", "id").join(texts, "id").select("query_id", "id", F.explode(text.windows(F.split("said", " "), WINDOW_WORDS)).alias("w"))
