@@ -41,7 +41,7 @@ def held(points: DataFrame, intervals: DataFrame, point: str, start: str, end: s
     used = some.select("_level").distinct()
     n = F.col("_level")
     many = points.where(F.col(point).isNotNull()).join(F.broadcast(used), how="cross")  # LEVELS + 2 rows at most
-    return many.withColumn("_block", _shifted(F.col(point).cast("bigint"), n)).join(some, [*by, "_level", "_block"]).drop("_level", "_block")
+    return many.withColumn("_block", _shifted(F.col(point).cast("bigint"), n)).join(some.hint("merge"), [*by, "_level", "_block"]).drop("_level", "_block")
 
 
 def day_number(day: Column) -> Column:
@@ -75,7 +75,8 @@ def numbered(nodes: DataFrame, node: str = "id", parent: str = "parent", by: str
     row = Window.partitionBy("b", "up").orderBy("id")
     placed = key.withColumn("next", F.when(F.col("up").isNotNull(), F.lead("id").over(row))).withColumn("eldest", F.row_number().over(row) == 1)
     eldest = placed.where("up IS NOT NULL AND eldest").select("b", F.col("up").alias("id"), F.col("id").alias("child"))
-    walk = placed.join(eldest, ["b", "id"], "left")
+    # merge joins throughout: tables that grow with the input don't pass through the driver as broadcasts
+    walk = placed.join(eldest.hint("merge"), ["b", "id"], "left")
     side = lambda which, of: F.when(of.isNotNull(), F.struct(of.alias("id"), F.lit(which).alias("out")))
     enter = walk.select("b", "id", F.lit(False).alias("out"), F.coalesce(side(False, F.col("child")), side(True, F.col("id"))).alias("to"))
     leave = walk.select("b", "id", F.lit(True).alias("out"), F.coalesce(side(False, F.col("next")), side(True, F.col("up"))).alias("to"))
@@ -84,7 +85,7 @@ def numbered(nodes: DataFrame, node: str = "id", parent: str = "parent", by: str
     open_ = steps.where("root IS NULL").count()
     while open_:
         ahead = steps.select("b", F.col("id").alias("to_id"), F.col("out").alias("to_out"), F.col("to_id").alias("then_id"), F.col("to_out").alias("then_out"), F.col("root").alias("then_root"), F.col("far").alias("then_far"))
-        met = steps.join(ahead, ["b", "to_id", "to_out"], "left")
+        met = steps.join(ahead.hint("merge"), ["b", "to_id", "to_out"], "left")
         new = scratch.settled(met.select("b", "id", "out", F.coalesce("then_id", F.when(F.col("then_far").isNull(), F.col("to_id"))).alias("to_id"), F.coalesce("then_out", F.when(F.col("then_far").isNull(), F.col("to_out"))).alias("to_out"), F.coalesce("root", "then_root").alias("root"), (F.col("far") + F.coalesce("then_far", F.lit(0))).alias("far")))
         left = new.where("root IS NULL").count()
         scratch.drop(steps)
@@ -95,7 +96,7 @@ def numbered(nodes: DataFrame, node: str = "id", parent: str = "parent", by: str
         open_ = left
     ends = steps.groupBy("b", "id").agg(F.max(F.when(~F.col("out"), F.col("far"))).alias("enter"), F.max(F.when(F.col("out"), F.col("far"))).alias("leave"), F.max("root").alias("root"))
     # numbers grow from the root's entry on
-    whole = ends.join(ends.where("id = root").select("b", F.col("id").alias("root"), (F.col("enter") + 1).alias("steps")), ["b", "root"], "left")
+    whole = ends.join(ends.where("id = root").select("b", F.col("id").alias("root"), (F.col("enter") + 1).alias("steps")).hint("merge"), ["b", "root"], "left")
     return whole.select(F.col("id").alias(node), F.col("b").alias(by), F.when(F.col("steps").isNotNull(), F.col("root")).alias("root"), (F.col("steps") - 1 - F.col("enter")).alias("first"), (F.col("steps") - 1 - F.col("leave")).alias("last"))
 
 

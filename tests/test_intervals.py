@@ -70,3 +70,11 @@ def test_many_page_ranges_meet_pages_by_equality(spark):
     chapters = spark.createDataFrame([(i * 7, i * 7 + 6, f"c{i}") for i in range(120)], "first_page long, last_page long, chapter string")
     got = layout.chapter_of(pages, chapters)
     assert {(r.page, r.chapter) for r in got.collect()} == {(p, f"c{p // 7}") for p in range(840)}
+
+
+def test_intervals_do_not_pass_through_the_driver(spark):
+    points = spark.createDataFrame([(1, 5)], "p long, at long")
+    spans = spark.createDataFrame([(7, 3, 9)], "i long, lo long, hi long")
+    met = intervals.held(points, spans, "at", "lo", "hi")
+    assert "SortMergeJoin" in met._jdf.queryExecution().executedPlan().toString()
+    assert [(r.p, r.i) for r in met.collect()] == [(1, 7)]
