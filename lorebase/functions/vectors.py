@@ -33,7 +33,8 @@ def directed(v: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     size = F.greatest(norm(a), F.lit(FLOOR))
-    return F.transform(as_doubles(a), lambda x: x / size)
+    # as the only item of an array it is computed once a vector; inside the inner function it would be once a component
+    return F.element_at(F.transform(F.array(size), lambda n: F.transform(as_doubles(a), lambda x: x / n)), 1)
 
 
 def mean_pool(df: DataFrame, owner: str, vector: str) -> DataFrame:
