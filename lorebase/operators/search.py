@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import text
 from lorebase.functions.slices import slices
-from lorebase.operators import corpus, evidence, ranking, snapshot, textindex
+from lorebase.operators import corpus, evidence, ranking, scratch, snapshot, textindex
 from lorebase.operators.answering import Bundle, CorpusChanged, Embedder, Reranker
 
 MODES = ("vector", "hybrid", "hybrid-rerank")
@@ -118,15 +118,16 @@ def collected(queries: DataFrame, chunks: DataFrame, models: Models, books: Data
     """Evidence of each question from its queries (question_id, part, query).
 
     Equal queries of a question count once; the first results of all come before the
-    second ones; ancestors follow; what fits the budget stays.
+    second ones; ancestors of any depth follow; what fits the budget stays.  A question
+    whose ancestors are missing or circular has one row, with its ``fault``.
     """
     asked = queries.groupBy("question_id", "query").agg(F.min("part").alias("part"))
     asked = asked.withColumn("query_id", F.concat_ws("/", "question_id", "part"))
     found = search(asked.select("query_id", F.col("query").alias("question")), chunks, models, mode, EACH, books, index)
     rows = found.join(asked.select("query_id", "question_id", "part"), "query_id")
-    placed = ranking.interleave(rows.select("question_id", "part", "id", "rank"), "question_id", "part").select("question_id", "id", "place")
+    placed = scratch.settled(ranking.interleave(rows.select("question_id", "part", "id", "rank"), "question_id", "part").select("question_id", "id", "place"))
     main = placed.join(chunks, "id")
-    up = corpus.ancestors(main, chunks, ["question_id"])
+    up = corpus.all_ancestors(main, chunks, ["question_id"])
     after = Window.partitionBy("question_id").orderBy("level", "rulebook_id", "section_key")
     more = up.withColumn("place", 1_000_000 + F.row_number().over(after)).select(main.columns)
     return evidence.evidence_view(evidence.pack(main.unionByName(more), budget=budget), chunks)
@@ -149,10 +150,14 @@ def loader(spark: SparkSession, root: str, models: Models, as_of: str) -> tuple[
             return Bundle([], mark)
         asked = spark.createDataFrame([("q", i, q) for i, q in enumerate(queries)], "question_id string, part int, query string")
         rows = [r.asDict(recursive=True) for r in collected(asked, chunks, models, books, index=index).drop("question_id").collect()]
+        if fault := next((r["fault"] for r in rows if r["fault"]), None):
+            raise evidence.EvidenceError(fault)
         if not is_fresh(mark, [r["chunk_id"] for r in rows]):
             raise CorpusChanged
         sources = [{"id": b.id, "edition": b.edition, "last_checked_at": b.last_checked_at.isoformat() if b.last_checked_at else None} for b in books.select("id", "edition", "last_checked_at").collect()]
         load.latency_ms = round((time.perf_counter() - began) * 1000)
+        for r in rows:
+            del r["fault"]
         return Bundle(sorted(rows, key=lambda r: int(r["evidence_id"][1:])), mark, sources)
 
     def is_fresh(mark: str, ids: list[str]) -> bool:

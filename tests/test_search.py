@@ -105,6 +105,22 @@ def test_collected_evidence(spark, chunks):
     assert [k for _, k in one] == ["goal/line", "goal"] and {r.question_id for r in got} == {1, 2}
 
 
+def test_evidence_with_ancestors_of_any_depth_and_faults_that_show(spark):
+    deep = [chunk(f"d{i}", f"d{i - 1}" if i else None, f"Level {i}", f"level {i}" if i < 8 else "offside trap of the deepest level") for i in range(9)]
+    bad = [chunk("lost", "gone", "Lost", "studs and force"), chunk("x", "y", "Ring", "corner flag ring"), chunk("y", "x", "Other", "filler")]
+    rows = spark.createDataFrame(deep + bad, CHUNK)
+    asked = [(1, 0, "offside trap of the deepest level"), (2, 0, "studs and force"), (3, 0, "corner flag ring")]
+    first = {1: "id-d8", 2: "id-lost", 3: "id-x"}
+    for q, part, query in asked:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(search, "EACH", 1)
+            got = search.collected(spark.createDataFrame([(q, part, query)], "question_id long, part int, query string"), rows, MODELS).collect()
+        if q == 1:
+            assert {r.chunk_id: r.fault for r in got} == {f"id-d{i}": None for i in range(9)}, first[q]
+        else:
+            assert [(r.question_id, r.evidence_id, r.fault) for r in got] == [(q, None, "ancestors are missing or circular")], first[q]
+
+
 def published(spark, root):
     day = dt.date(2020, 1, 1)
     book = spark.createDataFrame([("book", "T", "A", ["g"], "e", day, None, "https://x", "https://x", "0" * 64, None, dt.datetime(2024, 1, 1), "ready", MODELS.name, "f1")], schemas.BOOKS)
